@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import bpe, exact_dedup, mixing, sharding, simhash
+from scrivener.llm import bpe, exact_dedup, knn, line_chunks, mixing, quality, quotes, sharding, simhash, substring
 from scrivener.llm.common import table
 
 #: Where the rank file of the BPE query is; the driver of a cluster may put another path here.
@@ -25,10 +25,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.reply_order(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("own_sha256", F.sha2("own_text", 256)).drop("own_text")
+
+
+def op4_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_chunks.remove_repeated_chunks(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,15 +51,32 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0].select("doc_id", F.round("weight", 6).alias("weight"), "kept")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quotation_linking": op3_quotation_linking,
+    "op4_voronoi_top_k": op4_voronoi_top_k,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quotation_linking": quotes.ORACLE,
+    "op4_voronoi_top_k": knn.ORACLE,
+    "op6_line_dedup": line_chunks.ORACLE,
     "op5_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from d group by norm)
