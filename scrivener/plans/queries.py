@@ -1,10 +1,525 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each over whole tables, and the DuckDB SQL that some are compared with.
+
+A document's title is its first line and its body the rest; doc_id is its place in the corpus.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivener.functions import predicates as p
+from scrivener.functions import text as t
+from scrivener.functions import validate
+from scrivener.operators import cleaning, joins, retrieval, segment, stats
+from scrivener.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def titled(docs: DataFrame) -> DataFrame:
+    """Corpus rows of the documents table."""
+    title = F.substring_index("text", "\n", 1)
+    body = F.when(F.instr("text", "\n") > 0, F.substring(F.col("text"), F.length(title) + 2, F.length("text"))).otherwise("")
+    return docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("section_group"), F.lit("").alias("section_id"), F.col("lang").alias("language"), title.alias("title"), body.alias("text"))
+
+
+TITLE = "split_part(text, chr(10), 1)"
+BODY = "case when instr(text, chr(10)) > 0 then substr(text, length(split_part(text, chr(10), 1)) + 2) else '' end"
+WORDS = "regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё0-9]+')"
+
+# ---- retrieval
+
+#: A query with a repeated term, so that it counts twice.
+ASKED = ["the", "that", "de", "und", "tion", "the", "http", "license"]
+
+
+def _bm25_sql(corpus: str, terms: list[str], limit: int) -> str:
+    values = ", ".join(f"('{w}')" for w in terms)
+    return f"""
+with corpus as ({corpus}),
+w as (select doc_id, unnest({WORDS}) as term from corpus),
+tf as (select doc_id, term, count(*) as tf from w group by doc_id, term),
+dl as (select c.doc_id, coalesce(s.n, 0) as dl from corpus c left join (select doc_id, count(*) as n from w group by doc_id) s on s.doc_id = c.doc_id),
+st as (select count(*) as n, avg(dl) as avgdl from dl),
+df as (select term, count(*) as df from tf group by term),
+q as (select * from (values {values}) v(term)),
+sc as (select tf.doc_id, sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl.dl / st.avgdl))) as score
+  from q join tf on tf.term = q.term join df on df.term = q.term join dl on dl.doc_id = tf.doc_id cross join st group by tf.doc_id)
+select doc_id, cast(row_number() over (order by round(score, 9) desc, doc_id) as integer) as rank, round(score, 6) as score from sc where score > 0
+qualify row_number() over (order by round(score, 9) desc, doc_id) <= {limit}"""
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col("seq").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query("bm25_topk", _bm25_sql("select doc_id, text from documents", ASKED, 50))
+def bm25_topk(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
+    return _ranked(retrieval.bm25_search(docs, F.col("text"), ASKED, 50))
+
+
+@query("bm25_filtered", _bm25_sql(f"select doc_id, text from documents where lang in ('en', 'bilingual') and length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 80 and (contains(lower(text), 'the')::int + contains(lower(text), 'and')::int + contains(lower(text), 'tion')::int + contains(lower(text), 'of')::int) >= 3 order by doc_id limit 3000", ASKED, 25))
+def bm25_filtered(spark, sf_dir):
+    """Language, length and domain filters and a prefix come before the index, and so change its statistics."""
+    rows = titled(table(spark, sf_dir, "documents"))
+    whole = F.concat(F.col("title"), F.lit("\n"), F.col("text"))
+    fit = rows.where(p.language_matches("en", F.col("language")) & p.long_enough(whole)).where(t.count_words(F.lower(whole), ["the", "and", "tion", "of"]) >= 3)
+    return _ranked(retrieval.bm25_search(retrieval.first_of(fit, 3000), whole, ASKED, 25))
+
+
+@query("idf_table", f"""
+with w as (select distinct doc_id, unnest({WORDS}) as term from documents), n as (select count(*) as n from documents)
+select term, cast(count(*) as bigint) as df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from w cross join n group by term""")
+def idf_table(spark, sf_dir):
+    return retrieval.idf_table(table(spark, sf_dir, "documents"), F.col("text"), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("postings", f"""
+with w as (select doc_id, unnest({WORDS}) as term from documents)
+select term, cast(count(distinct doc_id) as bigint) as docs, cast(count(*) as bigint) as occurrences, cast(max(tf) as bigint) as most from (select *, count(*) over (partition by doc_id, term) as tf from w) group by term""")
+def postings(spark, sf_dir):
+    posted = retrieval.postings(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
+    return posted.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
+
+
+@query("tfidf_topk", r"""
+with a as (select doc_id, regexp_extract_all(lower(text), '[0-9_\p{L}\p{M}\p{N}]{2,}') as w from documents),
+g as (select doc_id, unnest(list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2]))) as term from a),
+tf as (select doc_id, term, count(*) as tf from g group by doc_id, term),
+n as (select count(*) as n from documents),
+df as (select term, count(*) as df, any_value(n) as n from tf cross join n group by term having count(*) >= 2 and count(*) <= 0.9 * any_value(n)),
+i as (select term, ln((1 + n) / (1 + df)) + 1 as idf from df),
+wt as (select doc_id, tf.term, tf * idf as w, idf from tf join i on i.term = tf.term),
+q as (select term, count(*) as qf from (select unnest(['license', 'the', 'worthless', 'the license', 'license the', 'the worthless']) as term) group by term),
+qw as (select q.term, qf * idf as qw from q join i on i.term = q.term),
+qn as (select sqrt(sum(qw * qw)) as qn from qw),
+s as (select wt.doc_id, sum(w * coalesce(qw, 0)) as dot, sqrt(sum(w * w)) as norm from wt left join qw on qw.term = wt.term group by wt.doc_id),
+r as (select d.doc_id, coalesce(round(dot / (norm * qn), 9), 0) as score from documents d left join s on s.doc_id = d.doc_id cross join qn)
+select doc_id, round(score, 6) as score from r order by r.score desc, doc_id limit 20""")
+def tfidf_topk(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
+    hits = retrieval.tfidf_search(docs, F.col("text"), "License the worthless", 20)
+    return hits.select(F.col("seq").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+FORM = {"language_mode": "en", "currency": "USD", "payment": {"prepayment_required": True, "currency": "USD"}}
+
+
+@query("diverse_topk")
+def diverse_topk(spark, sf_dir):
+    """BM25 hits, masked, at most one of each source, none like another."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
+    hits = retrieval.bm25_search(docs, F.col("text"), ASKED, 80)
+    rows = docs.join(F.broadcast(hits), "seq").select("rank", F.col("source").alias("doc_id"), retrieval.mask_form_values(F.col("text"), FORM, False).alias("candidate"))
+    return retrieval.diverse_top_k(rows, 10).select("rank", F.col("doc_id").alias("source"), F.md5("candidate").alias("candidate_md5"))
+
+
+@query("retrieve_payment_terms")
+def retrieve_payment_terms(spark, sf_dir):
+    found = retrieval.retrieve_payment_terms(FORM, titled(table(spark, sf_dir, "documents")), 7, 800)
+    return found.select("rank", "doc_id", F.md5("candidate").alias("candidate_md5"))
+
+
+@query("retrieve_delivery_terms")
+def retrieve_delivery_terms(spark, sf_dir):
+    rows = titled(table(spark, sf_dir, "documents")).withColumn("section_id", F.when(F.col("seq") % 7 == 0, "delivery_terms").otherwise(""))
+    return retrieval.retrieve_delivery_terms(FORM, rows, 7, 1200).select("rank", "doc_id", F.md5("candidate").alias("candidate_md5"))
+
+
+@query("shingle_jaccard_pairs", f"""
+with w as (select doc_id, {WORDS} as w from documents),
+s as (select doc_id, list_distinct(list_transform(range(1, len(w) - 5), lambda i: array_to_string(w[i:i + 6], ' '))) as s from w where len(w) >= 7),
+u as (select doc_id, len(s) as n, unnest(s) as g from s),
+c as (select x.doc_id as a, y.doc_id as b, x.n as na, y.n as nb, count(*) as k from u x join u y on x.g = y.g and x.doc_id < y.doc_id group by x.doc_id, y.doc_id, x.n, y.n),
+e as (select a, b from c where k = na and k = nb), rep as (select b, min(a) as a from e group by b)
+select a, b, round(k / (na + nb - k), 6) as similarity from c where k / (na + nb - k) >= 0.55
+  and ((k = na and k = nb and a not in (select b from rep)) or (not (k = na and k = nb) and a not in (select b from rep) and b not in (select b from rep)))""")
+def shingle_jaccard_pairs(spark, sf_dir):
+    """Similar pairs between classes of equal shingle sets; the members of a class come as pairs with its first."""
+    found = retrieval.similar_pairs(table(spark, sf_dir, "documents"), F.col("text"), 7, 0.55, "doc_id")
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("prioritised_union_dedup", """
+with u as (select 0 as prio, doc_id as seq, text from documents where lang = 'de' union all select 1, doc_id, text from documents where n_chars < 2000),
+r as (select *, row_number() over (partition by substr(text, 1, 160) order by prio, seq) as n from u)
+select cast(prio as integer) as prio, seq from r where n = 1""")
+def prioritised_union_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
+    return retrieval.prioritised_union([docs.where("lang = 'de'"), docs.where("n_chars < 2000")], [F.substring("text", 1, 160)]).select("prio", "seq")
+
+
+# ---- text functions: the MD5 of the result per document
+
+def _text_query(name: str, make: Callable[[Column], Column], sql: str | None = None):
+    @query(name, f"select doc_id, md5({sql}) as result_md5 from documents" if sql else None)
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, "documents").select("doc_id", F.md5(make(F.col("text"))).alias("result_md5"))
+
+
+def _sql_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\v]+|[\s\v]+$', '', 'g')"
+
+
+_text_query("collapse_blanks", t.collapse_blanks, _sql_strip(r"regexp_replace(text, '[ \t\r\f\v]+', ' ', 'g')"))
+_text_query("unify_newlines", t.unify_newlines, r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+_text_query("tidy_spaces", t.tidy, _sql_strip(r"regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"))
+_text_query("plain_spaces", t.plain_spaces, _sql_strip(r"regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g')"))
+_text_query("narrow_spaces", t.narrow, rf"regexp_replace({_sql_strip('text')}, '[\s\v]{{2,}}', ' ', 'g')")
+_text_query("clean_page_text", t.clean_page_text, _sql_strip(r"regexp_replace(array_to_string(list_transform(regexp_split_to_array(regexp_replace(text, '(?i)Page\s+\d+\s+of\s+\d+', '', 'g'), '\r\n|[\n\r\v\f]'), lambda x: regexp_replace(regexp_replace(x, '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')"))
+_text_query("unify_dashes", t.unify_dashes, _sql_strip(r"regexp_replace(regexp_replace(regexp_replace(translate(text, '–—−' || chr(160) || chr(173), '--- '), '[ \t]+', ' ', 'g'), '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g')"))
+_text_query("unglue_words", t.unglue, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([,;:])([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([A-Za-zА-Яа-яЁё])(\d)', '\1 \2', 'g'), '(\d)([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([А-Яа-яЁё])([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])([А-Яа-яЁё])', '\1 \2', 'g')")
+_text_query("strip_placeholders", t.drop_placeholders, r"regexp_replace(text, '\[[^\]]{1,120}\]', '', 'g')")
+_text_query("number_lines", t.number_lines)
+_text_query("canonical_heading", t.canonical_heading)
+_text_query("smart_truncate", lambda c: t.smart_truncate(c, 2600), rf"case when length({_sql_strip('text')}) <= 2600 then {_sql_strip('text')} else (with c as (select substr({_sql_strip('text')}, 1, 2600) as a), d as (select regexp_replace(case when regexp_matches(substr(a, 1691), '[.!?;:\n]') then substr(a, 1, 1690) || regexp_extract(substr(a, 1691), '(?s)^.*[.!?;:\n]') else a end, '\s+$', '') as b from c) select case when regexp_matches(b, '[.!?…]$') then b else b || '…' end from d) end")
+_text_query("squash_repeats", lambda c: t.squash_repeats(35, 220)(c))
+_text_query("truncate_at_sentence", lambda c: t.truncate_at_sentence(c, 1500))
+_text_query("dedupe_lines_window", lambda c: F.array_join(t.dedupe_lines(t.lines(c), 30), "\n"))
+_text_query("drop_heading_echo", t.drop_heading_echo)
+_text_query("mask_numbers", retrieval.mask_numbers)
+_text_query("sentence_list", lambda c: F.array_join(t.sentences(c), "\n"))
+_text_query("bare_title", lambda c: t.bare_title(F.substring_index(c, "\n", 1)))
+_text_query("slug_title", lambda c: t.slug(t.compatible_form(F.substring_index(c, "\n", 1))))
+_text_query("first_word_after_number", lambda c: t.first_word_after_number(F.substring_index(c, "\n", 1)), rf"split_part({_sql_strip(rf'lower(regexp_replace({_sql_strip(TITLE)}, ' + chr(39) + chr(94) + r'\d+(\.\d+)*[.)]\s*' + chr(39) + ', ' + chr(39) * 2 + '))')}, ' ', 1)")
+
+
+@query("token_counts", f"""
+select doc_id, cast(len({WORDS}) as bigint) as tokens, cast(len(list_distinct({WORDS})) as bigint) as distinct_tokens, cast(length(regexp_replace(text, '[\\s\\v]+', '', 'g')) as bigint) as dense from documents""")
+def token_counts(spark, sf_dir):
+    words = t.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("tokens"), F.size(F.array_distinct(words)).cast("long").alias("distinct_tokens"), t.dense_length(F.col("text")).cast("long").alias("dense"))
+
+
+# ---- classifiers
+
+@query("language_filter", "select doc_id, lang from documents where lang in ('ru', 'en', 'bilingual')")
+def language_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(p.language_matches("bilingual", F.col("lang"))).select("doc_id", "lang")
+
+
+_BAG = ["the", "and", "tion", "re", "re", "of"]
+_AGAINST = ["!!", "http", "@", "license"]
+
+
+def _bag_sql(words: list[str]) -> str:
+    return " + ".join(f"contains(lower(text), '{w}')::int" for w in words)
+
+
+@query("keyword_filter", f"select doc_id from documents where ({_bag_sql(_BAG)}) >= 4 and (({_bag_sql(_AGAINST)}) < 1 or ({_bag_sql(_BAG)}) >= 6)")
+def keyword_filter(spark, sf_dir):
+    rows = titled(table(spark, sf_dir, "documents"))
+    return rows.where(p.in_domain(F.col("title"), F.col("text"), _BAG, _AGAINST, 4, 1, 6)).select(F.col("seq").alias("doc_id"))
+
+
+@query("payment_delivery_domains")
+def payment_delivery_domains(spark, sf_dir):
+    rows = titled(table(spark, sf_dir, "documents"))
+    low = F.lower(F.concat_ws("\n", "title", "text"))
+    return rows.select(F.col("seq").alias("doc_id"), t.count_words(low, p.PAYMENT_FOR).alias("payment_for"), t.count_words(low, p.PAYMENT_AGAINST).alias("payment_against"), t.count_words(low, p.DELIVERY_FOR).alias("delivery_for"), t.count_words(low, p.DELIVERY_AGAINST).alias("delivery_against"))
+
+
+@query("min_length_filter", f"select doc_id from documents where length({_sql_strip('text')}) >= 80")
+def min_length_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(p.long_enough(F.col("text"))).select("doc_id")
+
+
+_RATIO = "case when length(regexp_replace(lower(x), '[^a-z]', '', 'g')) > length(regexp_replace(lower(x), '[^а-яё]', '', 'g')) and length(regexp_replace(lower(x), '[^a-z]', '', 'g')) > 20 then 'en' else 'ru' end"
+
+
+@query("infer_language_ratio", f"select doc_id, {_RATIO} as inferred from (select doc_id, text as x from documents)")
+def infer_language_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", p.language_by_ratio(F.col("text")).alias("inferred"))
+
+
+@query("infer_language_any_latin", "select page_id, case when regexp_matches(html, '[A-Za-z]') then 'en' else 'ru' end as inferred from pages")
+def infer_language_any_latin(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", p.language_by_any_latin(F.col("html")).alias("inferred"))
+
+
+def _route_sql() -> str:
+    whens = lambda k: " ".join("when " + " or ".join(f"contains(x, '{w}')" for w in r[2]) + f" then '{r[k]}'" for r in p.TITLE_ROUTES)
+    return f"select doc_id, case {whens(0)} else '' end as section_id, case {whens(1)} else 'other' end as section_group from (select doc_id, lower({TITLE}) as x from documents)"
+
+
+@query("section_router", _route_sql())
+def section_router(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", p.title_route(F.substring_index("text", "\n", 1)).alias("r")).select("doc_id", "r.section_id", "r.section_group")
+
+
+@query("keyword_router")
+def keyword_router(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", p.keyword_route(F.substring_index("text", "\n", 1)).alias("section_id"))
+
+
+@query("section_group", "select section_id, case " + " ".join(f"when contains(section_id, '{k}') then '{g}'" for k, g in p.ID_GROUPS) + " else 'other' end as section_group, cast(count(*) as bigint) as n from (select case when conv_id % 4 = 0 then 'payment_terms_' || role when conv_id % 4 = 1 then 'governing_law' when conv_id % 4 = 2 then 'liability_' || role else role end as section_id from conversations) group by section_id")
+def section_group(spark, sf_dir):
+    ids = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("payment_terms_"), "role")).when(F.col("conv_id") % 4 == 1, "governing_law").when(F.col("conv_id") % 4 == 2, F.concat(F.lit("liability_"), "role")).otherwise(F.col("role"))
+    counted = table(spark, sf_dir, "conversations").select(ids.alias("section_id")).groupBy("section_id").agg(F.count("*").alias("n"))
+    return counted.select("section_id", p.id_group(F.col("section_id")).alias("section_group"), "n")
+
+
+@query("heading_flags")
+def heading_flags(spark, sf_dir):
+    """How many lines of each document each heading rule takes."""
+    rows = segment.lines_of(table(spark, sf_dir, "documents"))
+    x = F.col("line")
+    flags = {"heading": p.heading(x), "all_caps": p.all_caps_heading(x), "probable_caps": p.probable_caps(x), "by_level": p.heading_level(x).isNotNull(), "block": p.block_heading(x), "older_block": p.block_heading(x, None, 120, 2, 3, 0.85, 80, 80), "text": p.heading_text(x), "noise_block": p.noise_block(x), "noise": p.noise_heading(x), "action": p.begins_with_action(x), "title_like": p.title_like(x)}
+    return rows.groupBy("doc_id").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
+
+
+# ---- segmentation
+
+_LINES = r"list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\v\f]'), lambda x: regexp_replace(regexp_replace(replace(x, chr(160), ' '), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def _heading_sql(longest: int, digits: int, deeper: int, caps: float, caps_longest: int, colon: int) -> str:
+    letters = "length(regexp_replace(line, '[^A-Za-zА-Яа-яЁё]', '', 'g'))"
+    capitals = "length(regexp_replace(line, '[^A-ZА-ЯЁ]', '', 'g'))"
+    noise = r"(length(line) <= 2 or regexp_matches(lower(line), '^(buyer\s*/\s*seller|seller\s*/\s*buyer|buyer|seller|м\.?п\.?|swift|инн|кпп|огрн|qty)$') or (regexp_full_match(line, '[\w\-/.,:;() ]{1,25}') and length(regexp_replace(line, '\D', '', 'g')) >= 6))"
+    return rf"(length(line) <= {longest} and (regexp_matches(line, '^\d{{1,{digits}}}(\.\d{{1,{digits}}}){{0,{deeper}}}\.?\s+\S+') or ({letters} > 0 and length(line) <= {caps_longest} and {capitals} / {letters} > {caps}) or (line[-1:] = ':' and length(line) <= {colon}))) and not {noise}"
+
+
+_SEGMENT_SQL = """
+with l as (select doc_id, unnest({lines}) as line, generate_subscripts({lines}, 1) as pos from documents),
+h as (select *, {heading} as h, {title} as ttl from l),
+k as (select *, case when h then lower(ttl) end as key, last_value(case when h then lower(ttl) end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as before from h),
+o as (select *, h {same} as opens from k),
+n as (select *, sum(opens::int) over (partition by doc_id order by pos) as no, last_value(case when opens then ttl end ignore nulls) over (partition by doc_id order by pos) as name from o),
+b as (select doc_id, no, coalesce(any_value(name), 'Preamble') as title, string_agg(line, chr(10) order by pos) as body from n where not h group by doc_id, no)
+select doc_id, cast(row_number() over (partition by doc_id order by no) as integer) as "order", title, md5(body) as text_md5, {lang} as language from (select *, body as x from b)"""
+
+
+@query("segment_headings", _SEGMENT_SQL.format(lines=_LINES, heading=_heading_sql(140, 3, 4, 0.88, 90, 90), title=r"regexp_replace(regexp_replace(line, ':+$', ''), '\s+$', '')", same="and key is distinct from before", lang=_RATIO))
+def segment_headings(spark, sf_dir):
+    """The current rule of block segmentation, without taking out repeated lines."""
+    found = segment.block_sections(segment.lines_of(table(spark, sf_dir, "documents")), dedupe=False)
+    return found.select("doc_id", "order", "title", F.md5("text").alias("text_md5"), "language")
+
+
+@query("segment_headings_older", _SEGMENT_SQL.format(lines=_LINES.replace(r"regexp_replace(regexp_replace(replace(x, chr(160), ' '), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')", r"regexp_replace(x, '^\s+|\s+$', '', 'g')"), heading=_heading_sql(120, 2, 3, 0.85, 80, 80), title=r"regexp_replace(regexp_replace(regexp_replace(line, ':+$', ''), '\s+', ' ', 'g'), '\s+$', '')", same="", lang=_RATIO))
+def segment_headings_older(spark, sf_dir):
+    found = segment.block_sections(segment.lines_of(table(spark, sf_dir, "documents")), current=False)
+    return found.select("doc_id", "order", "title", F.md5("text").alias("text_md5"), "language")
+
+
+@query("segment_blocks_deduped")
+def segment_blocks_deduped(spark, sf_dir):
+    found = segment.block_sections(segment.lines_of(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "order", "title", "section_id", "section_group", "language", F.md5("text").alias("text_md5"))
+
+
+@query("titled_segments")
+def titled_segments(spark, sf_dir):
+    found = segment.titled_segments(segment.lines_of(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "order", "section_title", F.md5("text").alias("text_md5"))
+
+
+@query("split_sections_fold")
+def split_sections_fold(spark, sf_dir):
+    cleaned = table(spark, sf_dir, "documents").select("doc_id", t.clean_page_text(F.col("text")).alias("text"))
+    return segment.split_sections(cleaned).select("doc_id", "order", "section", F.md5("text").alias("text_md5"))
+
+
+@query("heal_headings")
+def heal_headings(spark, sf_dir):
+    blocks = segment.lines_of(table(spark, sf_dir, "documents")).withColumn("style", F.lit("Normal"))
+    return segment.heal_report(segment.heal_blocks(blocks))
+
+
+# ---- joins
+
+_ROLE_MAP = "(values ('user', 'Question'), ('assistant', 'Answer'), ('assistant', 'Reply')) m(section_id, title)"
+
+
+@query("title_map_left_join", f"select c.conv_id, c.turn, c.role as section_id, case when c.turn % 2 = 1 then 'Turn ' || c.turn else coalesce(m.title, '') end as final_title from conversations c left join {_ROLE_MAP} on m.section_id = c.role")
+def title_map_left_join(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("section_id"), F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Turn "), "turn")).otherwise("").alias("title"))
+    titles = spark.createDataFrame([("user", "Question"), ("assistant", "Answer"), ("assistant", "Reply")], "section_id string, title string")
+    return joins.fill_titles(rows, titles).select("conv_id", "turn", "section_id", "final_title")
+
+
+@query("nest_sections", "select conv_id as contract_id, md5(string_agg(role || ':' || text, '|' order by turn)) as nested_md5, cast(count(*) as bigint) as n from conversations group by conv_id")
+def nest_sections(spark, sf_dir):
+    nested = joins.nest_sections(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], ["role", "text"])
+    flat = F.array_join(F.transform("sections", lambda s: F.concat(s["role"], F.lit(":"), s["text"])), "|")
+    return nested.select(F.col("conv_id").alias("contract_id"), F.md5(flat).alias("nested_md5"), F.size("sections").cast("long").alias("n"))
+
+
+@query("flat_corpus_filter", "select cast(conv_id as varchar) as doc_id, role as section_id, md5(text) as text_md5 from conversations where length(text) >= 80")
+def flat_corpus_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("section_id"), F.lit("").alias("section_group"), F.lit("").alias("title"), F.lit("en").alias("language"), "text")
+    return writers.flat_corpus(rows, "conv_id").select("doc_id", "section_id", F.md5("text").alias("text_md5"))
+
+
+@query("dedupe_keep_first", "select doc_id, md5(text) as text_md5 from documents where text <> '' qualify row_number() over (partition by replace(lower(text), 'ß', 'ss') order by doc_id) = 1")
+def dedupe_keep_first(spark, sf_dir):
+    return cleaning.keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), t.fold_case(F.col("text")), ["doc_id"]).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("fuzzy_title_match")
+def fuzzy_title_match(spark, sf_dir):
+    """First lines of documents against a map of the benchmark's first words."""
+    known = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.concat(F.lit("s_"), "item_id").alias("section_id"), F.substring_index(F.substring_index("text", "\n", 1), " ", 6).alias("title"))
+    titles = table(spark, sf_dir, "documents").select(F.substring_index(F.substring_index("text", "\n", 1), " ", 6).alias("title"))
+    found = joins.match_titles(titles, joins.title_map(known)[0])
+    return found.select(F.md5("title").alias("title_md5"), "section_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("route_or_match")
+def route_or_match(spark, sf_dir):
+    known = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.concat(F.lit("s_"), "item_id").alias("section_id"), F.substring_index(F.substring_index("text", "\n", 1), " ", 6).alias("title"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring_index(F.substring_index("text", "\n", 1), " ", 6).alias("section_title"))
+    return joins.route_or_match(rows, joins.title_map(known)[0]).select("doc_id", "section_id", writers.confidence_text(F.col("confidence")).alias("confidence"))
+
+
+# ---- cleaning
+
+@query("anonymise")
+def anonymise(spark, sf_dir):
+    return cleaning.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "replacements", F.md5("text").alias("text_md5"))
+
+
+@query("clean_precedents")
+def clean_precedents(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    return cleaning.clean_precedents(rows, 120, 1800)[0].select(F.col("seq").alias("doc_id"), "replacements", F.md5("text").alias("text_md5"))
+
+
+@query("clean_report")
+def clean_report(spark, sf_dir):
+    return cleaning.clean_precedents(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text"), 120, 1800)[1]
+
+
+@query("pick_snippets", r"""
+with s as (select doc_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '[\s\v]+', ' ', 'g'), '^ | $', '', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))) as s, generate_subscripts(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '[\s\v]+', ' ', 'g'), '^ | $', '', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), 1) as pos from documents),
+f as (select *, row_number() over (partition by lower(s) order by doc_id, pos) as nth from s where not regexp_matches(s, '[\[\]]') and length(s) between 60 and 240 and (contains(lower(s), 'tion') or contains(lower(s), 'und')))
+select cast(row_number() over (order by doc_id, pos) as integer) as n, s as snippet from f where nth = 1 order by doc_id, pos limit 6""")
+def pick_snippets(spark, sf_dir):
+    return cleaning.pick_snippets(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text"), ["tion", "und"])
+
+
+# ---- statistics
+
+_TITLED_SQL = f"select doc_id, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) as pos from documents"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.lines_of(table(spark, sf_dir, "documents"))
+
+
+@query("section_counters", "select cast(count(distinct conv_id) as bigint) as documents, cast(count(*) filter (where trim(text) <> '') as bigint) as sections, cast(count(*) filter (where trim(text) = '') as bigint) as empty_sections, cast(count(*) filter (where role = 'FULL_TEXT') as bigint) as full_text from conversations")
+def section_counters(spark, sf_dir):
+    return stats.section_counters(table(spark, sf_dir, "conversations"), "conv_id", "role", "text")
+
+
+@query("segment_stats", f"with c as (select doc_id, count(*) as n from ({_TITLED_SQL}) group by doc_id) select round(avg(n), 6) as mean, cast(list_sort(list(n))[cast(count(*) // 2 as integer) + 1] as bigint) as median, cast(min(n) as bigint) as least, cast(max(n) as bigint) as greatest from c")
+def segment_stats(spark, sf_dir):
+    counts = _lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return stats.count_summary(counts, "n").withColumn("mean", F.round("mean", 6))
+
+
+@query("title_freq", f"select upper({TITLE}) as value, cast(count(*) as bigint) as n, cast(min(doc_id) as bigint) as first_seen from documents group by 1")
+def title_freq(spark, sf_dir):
+    return stats.frequencies(table(spark, sf_dir, "documents"), F.upper(F.substring_index("text", "\n", 1)), "doc_id")
+
+
+@query("first_word_freq", f"select split_part(lower({TITLE}), ' ', 1) as value, cast(count(*) as bigint) as n, cast(min(doc_id) as bigint) as first_seen from documents group by 1 order by n desc, first_seen limit 30")
+def first_word_freq(spark, sf_dir):
+    return stats.frequencies(table(spark, sf_dir, "documents"), t.first_word_after_number(F.substring_index("text", "\n", 1)), "doc_id", 30)
+
+
+@query("outlier_docs", f"select doc_id, cast(count(*) as bigint) as n from ({_TITLED_SQL}) group by doc_id having count(*) <= 2 or count(*) >= 40")
+def outlier_docs(spark, sf_dir):
+    return stats.outliers(_lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n")), "n")
+
+
+@query("status_counts", "select case when n_chars = 0 then 'zero_segments' when n_chars < 200 then 'short' else 'ok' end as status, cast(count(*) as bigint) as n from documents group by 1")
+def status_counts(spark, sf_dir):
+    return stats.status_counts(table(spark, sf_dir, "documents").select(F.when(F.col("n_chars") == 0, "zero_segments").when(F.col("n_chars") < 200, "short").otherwise("ok").alias("status")))
+
+
+@query("source_filter_distinct", "select lang, cast(count(distinct source) as bigint) as sources from documents where source <> 'src0' group by lang")
+def source_filter_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.col("source") != "src0").groupBy("lang").agg(F.countDistinct("source").alias("sources"))
+
+
+@query("safe_int_sort", "select conv_id, turn, cast(coalesce(trunc(try_cast(regexp_extract(text, '[0-9]+') as double)), 0) as integer) as order_key from conversations where coalesce(try_cast(regexp_extract(text, '[0-9]+') as double), 0) <= 2147483647 union all select conv_id, turn, 0 from conversations where coalesce(try_cast(regexp_extract(text, '[0-9]+') as double), 0) > 2147483647")
+def safe_int_sort(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", stats.safe_int(F.regexp_extract("text", "[0-9]+", 0)).alias("order_key"))
+    return rows.orderBy("conv_id", "order_key", "turn")
+
+
+@query("repetition_flag")
+def repetition_flag(spark, sf_dir):
+    return stats.repetition(table(spark, sf_dir, "documents"))
+
+
+@query("unique_section_ids")
+def unique_section_ids(spark, sf_dir):
+    """Slugs of the first words of titles, made unique in order of frequency."""
+    words = table(spark, sf_dir, "documents").select(F.substring(t.first_word_after_number(F.substring_index("text", "\n", 1)), 1, 3).alias("title")).where("title != ''")
+    return stats.unique_slugs(words.groupBy("title").agg(F.count("*").alias("count")))
+
+
+# ---- validators
+
+@query("validate_numbered_text", r"""
+with x as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '') as ls from documents)
+select doc_id, case when t = '' then 'empty_output' when length(regexp_replace(t, '[\s\v]+', '', 'g')) < 850 then 'too_short' when len(list_filter(ls, lambda l: regexp_matches(l, '^\d+\.\d+\.\s+'))) < 0 then 'too_few_list_items'
+  when regexp_matches(t, '(?i)\b(swift|iban|beneficiary)\b|\baccount\s+no\b') then 'bank_details_detected' when regexp_matches(t, '(?i)\blate\s+payment\b|\bdefault\s+interest\b') then 'late_payment_penalty_detected' end as code from x""")
+def validate_numbered_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", validate.payment_terms(F.col("text"), False, False, 850, 0).alias("code"))
+
+
+@query("validate_delivery_text")
+def validate_delivery_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", validate.delivery_terms(F.col("text"), 900, 0).alias("code"))
+
+
+@query("validate_older_text")
+def validate_older_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    flags = stats.repetition(docs).withColumnRenamed("doc_id", "_id")
+    return docs.join(flags, F.col("doc_id") == F.col("_id")).select("doc_id", validate.old_payment_terms(F.col("text"), False, False, F.col("repeated")).alias("code"))
+
+
+@query("form_issues", "select conv_id, '$' as path, 'required ' || k as rule from (select distinct conv_id from conversations) cross join (values ('contract_type'), ('delivery'), ('liability'), ('payment')) v(k) union all select distinct conv_id, '$', 'additionalProperties' from conversations union all select distinct conv_id, '$.language_mode', 'enum' from conversations where conv_id % 3 = 2")
+def form_issues(spark, sf_dir):
+    """A form from each conversation: most fields are missing and one is unknown."""
+    mode = F.when(F.col("conv_id") % 3 == 0, "ru").when(F.col("conv_id") % 3 == 1, "en").otherwise("xx")
+    forms = table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.to_json(F.struct(mode.alias("language_mode"), F.lit("EUR").alias("currency"), F.col("conv_id").alias("other"))).alias("form"))
+    return validate.form_issues(forms, "conv_id", "form")
+
+
+# ---- JSON
+
+@query("json_structure_probe", """
+with c as (select conv_id, list({'t': case when conv_id % 5 = 0 then '' else role end, 'x': text} order by turn) as s from conversations group by conv_id)
+select conv_id, case when conv_id % 7 = 3 then 'parse_error' when conv_id % 7 = 4 or conv_id % 5 = 0 then 'unsupported_json_structure' else 'ok' end as status, cast(case when conv_id % 7 in (3, 4) or conv_id % 5 = 0 then 0 else len(s) end as bigint) as sections from c""")
+def json_structure_probe(spark, sf_dir):
+    """Conversations written as JSON contracts, some broken, some without a list, some without titles."""
+    item = F.struct(F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("role")).alias("heading"), F.col("text").alias("body"))
+    nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]).alias("segments"))
+    text = F.when(F.col("conv_id") % 7 == 3, "{broken").when(F.col("conv_id") % 7 == 4, '{"pages": []}').when(F.col("conv_id") % 7 == 5, F.to_json("segments")).otherwise(F.to_json(F.struct("segments")))
+    coded = nested.select("conv_id", text.alias("json"))
+    return coded.select("conv_id", readers.json_status(F.col("json")).alias("status"), F.coalesce(F.size(readers.json_sections(F.col("json"))), F.lit(0)).cast("long").alias("sections")).select("conv_id", "status", F.greatest("sections", F.lit(0)).alias("sections"))
