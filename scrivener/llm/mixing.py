@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import n_words
+from scrivener.llm.common import materialize, n_words
 
 
 def highest_quotients(votes: DataFrame, within: Sequence[str], vote: str, seats: str, tie: Sequence[str], out: str) -> DataFrame:
@@ -75,12 +75,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless"), "source_size", "target", "block", "source_blocks")
 
     dealt = rows.join(names, ["name", "nameless"]).select("doc_id", "name", "nameless", "size", "order", (F.conv(F.substring("order", 1, 12), 16, 10).cast("long") % F.col("shards")).alias("shard"))
-    line = Window.partitionBy("name", "nameless", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one column for the three: rows dealt by source alone must not count as dealt by source and shard
+    dealt = dealt.withColumn("cell", F.struct("name", "nameless", "shard"))
+    line = Window.partitionBy("cell").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("end", F.sum("size").over(line))
 
-    shard_sizes = dealt.groupBy("name", "nameless", "shard").agg(F.sum("size").alias("shard_size"))
+    shard_sizes = dealt.groupBy("cell").agg(F.sum("size").alias("shard_size")).select("cell.*", "shard_size")
     quotas = highest_quotients(shard_sizes.join(targets, ["name", "nameless"]), ["name", "nameless"], "shard_size", "source_blocks", ["shard"], "quota")
     tokens = F.least(F.col("quota") * F.col("block"), F.col("shard_size") * cap)
-    quotas = quotas.withColumn("tokens", tokens).select("name", "nameless", "shard", "source_size", "target", F.expr("case when shard_size > 0 then tokens div shard_size else 0 end").alias("passes"), F.expr("case when shard_size > 0 then tokens % shard_size else 0 end").alias("rest"))
+    quotas = quotas.withColumn("tokens", tokens).select(F.struct("name", "nameless", "shard").alias("cell"), "source_size", "target", F.expr("case when shard_size > 0 then tokens div shard_size else 0 end").alias("passes"), F.expr("case when shard_size > 0 then tokens % shard_size else 0 end").alias("rest"))
     taken: Column = F.col("passes") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("end"), F.col("rest")) - (F.col("end") - F.col("size")))
-    return placed.join(quotas, ["name", "nameless", "shard"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.join(quotas, "cell").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
