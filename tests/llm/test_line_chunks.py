@@ -1,0 +1,67 @@
+import hashlib
+import random
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from helpers import clashing, documents, rows
+from scrivener.llm import line_chunks as lc
+
+
+def chunks(text):
+    out, now, last = [], [], 0
+    for line in text.split("\n"):
+        h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
+        now.append(line)
+        if (h + lc.FACTOR * last) % lc.DIVISOR == 0:
+            out.append(now)
+            now = []
+        last = h
+    return out + [now] if now else out
+
+
+def brute(data):
+    keyed = sorted(((i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), t) for i, t in data), key=lambda x: x[:3])
+    first, out = {}, []
+    for none, i, part, t in keyed:
+        for n, c in enumerate(chunks(t or "")):
+            first.setdefault("\n".join(c), (none, i, part, n))
+    for none, i, part, t in keyed:
+        cs = chunks(t or "")
+        stay = [c for n, c in enumerate(cs) if len(c) < 2 or first["\n".join(c)] == (none, i, part, n)]
+        lines, left = sum(map(len, cs)), sum(map(len, stay))
+        out.append((None if none else i, 0 if t is None else lines, 0 if t is None else lines - left, None if t is None else "\n".join("\n".join(c) for c in stay)))
+    return sorted(out, key=repr)
+
+
+def corpus():
+    rng = random.Random(6)
+    passage = [[f"p{k} line {i}" for i in range(20)] for k in range(4)]
+    data = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(4)):
+            lines += rng.choice(passage)[rng.randrange(5) :] if rng.random() < 0.5 else [f"own {rng.random()}" for _ in range(rng.randrange(8))]
+        data.append((i, "\n".join(lines)))
+    return data + [(100, None), (101, ""), (102, "\n\n\n\n\n\n"), (103, "\n\n\n\n\n\n"), (5, data[5][1]), (None, data[7][1]), (104, data[9][1])]
+
+
+COLS = ("doc_id", "n_lines", "n_removed", "kept")
+
+
+def test_against_brute_force(spark):
+    data = corpus()
+    assert rows(lc.remove_repeated_chunks(clashing(documents(spark, data))), *COLS) == brute(data)
+
+
+def test_collisions_and_no_rows(spark):
+    data = corpus()
+    assert rows(lc.remove_repeated_chunks(documents(spark, data), digest=lambda t: F.substring(F.md5(t), 1, 2)), *COLS) == brute(data)
+    assert lc.remove_repeated_chunks(documents(spark, [])).count() == 0
+
+
+def test_boundaries_resist_shifts():
+    lines = [f"line {i}" for i in range(200)]
+    a = {"\n".join(c) for c in chunks("\n".join(lines))}
+    b = {"\n".join(c) for c in chunks("\n".join(["put in front"] + lines))}
+    assert len(a & b) >= len(a) - 2
