@@ -21,9 +21,11 @@ def language_matches(wanted: str, language: Column) -> Column:
 
 def language_by_ratio(c: Column) -> Column:
     """en if there are more Latin than Cyrillic letters and over 20 of them, else ru."""
-    low = F.lower(t.filled(c))
-    latin, cyrillic = F.length(F.regexp_replace(low, "[^a-z]", "")), F.length(F.regexp_replace(low, "[^а-яё]", ""))
-    return F.when((latin > cyrillic) & (latin > 20), "en").otherwise("ru")
+    def decide(n: Column) -> Column:
+        return F.when((n["latin"] > n["cyrillic"]) & (n["latin"] > 20), "en").otherwise("ru")
+
+    size = lambda low, other: F.length(F.regexp_replace(low, other, ""))
+    return t.bind(F.lower(t.filled(c)), lambda low: t.bind(F.struct(size(low, "[^a-z]").alias("latin"), size(low, "[^а-яё]").alias("cyrillic")), decide))
 
 
 def language_by_any_latin(c: Column) -> Column:
@@ -56,9 +58,11 @@ DELIVERY_AGAINST = (
 
 def in_domain(title: Column, body: Column, words_for: Sequence[str], words_against: Sequence[str], least: int = 4, most_against: int = 3, sure: int = 7) -> Column:
     """At least ``least`` words for; with ``most_against`` words against or more, at least ``sure`` for."""
-    low = F.lower(F.concat(t.filled(title), F.lit("\n"), t.filled(body)))
-    pro, con = t.count_words(low, words_for), t.count_words(low, words_against)
-    return (pro >= least) & ((con < most_against) | (pro >= sure))
+    def decide(low: Column) -> Column:
+        counts = F.struct(t.count_words(low, words_for).alias("pro"), t.count_words(low, words_against).alias("con"))
+        return t.bind(counts, lambda n: (n["pro"] >= least) & ((n["con"] < most_against) | (n["pro"] >= sure)))
+
+    return t.bind(F.lower(F.concat(t.filled(title), F.lit("\n"), t.filled(body))), decide)
 
 
 def long_enough(c: Column, least: int = 80) -> Column:
@@ -92,7 +96,7 @@ MAX_LEVEL = 2
 def number_level(line: Column) -> Column:
     """Parts of a leading number like 4.1. or 4.1), 0 without one."""
     number = F.regexp_extract(t.strip(line), r"(?U)^(\d+(?:\.\d+)*)[.)]\s+", 1)
-    return F.when(number == "", 0).otherwise(F.size(F.split(number, r"\.")))
+    return t.bind(number, lambda n: F.when(n == "", 0).otherwise(F.size(F.split(n, r"\."))))
 
 
 def begins_with_action(line: Column) -> Column:
@@ -101,18 +105,22 @@ def begins_with_action(line: Column) -> Column:
 
 
 def title_like(line: Column) -> Column:
-    s = t.strip(t.filled(line))
-    return (s != "") & (s.endswith(":") | (t.count_words(F.lower(s), TITLE_WORDS) > 0))
+    def decide(s: Column) -> Column:
+        return (s != "") & (s.endswith(":") | (t.count_words(F.lower(s), TITLE_WORDS) > 0))
+
+    return t.bind(t.strip(t.filled(line)), decide)
 
 
 def all_caps_heading(line: Column) -> Column:
     """Six letters or more, all capitals, at most 90 characters; no cover-page label, nothing in parentheses."""
-    s = t.narrow(line)
-    letters = F.regexp_replace(s, f"[^{t.LETTERS}]", "")
-    cover = F.lit(False)
-    for x in COVER_CAPS:
-        cover = cover | s.startswith(x)
-    return ~cover & ~(s.startswith("(") & s.endswith(")")) & (F.length(s) <= 90) & (F.length(letters) >= 6) & (letters == F.upper(letters))
+    def decide(s: Column) -> Column:
+        letters = F.regexp_replace(s, f"[^{t.LETTERS}]", "")
+        cover = F.lit(False)
+        for x in COVER_CAPS:
+            cover = cover | s.startswith(x)
+        return ~cover & ~(s.startswith("(") & s.endswith(")")) & (F.length(s) <= 90) & (F.length(letters) >= 6) & (letters == F.upper(letters))
+
+    return t.bind(t.narrow(line), decide)
 
 
 def addendum(line: Column) -> Column:
@@ -125,43 +133,51 @@ def listed_heading(line: Column) -> Column:
 
 def heading(line: Column, caps: bool = True) -> Column:
     """Listed, ARTICLE n, addendum, numbered (up to level 2, no action, like a title) or, if ``caps``, capitals."""
-    s = t.narrow(line)
-    numbered = s.rlike(r"(?U)^\d+(\.\d+)*[.)]\s+.+$")
-    by_number = (number_level(s) > 0) & (number_level(s) <= MAX_LEVEL) & ~begins_with_action(s) & title_like(s)
-    article = s.rlike(r"(?iU)^(ARTICLE|CLAUSE|SECTION)\s+\d+(\.\d+)*[.)]?(\s+.+)?$")
-    found = F.when(listed_heading(s) | article | addendum(s), True).when(numbered, by_number)
-    return (s != "") & found.otherwise(all_caps_heading(s) if caps else F.lit(False))
+    def decide(s: Column) -> Column:
+        numbered = s.rlike(r"(?U)^\d+(\.\d+)*[.)]\s+.+$")
+        by_number = (number_level(s) > 0) & (number_level(s) <= MAX_LEVEL) & ~begins_with_action(s) & title_like(s)
+        article = s.rlike(r"(?iU)^(ARTICLE|CLAUSE|SECTION)\s+\d+(\.\d+)*[.)]?(\s+.+)?$")
+        found = F.when(listed_heading(s) | article | addendum(s), True).when(numbered, by_number)
+        return (s != "") & found.otherwise(all_caps_heading(s) if caps else F.lit(False))
+
+    return t.bind(t.narrow(line), decide)
 
 
 # ---- headings by level, for healing
 
 def probable_caps(line: Column) -> Column:
-    s = t.unify_dashes(line)
-    letters, capitals = F.length(F.regexp_replace(s, r"(?U)[^\p{IsAlphabetic}]", "")), F.length(F.regexp_replace(s, r"(?U)[^\p{Lu}]", ""))
-    marks = F.length(F.regexp_replace(s, "[^.!?;]", ""))
-    fit = (s != "") & (F.length(s) <= 90) & ~s.rlike(r"(?U)^\s*[-•]\s+.+$") & (letters >= 4) & (marks < 2)
-    return fit & ((capitals / F.greatest(letters, F.lit(1)) >= 0.75) | s.contains("/"))
+    def decide(s: Column) -> Column:
+        letters, capitals = F.length(F.regexp_replace(s, r"(?U)[^\p{IsAlphabetic}]", "")), F.length(F.regexp_replace(s, r"(?U)[^\p{Lu}]", ""))
+        marks = F.length(F.regexp_replace(s, "[^.!?;]", ""))
+        fit = (s != "") & (F.length(s) <= 90) & ~s.rlike(r"(?U)^\s*[-•]\s+.+$") & (letters >= 4) & (marks < 2)
+        return fit & ((capitals / F.greatest(letters, F.lit(1)) >= 0.75) | s.contains("/"))
+
+    return t.bind(t.unify_dashes(line), decide)
 
 
 def heading_level(line: Column) -> Column:
     """1, 2 or 3 for a heading, else null.  A number needs a final dot or parenthesis for each of its parts."""
-    s = t.canonical_heading(line)
-    number = r"(?U)^\s*(\d{1,3})(?:\.(\d{1,3}))?(?:\.(\d{1,3}))?\s*[.)]\s*(.+)$"
-    by_number = F.when(F.regexp_extract(s, number, 3) != "", 3).when(F.regexp_extract(s, number, 2) != "", 2).otherwise(1)
-    dash = t.unify_dashes(line).rlike(r"(?U)^\s*(\d{1,3})\s*-\s*(.+)$")
-    return F.when(s.rlike(r"(?iU)^\s*СТАТЬЯ\s+(\d+)\.?\s*(.*)$"), 1).when(s.rlike(number), by_number).when(dash | probable_caps(s), 1)
+    def decide(s: Column) -> Column:
+        number = r"(?U)^\s*(\d{1,3})(?:\.(\d{1,3}))?(?:\.(\d{1,3}))?\s*[.)]\s*(.+)$"
+        by_number = F.when(F.regexp_extract(s, number, 3) != "", 3).when(F.regexp_extract(s, number, 2) != "", 2).otherwise(1)
+        dash = t.unify_dashes(line).rlike(r"(?U)^\s*(\d{1,3})\s*-\s*(.+)$")
+        return F.when(s.rlike(r"(?iU)^\s*СТАТЬЯ\s+(\d+)\.?\s*(.*)$"), 1).when(s.rlike(number), by_number).when(dash | probable_caps(s), 1)
+
+    return t.bind(t.canonical_heading(line), decide)
 
 
 # ---- headings of corpus blocks
 
 def block_heading(line: Column, style: Column | None = None, longest: int = 140, digits: int = 3, deeper: int = 4, caps: float = 0.88, caps_longest: int = 90, colon_longest: int = 90) -> Column:
     """By style name, number, share of capitals or closing colon.  The older rule: 120, 2, 3, .85, 80, 80."""
-    s = t.plain_spaces(line)
-    number = s.rlike(rf"(?U)^\d{{1,{digits}}}(\.\d{{1,{digits}}}){{0,{deeper}}}\.?\s+\S+")
-    capitals = (F.length(s) <= caps_longest) & (F.coalesce(t.caps_ratio(s), F.lit(0.0)) > caps)
-    colon = s.endswith(":") & (F.length(s) <= colon_longest)
-    styled = F.lit(False) if style is None else F.lower(t.strip(t.filled(style))).rlike("^(heading|заголовок|header)")
-    return (s != "") & (F.length(s) <= longest) & (styled | number | capitals | colon)
+    def decide(s: Column) -> Column:
+        number = s.rlike(rf"(?U)^\d{{1,{digits}}}(\.\d{{1,{digits}}}){{0,{deeper}}}\.?\s+\S+")
+        capitals = (F.length(s) <= caps_longest) & (F.coalesce(t.caps_ratio(s), F.lit(0.0)) > caps)
+        colon = s.endswith(":") & (F.length(s) <= colon_longest)
+        styled = F.lit(False) if style is None else F.lower(t.strip(t.filled(style))).rlike("^(heading|заголовок|header)")
+        return (s != "") & (F.length(s) <= longest) & (styled | number | capitals | colon)
+
+    return t.bind(t.plain_spaces(line), decide)
 
 
 #: Short lines that are no headings.
@@ -169,18 +185,22 @@ NOISE = (r"^buyer\s*/\s*seller$", r"^seller\s*/\s*buyer$", r"^buyer$", r"^seller
 
 
 def noise_block(line: Column) -> Column:
-    s = t.plain_spaces(line)
-    x = F.lower(s)
-    coded = s.rlike(r"(?U)^[\w\-/.,:;() ]{1,25}$") & (F.length(F.regexp_replace(s, r"(?U)\D", "")) >= 6)
-    return (F.length(x) <= 2) | x.rlike("(?U)" + "|".join(NOISE)) | coded
+    def decide(s: Column) -> Column:
+        x = F.lower(s)
+        coded = s.rlike(r"(?U)^[\w\-/.,:;() ]{1,25}$") & (F.length(F.regexp_replace(s, r"(?U)\D", "")) >= 6)
+        return (F.length(x) <= 2) | x.rlike("(?U)" + "|".join(NOISE)) | coded
+
+    return t.bind(t.plain_spaces(line), decide)
 
 
 def heading_text(line: Column) -> Column:
     """A short title with a heading's word, or in capitals up to 80 characters."""
-    s = t.bare_title(line)
-    words = r"(?iU)\b(предмет|оплата|поставка|ответственност|арбитраж|споры|право|гаранти|форс|реквизит|definitions|subject|payment|delivery|liability|arbitration|governing law|warranty|force majeure|signatures)\b"
-    upper = (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) <= 80)
-    return (s != "") & (F.length(s) <= 120) & s.rlike("[A-Za-zА-Яа-я]") & (s.rlike(words) | upper)
+    def decide(s: Column) -> Column:
+        words = r"(?iU)\b(предмет|оплата|поставка|ответственност|арбитраж|споры|право|гаранти|форс|реквизит|definitions|subject|payment|delivery|liability|arbitration|governing law|warranty|force majeure|signatures)\b"
+        upper = (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) <= 80)
+        return (s != "") & (F.length(s) <= 120) & s.rlike("[A-Za-zА-Яа-я]") & (s.rlike(words) | upper)
+
+    return t.bind(t.bare_title(line), decide)
 
 
 def paragraph_heading(line: Column, style: Column) -> Column:
@@ -190,16 +210,18 @@ def paragraph_heading(line: Column, style: Column) -> Column:
 
 def noise_heading(line: Column) -> Column:
     """Stamps, table labels, forms to fill in, contract numbers, delivery-clause notes, short parentheses."""
-    raw = F.regexp_replace(t.strip(t.filled(line)), r"(?U)\s+", " ")
-    low = F.lower(raw)
-    bracketed = raw.startswith("(") & raw.endswith(")")
-    terms = low.rlike("cip|cif|fca|dap|ddp|exw|cpt|cfr|fob")
-    return (
-        (raw == "") | low.isin("м.п.", "м.п. м.п.", "m.p.", "mp", "swift", "swft", "инн", "inn", "qty")
-        | low.rlike(r"(?U)^(buyer|seller|покупатель|продавец|поставщик|заказчик)(\s*/\s*.*)?$") | raw.rlike("_{3,}")
-        | (low.rlike(r"(?U)\bcontract\b") & (raw.contains("№") | low.contains("n"))) | low.startswith("ontract")
-        | ((low.contains("инкотермс") | low.contains("incoterms")) & bracketed) | (low.rlike(r"(?U)\b(usd|eur|rub|uzs|cny)\b") & terms) | (bracketed & (F.length(raw) <= 40))
-    )
+    def decide(raw: Column) -> Column:
+        low = F.lower(raw)
+        bracketed = raw.startswith("(") & raw.endswith(")")
+        terms = low.rlike("cip|cif|fca|dap|ddp|exw|cpt|cfr|fob")
+        return (
+            (raw == "") | low.isin("м.п.", "м.п. м.п.", "m.p.", "mp", "swift", "swft", "инн", "inn", "qty")
+            | low.rlike(r"(?U)^(buyer|seller|покупатель|продавец|поставщик|заказчик)(\s*/\s*.*)?$") | raw.rlike("_{3,}")
+            | (low.rlike(r"(?U)\bcontract\b") & (raw.contains("№") | low.contains("n"))) | low.startswith("ontract")
+            | ((low.contains("инкотермс") | low.contains("incoterms")) & bracketed) | (low.rlike(r"(?U)\b(usd|eur|rub|uzs|cny)\b") & terms) | (bracketed & (F.length(raw) <= 40))
+        )
+
+    return t.bind(F.regexp_replace(t.strip(t.filled(line)), r"(?U)\s+", " "), decide)
 
 
 # ---- routers.  Fixed values: ordered; the first that matches decides.

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ NBSP = " "
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c worked out once however often f names it, inside lambdas too."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def filled(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -102,6 +108,19 @@ def drop_placeholders(c: Column) -> Column:
     return F.regexp_replace(filled(c), r"\[[^\]]{1,120}\]", "")
 
 
+def _may_repeat(t: str, least: int, most: int) -> bool:
+    """Whether ``least`` characters come again at a distance that a run of copies can have; cheap, never wrongly false."""
+    codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    gap = max((len(m) for m in re.findall(r"\s+", t)), default=0)
+    h = np.zeros(len(codes) - least + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(least):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(h)]
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    return bool(np.any(same & (np.diff(order) <= most + gap)))
+
+
 def squash_repeats(least: int = 30, most: int = 220):
     """Function of a text column: a run of copies of ``least`` to ``most`` characters, with white space between,
     becomes one, until nothing changes.  A backreference to a fixed point: Python, batch by batch."""
@@ -113,7 +132,7 @@ def squash_repeats(least: int = 30, most: int = 220):
         def squash(t: str | None) -> str:
             t = t or ""
             before = None
-            while len(t) >= 2 * least and t != before:
+            while len(t) >= 2 * least and t != before and _may_repeat(t, least, most):
                 before, t = t, again.sub(r"\1", t)
             return t
 
@@ -124,12 +143,14 @@ def squash_repeats(least: int = 30, most: int = 220):
 
 def smart_truncate(c: Column, most: int = 2600) -> Column:
     """At most ``most`` characters, cut after the last mark in the final 35 %, else hard; an ellipsis ends it."""
-    t, low = strip(filled(c)), int(most * 0.65)
-    tail = F.substring(t, low + 1, most - low)
-    upto = F.regexp_extract(tail, r"(?s)^.*[.!?;:\n]", 0)
-    cut = rstrip(F.when(upto != "", F.concat(F.substring(t, 1, low), upto)).otherwise(F.substring(t, 1, most)))
-    ended = F.when((cut == "") | cut.rlike(r"[.!?…]$"), cut).otherwise(F.concat(cut, F.lit("…")))
-    return F.when(F.length(t) <= most, t).otherwise(ended)
+    low = int(most * 0.65)
+    ended = lambda cut: F.when((cut == "") | cut.rlike(r"[.!?…]$"), cut).otherwise(F.concat(cut, F.lit("…")))
+
+    def shorten(t: Column) -> Column:
+        upto = F.regexp_extract(F.substring(t, low + 1, most - low), r"(?s)^.*[.!?;:\n]", 0)
+        return bind(rstrip(bind(upto, lambda u: F.when(u != "", F.concat(F.substring(t, 1, low), u)).otherwise(F.substring(t, 1, most)))), ended)
+
+    return bind(strip(filled(c)), lambda t: F.when(F.length(t) <= most, t).otherwise(shorten(t)))
 
 
 def sentences(c: Column) -> Column:
@@ -140,18 +161,19 @@ def sentences(c: Column) -> Column:
 
 def truncate_at_sentence(c: Column, most: int = 1500) -> Column:
     """Whole sentences up to ``most`` characters; a first one that is longer is cut at its last blank."""
-    t = tidy(c)
     start = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
 
     def add(a: Column, s: Column) -> Column:
-        longer = F.when(a["out"] == "", s).otherwise(F.concat(a["out"], F.lit(" "), s))
-        full = a["full"] | (F.length(longer) > most)
-        return F.struct(F.when(full, a["out"]).otherwise(longer).alias("out"), full.alias("full"))
+        size = F.length(a["out"]) + F.when(a["out"] == "", 0).otherwise(1) + F.length(s)
+        full = a["full"] | (size > most)
+        return F.struct(F.when(full, a["out"]).when(a["out"] == "", s).otherwise(F.concat(a["out"], F.lit(" "), s)).alias("out"), full.alias("full"))
+
+    def shorten(t: Column) -> Column:
+        whole = lambda x: F.aggregate(x, start, add, lambda a: a["out"])
+        hard = lambda x: strip(F.regexp_replace(F.substring(F.coalesce(F.get(x, F.lit(0)), t), 1, most), r"(?s) [^ ]*$", ""))
+        return bind(sentences(t), lambda x: bind(whole(x), lambda kept: F.when(kept == "", hard(x)).otherwise(kept)))
 
-    kept = F.aggregate(sentences(t), start, add, lambda a: a["out"])
-    first = F.substring(F.coalesce(F.get(sentences(t), F.lit(0)), t), 1, most)
-    hard = strip(F.when(first.contains(" "), F.regexp_replace(first, r"(?s) [^ ]*$", "")).otherwise(first))
-    return F.when(F.length(t) <= most, t).otherwise(F.when(kept == "", hard).otherwise(kept))
+    return bind(tidy(c), lambda t: F.when(F.length(t) <= most, t).otherwise(shorten(t)))
 
 
 def fold_case(c: Column) -> Column:
@@ -165,7 +187,9 @@ def dedupe_lines(rows: Column, window: int) -> Column:
     start = F.array().cast("array<struct<line:string,key:string>>")
 
     def add(out: Column, x: Column) -> Column:
-        key = fold_case(x)
+        return bind(fold_case(x), lambda key: _add(out, x, key))
+
+    def _add(out: Column, x: Column, key: Column) -> Column:
         recent = F.slice(out, F.greatest(F.size(out) - window + 1, F.lit(1)), F.lit(window))
         return F.when(F.exists(recent, lambda r: r["key"] == key), out).otherwise(F.concat(out, F.array(F.struct(x.alias("line"), key.alias("key")))))
 
@@ -175,8 +199,7 @@ def dedupe_lines(rows: Column, window: int) -> Column:
 def caps_ratio(c: Column) -> Column:
     """Share of capitals among the Latin and Cyrillic letters; null without letters."""
     letters = F.regexp_replace(c, f"[^{LETTERS}]", "")
-    capitals = F.length(F.regexp_replace(letters, "[^A-ZА-ЯЁ]", ""))
-    return capitals / F.nullif(F.length(letters), F.lit(0))
+    return bind(letters, lambda x: F.length(F.regexp_replace(x, "[^A-ZА-ЯЁ]", "")) / F.nullif(F.length(x), F.lit(0)))
 
 
 def looks_caps_heading(c: Column) -> Column:
@@ -187,8 +210,11 @@ def looks_caps_heading(c: Column) -> Column:
 
 def drop_while(rows: Column, bad) -> Column:
     """An array without the leading items for which ``bad`` holds."""
-    good = F.array_position(F.transform(rows, lambda x: ~bad(x)), True)
-    return F.when(good > 0, F.slice(rows, F.greatest(good, F.lit(1)).cast("int"), F.size(rows))).otherwise(F.slice(rows, 1, 0))
+    def cut(r: Column) -> Column:
+        good = F.array_position(F.transform(r, lambda x: ~bad(x)), True)
+        return bind(good, lambda g: F.when(g > 0, F.slice(r, F.greatest(g, F.lit(1)).cast("int"), F.size(r))).otherwise(F.slice(r, 1, 0)))
+
+    return bind(rows, cut)
 
 
 def drop_heading_echo(c: Column) -> Column:
@@ -210,8 +236,8 @@ def compatible_form(texts: pd.Series) -> pd.Series:
 
 def slug(c: Column) -> Column:
     """Of a text in NFKC: lower case, other than word characters as one underscore, ``s_`` before a digit."""
-    s = rewrite(F.lower(strip(filled(c))), (r"(?U)[^\w]+", "_"), ("_+", "_"), ("^_|_$", ""))
-    return F.when(s == "", "empty").when(s.rlike(r"(?U)^\d"), F.concat(F.lit("s_"), s)).otherwise(s)
+    made = rewrite(F.lower(strip(filled(c))), (r"(?U)[^\w]+", "_"), ("_+", "_"), ("^_|_$", ""))
+    return bind(made, lambda s: F.when(s == "", "empty").when(s.rlike(r"(?U)^\d"), F.concat(F.lit("s_"), s)).otherwise(s))
 
 
 #: Labels that may precede a number in a title.
@@ -278,9 +304,11 @@ def tokens(c: Column) -> Column:
 
 def shingles(c: Column, k: int = 7) -> Column:
     """The set of runs of ``k`` tokens; empty for fewer tokens."""
-    t = tokens(c)
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
-    return F.when(F.size(t) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    def runs(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
+        return F.when(F.size(t) >= k, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return bind(tokens(c), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

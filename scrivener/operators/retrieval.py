@@ -85,7 +85,9 @@ def tfidf_search(docs: DataFrame, body: Column, query: str, limit: int = 3, min_
     nothing with the query score 0 and come last, in corpus order.
     """
     def grams(c: Column) -> Column:
-        w = F.regexp_extract_all(F.lower(t.filled(c)), F.lit(r"(?U)(\b\w\w+\b)"), 1)
+        return t.bind(F.regexp_extract_all(F.lower(t.filled(c)), F.lit(r"(?U)(\b\w\w+\b)"), 1), with_pairs)
+
+    def with_pairs(w: Column) -> Column:
         pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
         return F.concat(w, pairs)
 
