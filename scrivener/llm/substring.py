@@ -136,9 +136,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text has no words; a null doc_id comes after all others; rows that share a doc_id don't count against
     each other; repeated rows stay.  No rows give none.
 
-    1. A text whose whole word sequence is in a smaller document goes entirely and is left out below.
-    2. A window can repeat only if its least gram is in two documents; other windows are left out.  This
-       loses nothing and keeps most of a corpus out of the shuffles below.
+    1. A text whose whole word sequence is in a smaller document goes entirely and takes no part below.
+    2. A window can repeat only if its least gram is in two different texts; other windows are left out.
+       This loses nothing and keeps most of a corpus out of the shuffles below.
     3. Index: the non-overlapping blocks of window // 2 words of each text.  Any window holds one whole.
        Probe: every run of as many words.  A hit is a run that is a block of a smaller document or, of a
        document, one that a larger one has.
@@ -151,21 +151,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     facts = materialize(text.select("doc", "part", "text").mapInArrow(_facts(window), "doc long, part long, n long, one long, two long, grams array<long>"))
 
     least = facts.where(F.col("n") >= window).groupBy("n", "one", "two").agg(F.min("doc").alias("least"))
-    ranked = facts.join(least, ["n", "one", "two"])
-    whole = ranked.where("doc > least").select("doc", "part").distinct()
+    copies = facts.select("doc", "part", "n", "one", "two").join(least, ["n", "one", "two"]).where("doc > least")
+    whole = materialize(copies.select("doc", "part").distinct())
 
-    grams = ranked.where("doc = least").select("doc", "part", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("gram")
-    live = grams.join(shared, "gram").groupBy("doc", "part").agg(F.collect_set("gram").alias("grams"))
+    grams = facts.select("doc", "part", F.struct("one", "two").alias("text"), F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").select("gram")
+    live = grams.select("doc", "part", "gram").join(shared, "gram").groupBy("doc", "part").agg(F.collect_set("gram").alias("grams"))
+    live = materialize(live.join(whole, ["doc", "part"], "left_anti"))
 
     sides = text.select("doc_id", "doc", "part", "text")
-    probes = sides.join(live, ["doc", "part"]).select("doc", "part", "text", "grams").mapInArrow(_probes(window, block), "hash long, doc long, part long, at int, own boolean")
+    probes = materialize(sides.join(live, ["doc", "part"]).select("doc", "part", "text", "grams").mapInArrow(_probes(window, block), "hash long, doc long, part long, at int, own boolean"))
     met = probes.groupBy("hash").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("first"), F.max("doc").alias("last")).where("first < last").select("hash")
-    hits = probes.join(met, "hash").groupBy("doc", "part").agg(F.collect_list("at").alias("hits"))
+    hits = materialize(probes.select("hash", "doc", "part", "at").join(met, "hash").groupBy("doc", "part").agg(F.collect_list("at").alias("hits")))
 
-    windows = sides.join(hits, ["doc", "part"]).select("doc", "part", "text", "hits").mapInArrow(_windows(window, block), "one long, two long, doc long, part long, at int")
-    first = windows.groupBy("one", "two").agg(F.min("doc").alias("first"))
-    starts = windows.join(first, ["one", "two"]).where("first < doc").groupBy("doc", "part").agg(F.collect_list("at").alias("starts"))
+    windows = materialize(sides.join(hits, ["doc", "part"]).select("doc", "part", "text", "hits").mapInArrow(_windows(window, block), "one long, two long, doc long, part long, at int"))
+    first = windows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("one", "two", "first")
+    starts = materialize(windows.join(first, ["one", "two"]).where("first < doc").groupBy("doc", "part").agg(F.collect_list("at").alias("starts")))
 
     cuts = starts.select("doc", "part", F.lit(False).alias("whole"), "starts").unionByName(whole.select("doc", "part", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
     return sides.join(cuts, ["doc", "part"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
