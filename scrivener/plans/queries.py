@@ -438,7 +438,7 @@ def segment_stats(spark, sf_dir):
     return stats.count_summary(counts, "n").withColumn("mean", F.round("mean", 6))
 
 
-@query("title_freq", f"select upper({TITLE}) as value, cast(count(*) as bigint) as n, cast(min(doc_id) as bigint) as first_seen from documents group by 1")
+@query("title_freq", f"select replace(upper({TITLE}), 'ẞ', 'SS') as value, cast(count(*) as bigint) as n, cast(min(doc_id) as bigint) as first_seen from documents group by 1")
 def title_freq(spark, sf_dir):
     return stats.frequencies(table(spark, sf_dir, "documents"), F.upper(F.substring_index("text", "\n", 1)), "doc_id")
 
