@@ -94,16 +94,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     # repeated rows are one text with a count; grouping by chunk spreads a long text over tasks
     key = ["doc_id", "digest"]
     chunks = _pieces(rows.where(F.length("text") > step), step, overlap).groupBy(*key, "k").agg(F.first("piece").alias("piece"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    edges = chunks.select(*key, "k", "n", "piece").mapInArrow(_edges(pattern, step, overlap), "doc_id long, digest binary, k int, head array<int>, tail array<int>")
+    # both uses take all columns of the chunks, so that their shuffle is one
+    edges = chunks.select(*key, "k", "n", "piece", "copies").mapInArrow(_edges(pattern, step, overlap), "doc_id long, digest binary, k int, head array<int>, tail array<int>")
     order = Window.partitionBy(*key).orderBy("k")
     cuts = edges.withColumn("next", F.array_min(F.array_intersect("tail", F.lead("head").over(order)))).withColumn("own", F.lag("next").over(order))
     cuts = cuts.withColumn("run", F.sum(F.when((F.col("k") > 0) & F.col("own").isNull(), 0).otherwise(1)).over(order))
-    cuts = cuts.select(*[F.col(c).alias(f"{c}_") for c in [*key, "k"]], F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("next", F.lit(0)).alias("next"), "run")
+    cuts = cuts.withColumn("size", F.count("*").over(Window.partitionBy(*key, "run")))
+    cuts = cuts.select(*[F.col(c).alias(f"{c}_") for c in [*key, "k"]], F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("next", F.lit(0)).alias("next"), "run", "size")
     same = (F.col("doc_id").eqNullSafe(F.col("doc_id_"))) & (F.col("digest") == F.col("digest_")) & (F.col("k") == F.col("k_"))
     part = F.expr(f"substring(piece, own + 1, case when k + 1 = n then {step + overlap} else {step} + next - own end)")
-    parts = chunks.join(cuts, same).select(*key, "run", "k", "copies", part.alias("part"))
-    whole = parts.groupBy(*key, "run").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"), F.max("copies").alias("copies"))
-    whole = whole.select(*key, "run", "copies", F.concat_ws("", F.col("parts.part")).alias("part"))
+    parts = chunks.join(cuts, same).select(*key, "run", "k", "size", "copies", part.alias("part"))
+    # most runs are one chunk and need no grouping
+    merged = parts.where("size > 1").groupBy(*key, "run").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"), F.max("copies").alias("copies"))
+    whole = parts.where("size = 1").select(*key, "run", "copies", "part").union(merged.select(*key, "run", "copies", F.concat_ws("", F.col("parts.part")).alias("part")))
     done = whole.mapInArrow(to_ids([*key, "run", "copies"], "part"), "doc_id long, digest binary, run long, copies long, ids binary")
     joined = done.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("run", "ids"))).alias("all"), F.max("copies").alias("copies"))
     hexed = F.array_join(F.transform("all", lambda x: F.hex(x["ids"])), "")
