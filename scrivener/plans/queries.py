@@ -189,7 +189,7 @@ _text_query("clean_page_text", t.clean_page_text, _sql_strip(r"regexp_replace(ar
 _text_query("unify_dashes", t.unify_dashes, _sql_strip(r"regexp_replace(regexp_replace(regexp_replace(translate(text, '–—−' || chr(160) || chr(173), '--- '), '[ \t]+', ' ', 'g'), '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g')"))
 _text_query("unglue_words", t.unglue, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([,;:])([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([A-Za-zА-Яа-яЁё])(\d)', '\1 \2', 'g'), '(\d)([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([А-Яа-яЁё])([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])([А-Яа-яЁё])', '\1 \2', 'g')")
 _text_query("strip_placeholders", t.drop_placeholders, r"regexp_replace(text, '\[[^\]]{1,120}\]', '', 'g')")
-_text_query("number_lines", t.number_lines)
+_text_query("number_lines", t.number_lines, _sql_strip(rf"regexp_replace(regexp_replace({_sql_strip('text')}, '\n\s*\n+', chr(10), 'g'), '(?m)^\s*(\d+\.\d+)\.?\s+', '\1. ', 'g')"))
 _text_query("canonical_heading", t.canonical_heading)
 _text_query("smart_truncate", lambda c: t.smart_truncate(c, 2600), rf"case when length({_sql_strip('text')}) <= 2600 then {_sql_strip('text')} else (with c as (select substr({_sql_strip('text')}, 1, 2600) as a), d as (select regexp_replace(case when regexp_matches(substr(a, 1691), '[.!?;:\n]') then substr(a, 1, 1690) || regexp_extract(substr(a, 1691), '(?s)^.*[.!?;:\n]') else a end, '\s+$', '') as b from c) select case when regexp_matches(b, '[.!?…]$') then b else b || '…' end from d) end")
 _text_query("squash_repeats", lambda c: t.squash_repeats(35, 220)(c))
@@ -197,9 +197,9 @@ _text_query("truncate_at_sentence", lambda c: t.truncate_at_sentence(c, 1500))
 _text_query("dedupe_lines_window", lambda c: F.array_join(t.dedupe_lines(t.lines(c), 30), "\n"))
 _text_query("drop_heading_echo", t.drop_heading_echo)
 _text_query("mask_numbers", retrieval.mask_numbers)
-_text_query("sentence_list", lambda c: F.array_join(t.sentences(c), "\n"))
+_text_query("sentence_list", lambda c: F.array_join(t.sentences(c), "\n"), rf"regexp_replace(trim(regexp_replace({_sql_strip('text')}, '[\s\v]+', ' ', 'g')), '([.!?]) ([A-ZА-ЯЁ0-9])', '\1' || chr(10) || '\2', 'g')")
 _text_query("bare_title", lambda c: t.bare_title(F.substring_index(c, "\n", 1)))
-_text_query("slug_title", lambda c: t.slug(t.compatible_form(F.substring_index(c, "\n", 1))))
+_text_query("slug_title", lambda c: t.slug(t.compatible_form(F.substring_index(c, "\n", 1))), rf"(with s as (select regexp_replace(regexp_replace(lower({_sql_strip(TITLE)}), '[^\p{{L}}\p{{M}}\p{{N}}_]+|_+', '_', 'g'), '^_+|_+$', '', 'g') as s) select case when s = '' then 'empty' when regexp_matches(s, '^\d') then 's_' || s else s end from (select regexp_replace(s, '_+', '_', 'g') as s from s))")
 _text_query("first_word_after_number", lambda c: t.first_word_after_number(F.substring_index(c, "\n", 1)), rf"split_part({_sql_strip(rf'lower(regexp_replace({_sql_strip(TITLE)}, ' + chr(39) + chr(94) + r'\d+(\.\d+)*[.)]\s*' + chr(39) + ', ' + chr(39) * 2 + '))')}, ' ', 1)")
 
 
@@ -231,7 +231,11 @@ def keyword_filter(spark, sf_dir):
     return rows.where(p.in_domain(F.col("title"), F.col("text"), _BAG, _AGAINST, 4, 1, 6)).select(F.col("seq").alias("doc_id"))
 
 
-@query("payment_delivery_domains")
+def _counts_sql(words) -> str:
+    return "cast(" + " + ".join(f"contains(lower(text), '{w}')::int" for w in words) + " as integer)"
+
+
+@query("payment_delivery_domains", f"select doc_id, {_counts_sql(p.PAYMENT_FOR)} as payment_for, {_counts_sql(p.PAYMENT_AGAINST)} as payment_against, {_counts_sql(p.DELIVERY_FOR)} as delivery_for, {_counts_sql(p.DELIVERY_AGAINST)} as delivery_against from documents")
 def payment_delivery_domains(spark, sf_dir):
     rows = titled(table(spark, sf_dir, "documents"))
     low = F.lower(F.concat_ws("\n", "title", "text"))
@@ -266,7 +270,18 @@ def section_router(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", p.title_route(F.substring_index("text", "\n", 1)).alias("r")).select("doc_id", "r.section_id", "r.section_group")
 
 
-@query("keyword_router")
+def _keyword_sql() -> str:
+    edge = r"[^\p{L}\p{M}\p{N}_]"  # RE2's own word boundary knows ASCII only
+
+    def re2(x: str) -> str:
+        x = f"(^|{edge}){x[2:]}" if x.startswith(r"\b") else x
+        return f"{x[:-2]}($|{edge})" if x.endswith(r"\b") else x
+
+    whens = " ".join(f"when regexp_matches(x, '{'|'.join(re2(x) for x in patterns)}') then '{name}'" for name, patterns in p.KEYWORD_ROUTES)
+    return rf"select doc_id, case {whens} end as section_id from (select doc_id, trim(regexp_replace(translate(lower({TITLE}), '–—', '--'), '[\s\v]+', ' ', 'g')) as x from documents)"
+
+
+@query("keyword_router", _keyword_sql())
 def keyword_router(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", p.keyword_route(F.substring_index("text", "\n", 1)).alias("section_id"))
 
@@ -469,7 +484,10 @@ def safe_int_sort(spark, sf_dir):
     return rows.orderBy("conv_id", "order_key", "turn")
 
 
-@query("repetition_flag")
+@query("repetition_flag", rf"""
+with u as (select doc_id, list_filter(list_transform(string_split(regexp_replace({_sql_strip('text')}, '([.!?])[\s\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_sql_strip('x')}), lambda x: x <> '') as u from documents),
+k as (select doc_id, len(u) as n, list_transform(list_filter(u, lambda x: length(x) >= 40), lambda x: regexp_replace(regexp_replace(regexp_replace(lower(x), '[\s\v]+', ' ', 'g'), '[«»"()]', '', 'g'), '[,:;]+', ',', 'g')) as k from u)
+select doc_id, n >= 6 and len(k) >= 6 and len(list_distinct(k)) < len(k) as repeated from k""")
 def repetition_flag(spark, sf_dir):
     return stats.repetition(table(spark, sf_dir, "documents"))
 
@@ -491,7 +509,8 @@ def validate_numbered_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", validate.payment_terms(F.col("text"), False, False, 850, 0).alias("code"))
 
 
-@query("validate_delivery_text")
+@query("validate_delivery_text", rf"""
+select doc_id, case when t = '' then 'empty_output' when length(regexp_replace(t, '[\s\v]+', '', 'g')) < 900 then 'too_short' when len(regexp_extract_all(t, '(?i)\binvoice\b')) >= 3 then 'forbidden_topic_detected' end as code from (select doc_id, {_sql_strip('text')} as t from documents)""")
 def validate_delivery_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", validate.delivery_terms(F.col("text"), 900, 0).alias("code"))
 
