@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import squeezed
+from scrivener.llm.common import materialize, squeezed
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = F.md5) -> DataFrame:
@@ -17,26 +17,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text.  The smallest doc_id of a group stays; where one doc_id is repeated with equal texts, only one of
     its rows does.  A null doc_id stays only if its whole group has none.  No rows give none.
 
-    Rows of a group whose bytes differ from its first row's share only the digest: they are grouped again by
-    the text itself.  Texts move only for digests that occur more than once.
+    Groups form by digest, and the least and the greatest text of each, combined before the shuffle, show
+    whether its bytes are all equal; so the texts are shuffled once, and a group of copies sends one text from
+    each task.  Only if some digest holds different texts (a collision) its rows are grouped again by the text.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), squeezed(F.col(text_col).cast("string")).alias("norm"))
-    rows = base.select("doc_id", F.unhex(digest(F.col("norm"))).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = groups.where("group_size > 1")
-
-    members = rows.join(many.select("h", "keep_id"), "h").select("h", "doc_id", "keep_id", "norm")
-    first = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("norm").alias("first"))
-    odd = members.join(first, "h").where(F.col("norm") != F.col("first")).select("h", "doc_id", "norm")
-    # a collision: such rows leave their group, which gets smaller, and form groups of their own text
-    fewer = odd.groupBy("h").agg(F.count("*").alias("gone"))
-    own = odd.groupBy("norm").agg(F.min("doc_id").alias("own_keep"), F.count("*").alias("own_size")).select(F.unhex(F.sha2("norm", 256)).alias("sha"), F.unhex(digest(F.col("norm"))).alias("h"), "own_keep", "own_size")
-
-    group_of = groups.join(fewer, "h", "left").select("h", "keep_id", (F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"))
-    own_of = own.select("h", "sha", "own_keep", "own_size")
-    copies = rows.groupBy("h", "sha", "doc_id").agg(F.count("*").alias("copies"))
-    out = copies.join(group_of, "h").join(own_of, ["h", "sha"], "left")
-    own_group = F.col("own_size").isNotNull()
-    keep, size = F.when(own_group, F.col("own_keep")).otherwise(F.col("keep_id")), F.when(own_group, F.col("own_size")).otherwise(F.col("group_size"))
-    each = out.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), squeezed(F.col(text_col).cast("string")).alias("norm"))
+    rows = rows.select("doc_id", F.unhex(digest(F.col("norm"))).alias("h"), "norm")
+    compared = rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.min("norm").alias("first"), F.max("norm").alias("last"))
+    groups = materialize(compared.select("h", "keep_id", "group_size", (F.col("first") != F.col("last")).alias("mixed")))
+
+    # repeated rows are one with a count until the end
+    hashed = rows.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")).groupBy("h", "sha", "doc_id").agg(F.count("*").alias("copies"))
+    pure = groups.where("not mixed").select("h", "keep_id", "group_size")
+    out = hashed.join(pure, "h").select("doc_id", "sha", "copies", "keep_id", "group_size")
+    mixed = groups.where("mixed").select("h")
+    if not mixed.isEmpty():
+        told = rows.join(mixed, "h")
+        own = told.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        again = told.groupBy("norm", "doc_id").agg(F.count("*").alias("copies")).join(own, "norm")
+        out = out.union(again.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), "copies", "keep_id", "group_size"))
+    each = out.select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.select("doc_id", "keep_id", F.col("group_size").cast("long"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
