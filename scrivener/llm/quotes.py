@@ -38,16 +38,19 @@ def passages(messages: DataFrame) -> DataFrame:
 def _ancestors(parents: DataFrame, rounds: int = 64) -> DataFrame:
     """(conv, turn, root, depth) from (conv, turn, up), up the parent's struct or the message's own at a root.
 
-    Each round doubles the distance; parents come before their replies, so there are no circles.
+    Each round doubles the distance of the messages that have not reached their root; parents come before
+    their replies, so there are no circles.
     """
-    at = materialize(parents.select(F.struct("conv", "turn").alias("node"), F.col("up"), F.when(F.col("up") == F.struct("conv", "turn"), 0).otherwise(1).cast("long").alias("depth")))
+    node = F.struct("conv", "turn")
+    at_root = F.col("up") == node
+    done = parents.where(at_root).select(node.alias("node"), F.col("up"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("done"))
+    left = parents.where(~at_root).select(node.alias("node"), "up", F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"))
     for _ in range(rounds):
-        up = at.select(F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        joined = at.join(up, F.col("up") == F.col("n2"))
-        at = materialize(joined.select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("up2") != F.col("up")).alias("moved")))
-        if at.where("moved").isEmpty():
-            return at.select(F.col("node.conv").alias("conv"), F.col("node.turn").alias("turn"), F.col("up").alias("root"), "depth")
-        at = at.drop("moved")
+        if left.isEmpty():
+            return done.select(F.col("node.conv").alias("conv"), F.col("node.turn").alias("turn"), F.col("up").alias("root"), "depth")
+        above = done.union(left).select(F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("done").alias("done2"))
+        moved = materialize(left.join(above, F.col("up") == F.col("n2")).select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("done2").alias("done")))
+        done, left = done.union(moved.where("done")), moved.where("not done")
     raise RuntimeError(f"reply chains are longer than 2**{rounds}")
 
 
