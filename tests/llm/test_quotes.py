@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from helpers import rows
 from scrivener.llm.quotes import reply_order
 
@@ -17,7 +19,7 @@ def test_quotes_link_to_their_originals(spark):
         (None, 1, "user", "> Second passage"),
         (6, 0, "user", "same"), (6, 0, "user", "same"),
     ]
-    out = reply_order(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("hash", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)))
+    out = reply_order(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("hash", F.lit(1)))
     got = {(r.conv_id, r.turn): r for r in out.collect()}
     assert len(rows(out, "conv_id", "turn")) == len(data)
     link = lambda k: (got[k].parent_conv, got[k].parent_turn, got[k].root_conv, got[k].root_turn, got[k].depth, got[k].n_quoted, got[k].n_linked)
