@@ -86,3 +86,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = quotas.withColumn("tokens", tokens).select(F.struct("name", "nameless", "shard").alias("cell"), "source_size", "target", F.expr("case when shard_size > 0 then tokens div shard_size else 0 end").alias("passes"), F.expr("case when shard_size > 0 then tokens % shard_size else 0 end").alias("rest"))
     taken: Column = F.col("passes") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("end"), F.col("rest")) - (F.col("end") - F.col("size")))
     return placed.join(quotas, "cell").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+ORACLE = r"""
+with r as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5('0:' || coalesce(cast(doc_id as varchar), 'null')) as ord from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, count(*) as source_rows, row_number() over (order by source nulls last) as number from r group by source),
+w as (select *, [5.0, 2.0, 1.0][(number - 1) % 3 + 1]::double as weight, 3.0::double * source_size as most, sum(source_size) over ()::double as total from s),
+l as (select *, most / weight as ratio from w),
+v as (select *, (total - coalesce(sum(most) over f, 0)) / (sum(weight) over () - coalesce(sum(weight) over f, 0)) as lev from l window f as (order by ratio, number rows between unbounded preceding and 1 preceding)),
+t as (select *, least(most, weight * coalesce((select lev from v where ratio >= lev order by ratio, number limit 1), 'inf'::double)) as target, greatest(1, ceil(total / 1000000))::bigint as block from v),
+b as (select *, floor(total / block)::bigint as blocks, sum(target) over () as everything, count(*) over () as n from t),
+q as (select *, case when everything > 0 then floor(target * greatest(blocks - n, 0) / everything + 0.5) else 0 end::bigint as low, case when everything > 0 then floor(target * (blocks + n) / everything + 0.5) else 0 end::bigint as high from b),
+k as (select number, row_number() over (order by target / (2 * j - 1) desc, number, j) as place, places from (select number, target, unnest(range(low + 1, high + 1)) as j, places from (select *, blocks - sum(low) over () as places from q))),
+a as (select q.*, low + coalesce((select count(*) from k where k.number = q.number and place <= places), 0) as source_blocks from q),
+d as (select r.*, a.number, a.source_size, a.target, a.block, a.source_blocks, ('0x' || substr(ord, 1, 12))::bigint % greatest(1, ceil(source_rows / 10000))::bigint as shard from r join a on a.source is not distinct from r.source),
+h as (select number, shard, any_value(block) as block, any_value(source_blocks) as seats, sum(size)::bigint as shard_size from d group by number, shard),
+e as (select *, sum(shard_size) over (partition by number)::double as everything, count(*) over (partition by number) as n from h),
+g as (select *, case when everything > 0 then floor(shard_size * greatest(seats - n, 0) / everything + 0.5) else 0 end::bigint as low, case when everything > 0 then floor(shard_size * (seats + n) / everything + 0.5) else 0 end::bigint as high from e),
+y as (select number, shard, row_number() over (partition by number order by shard_size / (2 * j - 1) desc, shard, j) as place, places from (select number, shard, shard_size, unnest(range(low + 1, high + 1)) as j, places from (select *, seats - sum(low) over (partition by number) as places from g))),
+o as (select g.number, g.shard, shard_size, least((low + coalesce((select count(*) from y where y.number = g.number and y.shard = g.shard and place <= places), 0)) * block, shard_size * 3)::bigint as tokens from g),
+p as (select *, sum(size) over (partition by number, shard order by ord, doc_id, size rows unbounded preceding)::bigint as stop from d)
+select doc_id, size, source_size, target, (case when shard_size > 0 then tokens // shard_size else 0 end * size + greatest(0, least(stop, case when shard_size > 0 then tokens % shard_size else 0 end) - (stop - size)))::bigint as taken
+from p join o on o.number = p.number and o.shard = p.shard"""

@@ -77,6 +77,8 @@ ORACLES: dict[str, str] = {
     "op3_quotation_linking": quotes.ORACLE,
     "op4_voronoi_top_k": knn.ORACLE,
     "op6_line_dedup": line_chunks.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op10_substring_dedup": substring.ORACLE,
     "op5_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from d group by norm)

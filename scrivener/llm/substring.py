@@ -170,3 +170,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cuts = starts.select("doc", "part", F.lit(False).alias("whole"), "starts").unionByName(whole.select("doc", "part", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
     return sides.join(cuts, ["doc", "part"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+k as (select s.doc_id, s.i, md5(array_to_string(d.w[s.i:s.i + 49], ' ')) as k from s join d on d.doc_id = s.doc_id),
+f as (select k, min(doc_id) as first from k group by k),
+r as (select distinct k.doc_id, k.i + o.o as pos from k join f on f.k = k.k and f.first < k.doc_id cross join (select unnest(range(0, 50)) as o) o),
+u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+a as (select u.doc_id, count(*) as n, count(r.pos) as gone, string_agg(u.word, ' ' order by u.pos) filter (where r.pos is null) as kept from u left join r on r.doc_id = u.doc_id and r.pos = u.pos group by u.doc_id)
+select d.doc_id, cast(coalesce(a.n, 0) as bigint) as n_words, cast(coalesce(a.gone, 0) as bigint) as n_removed, sha256(coalesce(a.kept, '')) as kept_sha256 from d left join a on a.doc_id = d.doc_id"""
