@@ -155,17 +155,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = materialize(copies.select("doc", "part").distinct())
 
     grams = facts.select("doc", "part", F.struct("one", "two").alias("text"), F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").select("gram")
+    # written, so that in the joins below Spark may divide what a frequent key has
+    shared = materialize(grams.groupBy("gram").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").select("gram"))
     live = grams.select("doc", "part", "gram").join(shared, "gram").groupBy("doc", "part").agg(F.collect_set("gram").alias("grams"))
     live = materialize(live.join(whole, ["doc", "part"], "left_anti"))
 
     sides = text.select("doc_id", "doc", "part", "text")
     probes = materialize(sides.join(live, ["doc", "part"]).select("doc", "part", "text", "grams").mapInArrow(_probes(window, block), "hash long, doc long, part long, at int, own boolean"))
-    met = probes.groupBy("hash").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("first"), F.max("doc").alias("last")).where("first < last").select("hash")
+    met = materialize(probes.groupBy("hash").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("first"), F.max("doc").alias("last")).where("first < last").select("hash"))
     hits = materialize(probes.select("hash", "doc", "part", "at").join(met, "hash").groupBy("doc", "part").agg(F.collect_list("at").alias("hits")))
 
     windows = materialize(sides.join(hits, ["doc", "part"]).select("doc", "part", "text", "hits").mapInArrow(_windows(window, block), "one long, two long, doc long, part long, at int"))
-    first = windows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("one", "two", "first")
+    first = materialize(windows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("one", "two", "first"))
     starts = materialize(windows.join(first, ["one", "two"]).where("first < doc").groupBy("doc", "part").agg(F.collect_list("at").alias("starts")))
 
     cuts = starts.select("doc", "part", F.lit(False).alias("whole"), "starts").unionByName(whole.select("doc", "part", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
