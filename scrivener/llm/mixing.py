@@ -65,6 +65,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), key)).alias("order"))
     # null sources join by a name and a flag
     rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("nameless", F.col("source").isNull())
+    rows = materialize(rows)  # the texts are read once
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / float(shard_rows))).cast("long")
     sizes = rows.groupBy("source", "name", "nameless").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     names = sizes.select("name", "nameless", "source_rows", shards.alias("shards"))
