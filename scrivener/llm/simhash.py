@@ -18,9 +18,9 @@ BITS = 64
 BUCKET = 128
 
 
-def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text in UTF-8: a bit is 1 if set in over half the shingles' XXH64."""
-    votes, n, tail = np.zeros(BITS, np.int64), 0, []
+def shingle_hashes(data: bytes, width: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text in UTF-8, block by block; a text of fewer words is one shingle."""
+    n, tail = 0, []
     for part in blocks(data.lower()):
         words = tail + part.split()
         if len(words) < width:
@@ -31,13 +31,20 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(lengths + 1) - 1
         starts, stops = (ends - lengths).tolist(), ends[width - 1 :].tolist()
         h = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
-        for at in range(0, len(h), 1 << 14):
-            votes += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield h
         n += len(h)
         tail = words[len(words) - width + 1 :] if width > 1 else []
     if not n and tail:
-        h = xxhash.xxh64_intdigest(b" ".join(tail), seed)
-        return h
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(tail), seed)], np.uint64)
+
+
+def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
+    """SimHash of the word shingles of a text in UTF-8: a bit is 1 if set in over half the shingles' XXH64."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(data, width, seed):
+        for at in range(0, len(h), 1 << 14):
+            votes += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return sum(1 << int(i) for i in np.flatnonzero(2 * votes > n))
 
 
