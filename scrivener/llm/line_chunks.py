@@ -45,6 +45,20 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] =
     return df.select("doc_id", "doc", "part", "no_text", "carried", F.size("lines").cast("long").alias("n_lines"), F.transform("plain", lambda c: F.struct(c["idx"].alias("idx"), c["n"].alias("n"), c["text"].alias("text"), F.unhex(digest(c["text"])).alias("hash"))).alias("chunks"))
 
 
+def _later(rows: DataFrame) -> DataFrame:
+    """(doc, part, idx) of the rows (doc, part, idx, text, hash) whose text an earlier place has."""
+    place = F.struct("doc", "part", "idx")
+    found = materialize(rows.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("keep"), F.min("text").alias("low"), F.max("text").alias("high")).where("times > 1").select("hash", "keep", (F.col("low") != F.col("high")).alias("mixed")))
+    pure = found.where("not mixed").select("hash", "keep")
+    gone = rows.select("doc", "part", "idx", "hash").join(pure, "hash").where(place != F.col("keep")).select("doc", "part", "idx")
+    mixed = found.where("mixed").select("hash")
+    if not mixed.isEmpty():
+        told = rows.join(mixed, "hash")
+        keep = told.groupBy("text").agg(F.min(place).alias("keep"))
+        gone = gone.union(told.join(keep, "text").where(place != F.col("keep")).select("doc", "part", "idx"))
+    return gone
+
+
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept (the lines that stay), and the columns ``carry``.
 
@@ -56,15 +70,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     df = chunked(docs, id_col, text_col, carry, digest)
     rows = df.select("doc", "part", F.explode(F.filter("chunks", lambda c: c["n"] >= 2)).alias("c")).select("doc", "part", "c.idx", "c.n", "c.text", "c.hash")
-    place = F.struct("doc", "part", "idx")
-    found = materialize(rows.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("keep"), F.min("text").alias("low"), F.max("text").alias("high")).where("times > 1").select("hash", "keep", (F.col("low") != F.col("high")).alias("mixed")))
-    pure = found.where("not mixed").select("hash", "keep")
-    gone = rows.select("doc", "part", "idx", "hash").join(pure, "hash").where(place != F.col("keep")).select("doc", "part", "idx")
-    mixed = found.where("mixed").select("hash")
-    if not mixed.isEmpty():
-        told = rows.join(mixed, "hash")
-        keep = told.groupBy("text").agg(F.min(place).alias("keep"))
-        gone = gone.union(told.join(keep, "text").where(place != F.col("keep")).select("doc", "part", "idx"))
+    gone = _later(rows)
     lists = gone.groupBy("doc", "part").agg(F.collect_set("idx").alias("gone"))
     out = df.join(lists, ["doc", "part"], "left")
     stay = F.filter("chunks", lambda c: F.col("gone").isNull() | ~F.array_contains("gone", c["idx"]))
@@ -72,6 +78,27 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return out.select("doc_id", F.when(F.col("no_text"), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.when(F.col("no_text"), 0).otherwise(F.col("n_lines") - left).alias("n_removed"), F.when(~F.col("no_text"), F.array_join(F.transform(stay, lambda c: c["text"]), "\n")).alias("kept"), *[F.col(f"carried.{c}").alias(c) for c in carry])
 
 
+def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """Like ``remove_repeated_chunks``, but of every run of two or more lines that an earlier place has, all lines go.
+
+    A run is repeated where each two neighbouring lines of it are, so pairs of lines are compared, by hash and then
+    bytes, and no boundary decides what is found.  Places may overlap: of one line many times over, one stays.
+    The first place of each line stays always.  Of equal rows with one doc_id all are treated alike.
+    """
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    df = df.select("doc_id", "carried", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.md5(F.coalesce("text", F.lit(""))).alias("part"), F.col("text").isNull().alias("no_text"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("all_lines"))
+    df = _once(df, "lines", F.col("all_lines")).drop("all_lines")
+    n = F.size("lines")
+    pairs = F.zip_with(F.slice("lines", F.lit(1), n - 1), F.slice("lines", F.lit(2), n - 1), lambda a, b: F.concat_ws("\n", a, b))
+    rows = df.where(n > 1).select("doc", "part", F.posexplode(pairs).alias("idx", "text")).select("*", F.unhex(digest(F.col("text"))).alias("hash"))
+    lists = _later(rows).groupBy("doc", "part").agg(F.collect_set("idx").alias("heads")).select("doc", "part", F.array_union("heads", F.transform("heads", lambda i: i + 1)).alias("gone"))
+    out = df.join(lists, ["doc", "part"], "left")
+    out = _once(out, "stay", F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>"))))
+    kept = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
+    n_lines, n_removed = n.cast("long"), (n - F.size("stay")).cast("long")
+    return out.select("doc_id", F.when(F.col("no_text"), 0).otherwise(n_lines).alias("n_lines"), F.when(F.col("no_text"), 0).otherwise(n_removed).alias("n_removed"), F.when(~F.col("no_text"), kept).alias("kept"), *[F.col(f"carried.{c}").alias(c) for c in carry])
+
+
 ORACLE = rf"""
 with l as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
 h as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h from l),

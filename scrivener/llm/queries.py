@@ -43,6 +43,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_chunks.remove_repeated_runs(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_voronoi_top_k": op4_voronoi_top_k,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op6_line_runs": op6_line_runs,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
