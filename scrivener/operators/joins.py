@@ -68,9 +68,10 @@ def match_titles(titles: DataFrame, to_id: DataFrame, least: float = 0.78, longe
     exact = keys.join(known, F.col("key") == F.col("known")).select("key", F.col("known_id").alias("id"), F.lit(1.0).alias("score"))
     rest = keys.join(known, F.col("key") == F.col("known"), "left_anti").select("key", F.length("key").alias("n"))
     # an equi-join on length: each form asks for the lengths of its range
-    span = F.sequence(F.floor(F.col("n") * 0.6).cast("int"), F.floor(F.col("n") * longest).cast("int"))
-    asked = rest.select("key", F.explode(span).alias("len"))
     held = known.withColumn("len", F.length("known"))
+    # no known title is longer than the longest, so a long form asks for few lengths or none
+    low, high = F.floor(F.col("n") * 0.6).cast("int"), F.least(F.floor(F.col("n") * longest).cast("int"), F.col("top"))
+    asked = rest.join(F.broadcast(held.agg(F.max("len").alias("top")))).where(low <= high).select("key", F.explode(F.sequence(low, high)).alias("len"))
     pairs = asked.join(held, "len")
     if by_first_letter:
         same = pairs.withColumn("same", F.substring("key", 1, 1) == F.substring("known", 1, 1))

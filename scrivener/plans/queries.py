@@ -395,7 +395,7 @@ def dedupe_keep_first(spark, sf_dir):
 def fuzzy_title_match(spark, sf_dir):
     """First lines of documents against a map of the benchmark's first words."""
     known = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.concat(F.lit("s_"), "item_id").alias("section_id"), F.substring_index(F.substring_index("text", "\n", 1), " ", 6).alias("title"))
-    titles = table(spark, sf_dir, "documents").select(F.substring_index(F.substring_index("text", "\n", 1), " ", 6).alias("title"))
+    titles = table(spark, sf_dir, "documents").select(F.substring_index("text", "\n", 1).alias("title"))
     found = joins.match_titles(titles, joins.title_map(known)[0])
     return found.select(F.md5("title").alias("title_md5"), "section_id", F.round("confidence", 6).alias("confidence"))
 
@@ -403,7 +403,7 @@ def fuzzy_title_match(spark, sf_dir):
 @query("route_or_match")
 def route_or_match(spark, sf_dir):
     known = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.concat(F.lit("s_"), "item_id").alias("section_id"), F.substring_index(F.substring_index("text", "\n", 1), " ", 6).alias("title"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring_index(F.substring_index("text", "\n", 1), " ", 6).alias("section_title"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("section_title"))
     return joins.route_or_match(rows, joins.title_map(known)[0]).select("doc_id", "section_id", writers.confidence_text(F.col("confidence")).alias("confidence"))
 
 
