@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,21 +61,34 @@ def safe_int(c: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) > 2147483647.0), 0).otherwise(x.cast("int"))
 
 
-def unique_slugs(titles: DataFrame, limit: int = 100_000) -> DataFrame:
-    """(title, count, section_id) from (title, count): slugs, made unique by _2, _3 ... in order of count, then title.
-
-    A slug may meet one that another title has by itself, so the order decides globally; the table of distinct
-    titles is small, and over ``limit`` rows this raises.
-    """
-    ready = titles.select("title", "count", t.slug(t.compatible_form(F.col("title"))).alias("slug")).orderBy(F.col("count").desc(), "title").limit(limit + 1).collect()
-    if len(ready) > limit:
-        raise ValueError(f"more than {limit} distinct titles")
-    used, out = set(), []
-    for r in ready:
-        name, n = r.slug, 1
+def _settled(family: pd.DataFrame) -> pd.DataFrame:
+    """Names of one family of slugs, given in order of count, then title."""
+    used, last, out = set(), {}, []
+    for slug in family.sort_values(["count", "title"], ascending=[False, True])["slug"]:
+        n = last.get(slug, 1)
+        name = slug if n == 1 else f"{slug}_{n}"
         while name in used:
             n += 1
-            name = f"{r.slug}_{n}"
+            name = f"{slug}_{n}"
         used.add(name)
-        out.append((r.title, r["count"], name))
-    return titles.sparkSession.createDataFrame(out, "title string, count long, section_id string")
+        last[slug] = n
+        out.append(name)
+    ordered = family.sort_values(["count", "title"], ascending=[False, True])
+    return pd.DataFrame({"title": ordered["title"], "count": ordered["count"], "section_id": out})
+
+
+def unique_slugs(titles: DataFrame) -> DataFrame:
+    """(title, count, section_id) from (title, count): slugs, made unique by _2, _3 ... in order of count, then title.
+
+    Names are numbered within each slug.  A name may meet one of another slug only where both are the same but for
+    numbers at the end; such a family, and no other, is settled in order, in one task.  Nothing goes to the driver.
+    """
+    ready = titles.select("title", F.col("count").cast("long").alias("count"), t.slug(t.compatible_form(F.col("title"))).alias("slug"))
+    nth = F.row_number().over(Window.partitionBy("slug").orderBy(F.col("count").desc(), "title"))
+    named = ready.withColumn("nth", nth).select("title", "count", "slug", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", "nth")).alias("section_id"), F.regexp_replace("slug", r"(_\d+)+$", "").alias("family"))
+    clashing = named.groupBy("section_id").agg(F.count("*").alias("times"), F.first("family").alias("family")).where("times > 1").select("family").distinct()
+    free = named.join(clashing, "family", "left_anti").select("title", "count", "section_id")
+    met = named.join(clashing, "family", "left_semi").select("family", "title", "count", "slug")
+    settled = met.groupBy("family").applyInPandas(_settled, "title string, count long, section_id string")
+    return free.union(settled).orderBy(F.col("count").desc(), "title")
+

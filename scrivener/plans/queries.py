@@ -494,8 +494,8 @@ def repetition_flag(spark, sf_dir):
 
 @query("unique_section_ids")
 def unique_section_ids(spark, sf_dir):
-    """Slugs of the first words of titles, made unique in order of frequency."""
-    words = table(spark, sf_dir, "documents").select(F.substring(t.first_word_after_number(F.substring_index("text", "\n", 1)), 1, 3).alias("title")).where("title != ''")
+    """Slugs of whole titles, made unique in order of frequency."""
+    words = table(spark, sf_dir, "documents").select(F.substring_index("text", "\n", 1).alias("title")).where("title != ''")
     return stats.unique_slugs(words.groupBy("title").agg(F.count("*").alias("count")))
 
 
