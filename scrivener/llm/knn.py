@@ -56,12 +56,12 @@ def _cells(pivots: dict[int, np.ndarray]):
     return run
 
 
-def _groups(pivots: dict[int, np.ndarray], summary: list, queries: list, k: int) -> dict[int, list[tuple[int, np.ndarray, float, float]]]:
+def _groups(pivots: dict[int, np.ndarray], summary: list, queries: list, k: int, own_rows: dict[int, int] | None = None) -> dict[int, list[tuple[int, np.ndarray, float, float]]]:
     """Per vector length, the query groups: cell, pivot, radius, and a score that k others reach for any query.
 
     ``summary`` counts the data of each cell by steps of distance.  For a query q within radius r of pivot g
     and data x within e of pivot c: q.x >= g.c - |g| e - r |c| - r e.  Taking the best steps until they hold
-    k rows besides the query's own gives the score.
+    k rows besides the query's own, of which ``own_rows`` has the most by vector length, gives the score.
     """
     steps = defaultdict(list)
     for s in summary:
@@ -75,7 +75,7 @@ def _groups(pivots: dict[int, np.ndarray], summary: list, queries: list, k: int)
             c = g[cell]
             size = np.linalg.norm(own) * e + r * np.linalg.norm(c) + r * e
             bounds.append((float(own @ c) - size - EASE * (size + abs(float(own @ c)) + 1), n))
-        left, least = k + 1, -math.inf
+        left, least = k + (own_rows or {}).get(dim, 1), -math.inf
         for low, n in sorted(bounds, reverse=True):
             left -= n
             if left <= 0:
@@ -165,7 +165,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     summary = celled.groupBy("dim", "cell", step.alias("step")).agg(F.count("*").alias("n"), F.max("dist").alias("most")).collect()
     queries = celled.where(F.col("vec_id") % every == 0)
     grouped = queries.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
-    groups = _groups(centres, summary, grouped, k)
+    repeated = queries.groupBy("dim", "vec_id").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
+    groups = _groups(centres, summary, grouped, k, {r["dim"]: r["n"] for r in repeated})
     n_data: dict[int, int] = defaultdict(int)
     for s in summary:
         n_data[s["dim"]] += s["n"]

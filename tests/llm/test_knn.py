@@ -56,3 +56,11 @@ def test_few_and_no_rows(spark):
     assert rows(knn.top_k(frame(spark, [])), *COLS) == []
     big = np.array([[1 << 40, 3]])
     assert knn.scores(big, np.array([[1 << 20, 1]])).tolist() == [[(1 << 60) + 3]]
+
+
+def test_a_query_id_with_many_vectors(spark):
+    data = [(50, [10.0 + i / 4, 0.0]) for i in range(12)] + [(i, [1.0 + i / 16, 0.5]) for i in range(1, 8)]
+    vecs = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data]
+    pairs = [(-(a[0] * b[0] + a[1] * b[1]), i) for q, a in vecs if q == 50 for i, b in vecs if i != 50]
+    want = [(50, n + 1, i, -s) for n, (s, i) in enumerate(sorted(pairs)[:5])]
+    assert rows(knn.top_k(frame(spark, data), pivots=4), *COLS) == want
