@@ -182,18 +182,22 @@ def fold_case(c: Column) -> Column:
 
 
 def dedupe_lines(rows: Column, window: int) -> Column:
-    """Of an array of lines, those whose folded form is not among the last ``window`` kept; empty ones go."""
-    clean = F.filter(F.transform(rows, plain_spaces), lambda x: x != "")
-    start = F.array().cast("array<struct<line:string,key:string>>")
+    """Of an array of lines, those whose folded form is not among the last ``window`` kept; empty ones go.
 
-    def add(out: Column, x: Column) -> Column:
-        return bind(fold_case(x), lambda key: _add(out, x, key))
-
-    def _add(out: Column, x: Column, key: Column) -> Column:
-        recent = F.slice(out, F.greatest(F.size(out) - window + 1, F.lit(1)), F.lit(window))
-        return F.when(F.exists(recent, lambda r: r["key"] == key), out).otherwise(F.concat(out, F.array(F.struct(x.alias("line"), key.alias("key")))))
-
-    return F.transform(F.aggregate(clean, start, add), lambda r: r["line"])
+    The fold carries the last keys, and lines in parts of 256, so that no step copies all lines kept so far.
+    """
+    clean = F.transform(F.filter(F.transform(rows, plain_spaces), lambda x: x != ""), lambda x: F.struct(x.alias("line"), fold_case(x).alias("key")))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("keys"), none.alias("part"), F.array().cast("array<array<string>>").alias("parts"))
+
+    def add(a: Column, x: Column) -> Column:
+        full = F.size(a["part"]) >= 256
+        keys = F.concat(F.when(F.size(a["keys"]) >= window, F.slice(a["keys"], 2, window)).otherwise(a["keys"]), F.array(x["key"]))
+        part = F.when(full, F.array(x["line"])).otherwise(F.concat(a["part"], F.array(x["line"])))
+        parts = F.when(full, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"])
+        return F.when(F.array_contains(a["keys"], x["key"]), a).otherwise(F.struct(keys.alias("keys"), part.alias("part"), parts.alias("parts")))
+
+    return F.flatten(F.aggregate(clean, start, add, lambda a: F.concat(a["parts"], F.array(a["part"]))))
 
 
 def caps_ratio(c: Column) -> Column:

@@ -29,13 +29,30 @@ RULES: tuple[tuple[str, str, str], ...] = (
 )
 
 
+#: What a rule can't match without: one of these in the text in lower case.  A digit is "0", a Cyrillic letter "я".
+NEEDS: dict[str, tuple[str, ...]] = {
+    "number word in parentheses": ("(",), "rate of VAT": ("%",), "VAT": ("vat", "ндс"), "currency code": ("usd", "eur", "rub", "gbp", "cny", "chf", "aed", "kzt", "uah", "pln", "try", "jpy"),
+    "currency word": ("я", "usd", "eur", "rub", "gbp", "pln", "cny", "kzt", "aed"), "country of a currency": ("я",), "percentage": ("%",), "days in digits": ("day", "я"), "days in words": ("я",),
+    "amount": ("0",), "amount that is a clause": ("я",), "reference to a clause": ("я",),
+}
+
+
 def anonymise(df: DataFrame, col: str, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """Replace column ``col`` by its anonymised form and add ``replacements``, the number of substitutions."""
-    out = df.withColumn(col, t.filled(F.col(col))).withColumn("replacements", F.lit(0).cast("long"))
-    for _, pattern, new in rules:
+    """Replace column ``col`` by its anonymised form and add ``replacements``, the number of substitutions.
+
+    A rule's pattern runs only on texts that hold what it can't match without.
+    """
+    low = F.lower(t.filled(F.col(col)))
+    facts = F.struct(low.alias("low"), low.rlike("[а-яё]").alias("cyrillic"), low.rlike(r"(?U)\d").alias("digit"))
+    out = df.withColumn("_facts", facts).withColumn(col, t.filled(F.col(col))).withColumn("replacements", F.lit(0).cast("long"))
+    for name, pattern, new in rules:
+        may = F.lit(name not in NEEDS)
+        for need in NEEDS.get(name, ()):
+            may = may | (F.col("_facts.digit") if need == "0" else F.col("_facts.cyrillic") if need == "я" else F.contains(F.col("_facts.low"), F.lit(need)))
         # each rule reads the text that the rule before it made
-        out = out.select(*[c for c in out.columns if c not in (col, "replacements")], (F.col("replacements") + F.regexp_count(F.col(col), F.lit(pattern))).alias("replacements"), F.regexp_replace(col, pattern, new).alias(col))
-    return out.withColumn(col, t.tidy(F.col(col)))
+        more = F.when(may, F.regexp_count(F.col(col), F.lit(pattern))).otherwise(0)
+        out = out.select(*[c for c in out.columns if c not in (col, "replacements")], (F.col("replacements") + more).alias("replacements"), F.when(may, F.regexp_replace(col, pattern, new)).otherwise(F.col(col)).alias(col))
+    return out.drop("_facts").withColumn(col, t.tidy(F.col(col)))
 
 
 def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scrivener.functions import predicates as p
 from scrivener.functions import text as t
 
 
-
 def fill_titles(segments: DataFrame, titles: DataFrame) -> DataFrame:
     """Left join on section_id: ``final_title`` is the row's own title unless blank, else the map's.
 
@@ -41,10 +40,90 @@ def title_candidates(title: Column) -> Column:
     return F.aggregate(every, start, lambda out, x: F.when(F.exists(out, lambda o: o["key"] == x["key"]), out).otherwise(F.concat(out, F.array(x))))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio in lower case; an edit distance is not the same."""
-    return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
+#: Known titles and asked ones that are compared in one task, at most.
+KNOWN_BLOCK, ASKED_BLOCK = 2_000, 4_000
+
+
+def _letter_counts(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(texts), len(alphabet)), np.int32)
+    for row, x in zip(out, texts):
+        for c in x:
+            at = alphabet.get(c)
+            if at is not None:
+                row[at] += 1
+    return out
+
+
+def _most_similar(longest: float):
+    """Of a block of asked forms, the most similar known title of a block: first the ones with the highest bound.
+
+    The Ratcliff-Obershelp ratio is at most twice the letters in common over both lengths, so known titles are
+    tried in order of that bound until it falls below the best ratio found.
+    """
+
+    def run(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("ord")
+        texts, ids, ords = known["known"].tolist(), known["known_id"].tolist(), known["ord"].tolist()
+        alphabet = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
+        letters, sizes = _letter_counts(texts, alphabet), np.array([len(x) for x in texts])
+        matchers = [SequenceMatcher(None, "", x) for x in texts]
+        firsts = np.array([x[:1] for x in texts])
+        found = []
+        for form, near in zip(asked["key"], asked["near"]):
+            fit = (sizes >= int(len(form) * 0.6)) & (sizes <= int(len(form) * longest))
+            if near:
+                fit &= firsts == form[:1]
+            at = np.flatnonzero(fit)
+            if not len(at):
+                continue
+            mine = _letter_counts([form], alphabet)[0]
+            used = np.flatnonzero(mine)
+            bound = 2.0 * np.minimum(letters[np.ix_(at, used)], mine[used]).sum(1) / (sizes[at] + len(form))
+            best, score = None, 0.0
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] + 1e-9 < score or bound[i] == 0:
+                    break
+                matcher = matchers[at[i]]
+                matcher.set_seq1(form)
+                ratio = matcher.ratio()
+                if ratio > score or (ratio == score and best is not None and at[i] < best):
+                    best, score = at[i], ratio
+            if best is not None:
+                found.append((form, ids[best], score, ords[best]))
+        return pd.DataFrame(found, columns=["key", "known_id", "score", "ord"])
+
+    return run
+
+
+def _best_of_blocks(rest: DataFrame, held: DataFrame, longest: float, few: int) -> DataFrame:
+    """(key, known_id, score, ord): of each form (key, n) the best known title (known, known_id, ord, len) per block.
+
+    Known titles of one length are dealt to blocks of about KNOWN_BLOCK, forms of one length to blocks of about
+    ASKED_BLOCK, both by hash, so neither a frequent length nor a long map lands in one task.  With ``few``, only
+    known titles with the form's first letter count, unless there are fewer than ``few``.
+    """
+    lengths = held.groupBy("len").agg(F.count("*").alias("held"))
+    # neighbouring lengths share a block until it is full; a length has at most one row here
+    before = F.coalesce(F.sum("held").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lengths = lengths.select("len", "held", F.floor(before / KNOWN_BLOCK).cast("long").alias("band"), F.ceil(F.col("held") / KNOWN_BLOCK).cast("int").alias("parts"))
+    known = held.join(lengths.select("len", "band", "parts"), "len").select("known", "known_id", "ord", "band", F.pmod(F.xxhash64("known"), F.col("parts")).cast("int").alias("part"))
+    bands = lengths.groupBy("band").agg(F.min("len").alias("low"), F.max("len").alias("high"), F.max("parts").alias("parts"))
+    low, high = F.floor(F.col("n") * 0.6), F.floor(F.col("n") * longest)
+    asked = rest.groupBy("n").agg(F.count("*").alias("forms"))
+    # lengths and bands are few: one row for each length that occurs
+    reach = asked.join(bands, (F.col("low") <= high) & (F.col("high") >= low)).select("n", "band", "parts", F.ceil(F.col("forms") / ASKED_BLOCK).cast("int").alias("deals"))
+    forms = rest.withColumn("near", F.lit(False))
+    if few:
+        counted = held.groupBy("len", F.substring("known", 1, 1).alias("letter")).agg(F.count("*").alias("c"))
+        top = held.agg(F.max("len").alias("top"))
+        wanted = rest.select("n", F.substring("key", 1, 1).alias("letter")).distinct().join(F.broadcast(top)).where(low <= F.col("top")).select("n", "letter", F.explode(F.sequence(low.cast("int"), F.least(high.cast("int"), F.col("top")))).alias("len"))
+        near = wanted.join(counted, ["len", "letter"]).groupBy("n", "letter").agg((F.sum("c") >= few).alias("near"))
+        forms = rest.withColumn("letter", F.substring("key", 1, 1)).join(near, ["n", "letter"], "left").select("key", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    sent = forms.join(reach, "n").withColumn("deal", F.pmod(F.xxhash64("key"), F.col("deals")).cast("int")).select("key", "near", "band", "deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    deals = sent.groupBy(F.col("band").alias("b"), F.col("part").alias("p"), F.col("deal").alias("d")).agg(F.count("*").alias("_"))
+    spread = known.join(deals, (F.col("band") == F.col("b")) & (F.col("part") == F.col("p"))).select("known", "known_id", "ord", F.col("b").alias("band"), F.col("p").alias("part"), F.col("d").alias("deal"))
+    by = ["band", "part", "deal"]
+    return sent.groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(_most_similar(longest), "key string, known_id string, score double, ord long")
 
 
 def match_titles(titles: DataFrame, to_id: DataFrame, least: float = 0.78, longest: float = 1.6, by_first_letter: bool = False, few: int = 20) -> DataFrame:
@@ -55,7 +134,8 @@ def match_titles(titles: DataFrame, to_id: DataFrame, least: float = 0.78, longe
     title's candidates the best score wins, then the first.  ``by_first_letter``: the older rule, known titles
     with the same first letter, unless there are fewer than ``few``; the title is not taken apart.
 
-    Only distinct forms that have no exact match are compared, and only within their range of lengths.
+    Only distinct forms that have no exact match are compared, and only within their range of lengths: the map is
+    a set of known titles in blocks, and each block of forms meets the blocks that its lengths can reach.
     """
     every = titles.select("title").distinct()
     if by_first_letter:
@@ -67,18 +147,8 @@ def match_titles(titles: DataFrame, to_id: DataFrame, least: float = 0.78, longe
     keys = cands.select("key").distinct()
     exact = keys.join(known, F.col("key") == F.col("known")).select("key", F.col("known_id").alias("id"), F.lit(1.0).alias("score"))
     rest = keys.join(known, F.col("key") == F.col("known"), "left_anti").select("key", F.length("key").alias("n"))
-    # an equi-join on length: each form asks for the lengths of its range
-    held = known.withColumn("len", F.length("known"))
-    # no known title is longer than the longest, so a long form asks for few lengths or none
-    low, high = F.floor(F.col("n") * 0.6).cast("int"), F.least(F.floor(F.col("n") * longest).cast("int"), F.col("top"))
-    asked = rest.join(F.broadcast(held.agg(F.max("len").alias("top")))).where(low <= high).select("key", F.explode(F.sequence(low, high)).alias("len"))
-    pairs = asked.join(held, "len")
-    if by_first_letter:
-        same = pairs.withColumn("same", F.substring("key", 1, 1) == F.substring("known", 1, 1))
-        counted = same.groupBy("key").agg(F.count_if("same").alias("near"))
-        pairs = same.join(counted, "key").where((F.col("near") < few) | F.col("same"))
-    scored = pairs.withColumn("score", similarity("key", "known"))
-    best = scored.where("score > 0").groupBy("key").agg(F.max_by(F.struct("known_id", "score"), F.struct("score", -F.col("ord"))).alias("b"))
+    fuzzy_best = _best_of_blocks(rest, known.withColumn("len", F.length("known")), longest, few if by_first_letter else 0)
+    best = fuzzy_best.groupBy("key").agg(F.max_by(F.struct("known_id", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     fuzzy = best.select("key", F.when(F.col("b.score") >= least, F.col("b.known_id")).alias("id"), F.col("b.score").alias("score"))
     found = cands.join(exact.union(fuzzy), "key", "left")
     top = found.groupBy("title").agg(F.max_by(F.struct("id", "score"), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("n"))).alias("b"))

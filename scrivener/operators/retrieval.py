@@ -91,10 +91,12 @@ def tfidf_search(docs: DataFrame, body: Column, query: str, limit: int = 3, min_
         pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
         return F.concat(w, pairs)
 
-    tf = docs.select(F.col(seq).alias("seq"), F.explode(grams(body)).alias("term")).groupBy("seq", "term").agg(F.count("*").alias("tf"))
+    found = docs.select(F.col(seq).alias("seq"), F.explode(F.array(grams(body))).alias("all"))
     n = docs.agg(F.count("*").alias("n"))
-    terms = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    # frequencies combine before the shuffle; only documents with a term of the query need their own terms and length
+    terms = found.select(F.explode(F.array_distinct("all")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     terms = terms.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = found.where(F.arrays_overlap("all", grams(F.lit(query)))).select("seq", F.explode("all").alias("term")).groupBy("seq", "term").agg(F.count("*").alias("tf"))
     weights = tf.join(terms, "term").select("seq", "term", (F.col("tf") * F.col("idf")).alias("w"), "idf")
     asked = docs.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(grams(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qf"))
     wanted = asked.join(terms, "term").select("term", (F.col("qf") * F.col("idf")).alias("qw"))
@@ -257,17 +259,27 @@ def similar_pairs(docs: DataFrame, body: Column, k: int = SHINGLE, least: float
     """(a, b, similarity) of the documents whose shingle sets have a Jaccard similarity of ``least`` or more.
 
     Exact, by prefix filtering: with a set's shingles ordered from rare to frequent, similar sets share one of
-    each one's first n - ceil(least * n) + 1, so frequent shingles hardly meet.  Equal sets form a class first and
-    pairs are made between classes, so copies don't multiply; members of a class come as pairs with its first.
+    each one's first n - ceil(least * n) + 1, so frequent shingles hardly meet.  A posting is a shingle, its set's
+    size and its place there; the places of a shared shingle bound what two sets can have in common.  Whole sets
+    meet once, for the pairs that are left.  Equal sets form a class first and pairs are made between classes, so
+    copies don't multiply; members of a class come as pairs with its first.
     """
     grams = docs.select(F.col(seq).alias("seq"), F.explode(F.array_distinct(F.transform(t.shingles(body, k), lambda s: F.xxhash64(s)))).alias("g"))
     often = grams.groupBy("g").agg(F.count("*").alias("df"))
     sets = grams.join(often, "g").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"]).alias("s"))
-    classes = sets.groupBy("s").agg(F.min("seq").alias("rep"))
-    members = sets.join(classes, "s").where("seq > rep").select(F.col("rep").alias("a"), F.col("seq").alias("b"), F.lit(1.0).alias("similarity"))
-    size = F.size("s")
-    prefix = classes.select("rep", "s", F.explode(F.slice("s", F.lit(1), (size - F.ceil(size * least) + 1).cast("int"))).alias("g"))
-    left, right = prefix.select(F.col("rep").alias("a"), F.col("s").alias("sa"), "g"), prefix.select(F.col("rep").alias("b"), F.col("s").alias("sb"), "g")
-    fit = (F.size("sa") <= F.size("sb") / least) & (F.size("sb") <= F.size("sa") / least)
-    pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & fit & (t.jaccard(F.col("sa"), F.col("sb")) >= least))
-    return pairs.select("a", "b", t.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).distinct().union(members)
+    # a set is known by its size and 128 bits of it
+    keyed = sets.select("seq", "s", F.struct(F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i")).alias("key"))
+    classes = keyed.groupBy("key").agg(F.min("seq").alias("rep"))
+    named = keyed.select("seq", "key").join(classes, "key")
+    members = named.where("seq > rep").select(F.col("rep").alias("a"), F.col("seq").alias("b"), F.lit(1.0).alias("similarity"))
+    reps = keyed.join(classes.select(F.col("rep").alias("seq")), "seq", "left_semi").select("seq", "s", F.col("key.n").alias("n"))
+    prefix = reps.select("seq", "n", F.posexplode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("p", "g"))
+    left, right = prefix.select(F.col("seq").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), "g"), prefix.select(F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), "g")
+    fit = (F.col("na") * least <= F.col("nb")) & (F.col("nb") * least <= F.col("na"))
+    # before this shingle at most the lesser place in common, from it on at most the shorter rest
+    common = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = common * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-6
+    pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & fit & enough).select("a", "b").distinct()
+    one, other = reps.select(F.col("seq").alias("a"), F.col("s").alias("sa")), reps.select(F.col("seq").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", t.bind(t.jaccard(F.col("sa"), F.col("sb")), lambda x: x).alias("similarity"))
+    return both.where(F.col("similarity") >= least).union(members)

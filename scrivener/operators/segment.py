@@ -22,37 +22,32 @@ def number_segments(segments: DataFrame, by: str = "doc_id", order: str = "pos")
 
 
 def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, order, section, text): a fold over a document's lines, from the title PREFACE.
+    """(doc_id, order, section, text): a document's lines under their headings, from the title PREFACE.
 
     A listed, addendum or capital heading that another heading with other words follows makes one title of
     both.  Capitals count as headings only while the title is PREFACE.  Sections without body go; a document
     with text but without sections is one FULL_TEXT.
     """
-    rows = F.transform(t.lines(F.col(text_col)), t.narrow)
-    flags = F.transform(rows, lambda x: F.struct(x.alias("line"), (p.listed_heading(x) | p.addendum(x) | p.all_caps_heading(x)).alias("opens"), p.heading(x, True).alias("any"), p.heading(x, False).alias("plain")))
-    base = docs.select(F.col(id_col).alias("doc_id"), t.filled(F.col(text_col)).alias("text"), flags.alias("flags"))
-    # the fold looks one line ahead, so each item carries the next one
-    base = base.withColumn("steps", F.transform("flags", lambda x, i: F.struct(x.alias("now"), F.get("flags", i + 1).alias("next"))))
-    base = base.select("doc_id", "text", F.explode(F.array("steps")).alias("steps"))
-    section = "struct<section:string,text:string>"
-    start = F.struct(F.lit("PREFACE").alias("title"), F.lit("").alias("body"), F.array().cast(f"array<{section}>").alias("out"), F.lit(False).alias("skip"))
-
-    def flushed(a: Column) -> Column:
-        return F.when(a["body"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["title"].alias("section"), a["body"].alias("text")))))
-
-    def step(a: Column, s: Column) -> Column:
-        now, after = s["now"], s["next"]
-        pair = now["opens"] & F.coalesce(after["any"], F.lit(False)) & (F.lower(now["line"]) != F.lower(F.coalesce(after["line"], now["line"])))
-        new = F.when(a["title"] == "PREFACE", now["any"]).otherwise(now["plain"])
-        titled = F.struct(F.when(pair, F.concat(now["line"], F.lit(" / "), after["line"])).otherwise(now["line"]).alias("title"), F.lit("").alias("body"), flushed(a).alias("out"), pair.alias("skip"))
-        more = F.struct(a["title"].alias("title"), F.when(a["body"] == "", now["line"]).otherwise(F.concat(a["body"], F.lit("\n"), now["line"])).alias("body"), a["out"].alias("out"), F.lit(False).alias("skip"))
-        passed = F.struct(a["title"].alias("title"), a["body"].alias("body"), a["out"].alias("out"), F.lit(False).alias("skip"))
-        return F.when(a["skip"], passed).when(pair | new, titled).otherwise(more)
-
-    folded = base.select("doc_id", "text", F.aggregate("steps", start, step, flushed).alias("s"))
-    whole = t.strip(F.col("text"))
-    done = F.when((F.size("s") == 0) & (whole != ""), F.array(F.struct(F.lit("FULL_TEXT").alias("section"), whole.alias("text")))).otherwise(F.col("s"))
-    return folded.select("doc_id", F.posexplode(done).alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("order"), "x.section", "x.text")
+    each = docs.select(F.col(id_col).alias("doc_id"), t.filled(F.col(text_col)).alias("text")).select("doc_id", "text", F.explode(F.array(F.transform(t.lines(F.col("text")), t.narrow))).alias("lines"))
+    # without a body all lines are headings, which few documents are: only these take their text along
+    rows = each.select("doc_id", F.when(F.forall("lines", lambda y: p.heading(y, True)), t.strip(F.col("text"))).alias("bare"), F.posexplode("lines").alias("pos", "line"))
+    x, by = F.col("line"), Window.partitionBy("doc_id").orderBy("pos")
+    upto, before = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("doc_id", "bare", "pos", "line", (p.listed_heading(x) | p.addendum(x) | p.all_caps_heading(x)).alias("opens"), p.heading(x, True).alias("any"), p.heading(x, False).alias("plain"))
+    ahead = rows.withColumn("next", F.lead("line").over(by)).withColumn("could", F.col("opens") & F.coalesce(F.lead("any").over(by), F.lit(False)) & (F.lower("line") != F.lower(F.coalesce("next", "line"))))
+    # of a run of lines that could pair with the next one, every other does: the one between is taken
+    paired = ahead.withColumn("pair", F.col("could") & ((F.col("pos") - F.coalesce(F.max(F.when(~F.col("could"), F.col("pos"))).over(upto), F.lit(-1))) % 2 == 1))
+    paired = paired.withColumn("taken", F.coalesce(F.lag("pair").over(by), F.lit(False))).withColumn("title", F.when(F.col("pair"), F.concat("line", F.lit(" / "), "next")).otherwise(F.col("line")))
+    leaves = ~F.col("taken") & (F.col("pair") | F.col("any")) & (F.col("title") != "PREFACE")
+    past = F.coalesce(F.max(leaves).over(before), F.lit(False))
+    headed = paired.withColumn("head", ~F.col("taken") & (F.col("pair") | F.when(past, F.col("plain")).otherwise(F.col("any"))))
+    named = headed.withColumn("no", F.sum(F.col("head").cast("int")).over(upto)).withColumn("section", F.coalesce(F.last(F.when(F.col("head"), F.col("title")), ignorenulls=True).over(upto), F.lit("PREFACE")))
+    named = named.withColumn("body", ~F.col("head") & ~F.col("taken"))
+    whole = (F.col("pos") == 0) & (F.col("bare") != "") & ~F.max("body").over(Window.partitionBy("doc_id"))
+    named = named.withColumn("whole", F.coalesce(whole, F.lit(False))).where("body or whole")
+    line, section = F.when(F.col("whole"), F.col("bare")).otherwise(F.col("line")), F.when(F.col("whole"), "FULL_TEXT").otherwise(F.col("section"))
+    bodies = named.select("doc_id", "no", "pos", section.alias("section"), line.alias("line")).groupBy("doc_id", "no", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda b: b["line"]), "\n").alias("text"))
+    return number_segments(bodies, "doc_id", "no").select("doc_id", "order", "section", "text")
 
 
 def _titled(blocks: DataFrame, is_heading: Column, title: Column, merge_same: bool) -> DataFrame:

@@ -137,7 +137,7 @@ def docx(paragraphs):
 
 @pytest.fixture
 def folder(tmp_path):
-    (tmp_path / "a.docx").write_bytes(docx([("Условия оплаты", "H1"), "Покупатель оплачивает товар в течение пятнадцати дней после получения счета от поставщика и подписания акта.", {"row": ["ячейка", "вторая"]}, ("Поставка", "H1"), "срок"]))
+    (tmp_path / "a.docx").write_bytes(docx([("Условия оплаты", "H1"), "Покупатель оплачивает товар в течение пятнадцати дней после получения счета от поставщика и подписания акта.", {"row": ["ячейка", "вторая"]}, ("ПОСТАВКА", "H1"), "срок"]))
     (tmp_path / "b.docx").write_bytes(b"broken")
     (tmp_path / "~$a.docx").write_bytes(b"lock")
     (tmp_path / "c.json").write_text(json.dumps({"clauses": [{"heading": "Арбитраж", "body": "Споры"}, {"heading": "", "body": "x"}]}, ensure_ascii=False))
@@ -153,12 +153,12 @@ def test_documents_to_corpus_and_titles(spark, folder):
     assert [(r.kind, r.style, r.bold_ratio) for r in blocks.where("error is null").orderBy("pos").collect()][:3] == [("p", "Heading 1", 1.0), ("p", "", 0.0), ("t", "", 0.0)]
     assert readers.docx_text(blocks.where("error is null")).first().text.endswith("срок\nячейка\nвторая")
     sections = pipelines.build_corpus(spark, folder, f"{folder}/nested", f"{folder}/flat")
-    assert [(r.title, r.section_id) for r in sections.orderBy("order").collect()] == [("Условия оплаты", "payment_terms"), ("Поставка", "delivery_terms")]
+    assert [(r.title, r.section_id) for r in sections.orderBy("order").collect()] == [("Условия оплаты", "payment_terms"), ("ПОСТАВКА", "delivery_terms")]
     assert spark.read.json(f"{folder}/nested").select(F.size("sections")).first()[0] == 2
     assert [r.title for r in readers.read_corpus(spark, f"{folder}/flat").collect()] == ["Условия оплаты"]
     segments, report = pipelines.type_titles(spark, folder, f"{folder}/map.csv")
     assert {(r.contract_id, r.source, r.status, r.segments_count) for r in report.collect()} == {("a", "docx", "ok", 2), ("b", "docx", "parse_error", 0), ("c", "json", "ok", 1), ("d", "json", "parse_error", 0), ("e", "json", "unsupported_json_structure", 0)}
-    assert {(r.section_title, r.section_id, r.confidence) for r in segments.collect()} == {("Условия оплаты", "payment_terms", "0.900"), ("Поставка", "delivery_terms", "0.900"), ("Арбитраж", "dispute_resolution", "0.900")}
+    assert {(r.section_title, r.section_id, r.confidence) for r in segments.collect()} == {("Условия оплаты", "payment_terms", "0.900"), ("ПОСТАВКА", "delivery_terms", "0.900"), ("Арбитраж", "dispute_resolution", "0.900")}
     writers.write_report(report, f"{folder}/report")
     assert readers.read_csv(spark, f"{folder}/report", ";").count() == 5
     assert {r.title for r in readers.read_title_map(spark, f"{folder}/map.csv").collect()} == {"Порядок\nрасчетов"}
