@@ -42,17 +42,17 @@ def anonymise(df: DataFrame, col: str, rules: Sequence[tuple[str, str, str]] = R
 
     A rule's pattern runs only on texts that hold what it can't match without.
     """
-    low = F.lower(t.filled(F.col(col)))
-    facts = F.struct(low.alias("low"), low.rlike("[а-яё]").alias("cyrillic"), low.rlike(r"(?U)\d").alias("digit"))
-    out = df.withColumn("_facts", facts).withColumn(col, t.filled(F.col(col))).withColumn("replacements", F.lit(0).cast("long"))
+    out = df.withColumn(col, t.filled(F.col(col))).withColumn("_low", F.lower(F.col(col)))
+    out = out.withColumn("_cyrillic", F.col("_low").rlike("[а-яё]")).withColumn("_digit", F.col("_low").rlike(r"(?U)\d")).withColumn("replacements", F.lit(0).cast("long"))
     for name, pattern, new in rules:
         may = F.lit(name not in NEEDS)
         for need in NEEDS.get(name, ()):
-            may = may | (F.col("_facts.digit") if need == "0" else F.col("_facts.cyrillic") if need == "я" else F.contains(F.col("_facts.low"), F.lit(need)))
+            may = may | (F.col("_digit") if need == "0" else F.col("_cyrillic") if need == "я" else F.contains(F.col("_low"), F.lit(need)))
         # each rule reads the text that the rule before it made
         more = F.when(may, F.regexp_count(F.col(col), F.lit(pattern))).otherwise(0)
         out = out.select(*[c for c in out.columns if c not in (col, "replacements")], (F.col("replacements") + more).alias("replacements"), F.when(may, F.regexp_replace(col, pattern, new)).otherwise(F.col(col)).alias(col))
-    return out.drop("_facts").withColumn(col, t.tidy(F.col(col)))
+    # through a generator no filter on the result is pushed, which would repeat all rules inside it
+    return out.select(*df.drop(col).columns, "replacements", F.explode(F.array(t.tidy(F.col(col)))).alias(col))
 
 
 def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:

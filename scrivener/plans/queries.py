@@ -14,6 +14,7 @@ from scrivener.functions import predicates as p
 from scrivener.functions import text as t
 from scrivener.functions import validate
 from scrivener.operators import cleaning, joins, retrieval, segment, stats
+from scrivener.plans import sql as q
 from scrivener.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,7 +125,10 @@ def tfidf_topk(spark, sf_dir):
 FORM = {"language_mode": "en", "currency": "USD", "payment": {"prepayment_required": True, "currency": "USD"}}
 
 
-@query("diverse_topk")
+_MASKED = q.strip(q.replaced("text", ("(?i)USD", "[CURRENCY]"), (r"(?i)\b(\d{1,4})\s*(day|days)\b", r"[TERM_DAYS] \2"), (r"\b(\d{1,3})\s*%", "[PERCENT]%"), (f"\\b\\d{{1,3}}(?:[ {t.NBSP}]\\d{{3}})*(?:[.,]\\d{{1,2}})?\\b", "[AMOUNT]"), (r"[ \t\r\f\v]+", " ")))
+
+
+@query("diverse_topk", q.diverse(f"with bm as ({_bm25_sql('select doc_id, text from documents', ASKED, 80)}), hits as (select bm.rank, d.source, {_MASKED} as candidate from bm join documents d on d.doc_id = bm.doc_id)", WORDS.replace("text", "candidate")))
 def diverse_topk(spark, sf_dir):
     """BM25 hits, masked, at most one of each source, none like another."""
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
@@ -185,21 +189,23 @@ _text_query("unify_newlines", t.unify_newlines, r"regexp_replace(regexp_replace(
 _text_query("tidy_spaces", t.tidy, _sql_strip(r"regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"))
 _text_query("plain_spaces", t.plain_spaces, _sql_strip(r"regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g')"))
 _text_query("narrow_spaces", t.narrow, rf"regexp_replace({_sql_strip('text')}, '[\s\v]{{2,}}', ' ', 'g')")
-_text_query("clean_page_text", t.clean_page_text, _sql_strip(r"regexp_replace(array_to_string(list_transform(regexp_split_to_array(regexp_replace(text, '(?i)Page\s+\d+\s+of\s+\d+', '', 'g'), '\r\n|[\n\r\v\f]'), lambda x: regexp_replace(regexp_replace(x, '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')"))
+_PAGE = _sql_strip(r"regexp_replace(array_to_string(list_transform(regexp_split_to_array(regexp_replace(text, '(?i)Page\s+\d+\s+of\s+\d+', '', 'g'), '\r\n|[\n\r\v\f]'), lambda x: regexp_replace(regexp_replace(x, '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")
+_text_query("clean_page_text", t.clean_page_text, _PAGE)
 _text_query("unify_dashes", t.unify_dashes, _sql_strip(r"regexp_replace(regexp_replace(regexp_replace(translate(text, '–—−' || chr(160) || chr(173), '--- '), '[ \t]+', ' ', 'g'), '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g')"))
 _text_query("unglue_words", t.unglue, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([,;:])([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([A-Za-zА-Яа-яЁё])(\d)', '\1 \2', 'g'), '(\d)([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([А-Яа-яЁё])([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])([А-Яа-яЁё])', '\1 \2', 'g')")
 _text_query("strip_placeholders", t.drop_placeholders, r"regexp_replace(text, '\[[^\]]{1,120}\]', '', 'g')")
 _text_query("number_lines", t.number_lines, _sql_strip(rf"regexp_replace(regexp_replace({_sql_strip('text')}, '\n\s*\n+', chr(10), 'g'), '(?m)^\s*(\d+\.\d+)\.?\s+', '\1. ', 'g')"))
-_text_query("canonical_heading", t.canonical_heading)
+_text_query("canonical_heading", t.canonical_heading, q.canonical("text"))
 _text_query("smart_truncate", lambda c: t.smart_truncate(c, 2600), rf"case when length({_sql_strip('text')}) <= 2600 then {_sql_strip('text')} else (with c as (select substr({_sql_strip('text')}, 1, 2600) as a), d as (select regexp_replace(case when regexp_matches(substr(a, 1691), '[.!?;:\n]') then substr(a, 1, 1690) || regexp_extract(substr(a, 1691), '(?s)^.*[.!?;:\n]') else a end, '\s+$', '') as b from c) select case when regexp_matches(b, '[.!?…]$') then b else b || '…' end from d) end")
 _text_query("squash_repeats", lambda c: t.squash_repeats(35, 220)(c))
-_text_query("truncate_at_sentence", lambda c: t.truncate_at_sentence(c, 1500))
-_text_query("dedupe_lines_window", lambda c: F.array_join(t.dedupe_lines(t.lines(c), 30), "\n"))
-_text_query("drop_heading_echo", t.drop_heading_echo)
-_text_query("mask_numbers", retrieval.mask_numbers)
+_text_query("truncate_at_sentence", lambda c: t.truncate_at_sentence(c, 1500), f"list_transform([{q.tidy('text')}], lambda y: list_transform([{q.sentences('y')}], lambda z: {q.truncated('y', 'z', 1500)})[1])[1]")
+_text_query("dedupe_lines_window", lambda c: F.array_join(t.dedupe_lines(t.lines(c), 30), "\n"), f"array_to_string({q.deduped(q.lines('text'), 30)}, chr(10))")
+_text_query("drop_heading_echo", t.drop_heading_echo, q.strip(f"array_to_string({q.without_echo(q.lines('text'))}, chr(10))"))
+_text_query("mask_numbers", retrieval.mask_numbers, q.replaced("text", (r"(?i)\b(\d{1,4})\s*(day|days)\b", r"[TERM_DAYS] \2"), (r"\b(\d{1,3})\s*%", "[PERCENT]%"), (f"\\b\\d{{1,3}}(?:[ {t.NBSP}]\\d{{3}})*(?:[.,]\\d{{1,2}})?\\b", "[AMOUNT]")))
 _text_query("sentence_list", lambda c: F.array_join(t.sentences(c), "\n"), rf"regexp_replace(trim(regexp_replace({_sql_strip('text')}, '[\s\v]+', ' ', 'g')), '([.!?]) ([A-ZА-ЯЁ0-9])', '\1' || chr(10) || '\2', 'g')")
-_text_query("bare_title", lambda c: t.bare_title(F.substring_index(c, "\n", 1)))
-_text_query("slug_title", lambda c: t.slug(t.compatible_form(F.substring_index(c, "\n", 1))), rf"(with s as (select regexp_replace(regexp_replace(lower({_sql_strip(TITLE)}), '[^\p{{L}}\p{{M}}\p{{N}}_]+|_+', '_', 'g'), '^_+|_+$', '', 'g') as s) select case when s = '' then 'empty' when regexp_matches(s, '^\d') then 's_' || s else s end from (select regexp_replace(s, '_+', '_', 'g') as s from s))")
+_text_query("bare_title", lambda c: t.bare_title(F.substring_index(c, "\n", 1)), q.bare_title(TITLE))
+_SLUG = rf"(with s as (select regexp_replace(regexp_replace(lower({_sql_strip(TITLE)}), '[^\p{{L}}\p{{M}}\p{{N}}_]+|_+', '_', 'g'), '^_+|_+$', '', 'g') as s) select case when s = '' then 'empty' when regexp_matches(s, '^\d') then 's_' || s else s end from (select regexp_replace(s, '_+', '_', 'g') as s from s))"
+_text_query("slug_title", lambda c: t.slug(t.compatible_form(F.substring_index(c, "\n", 1))), _SLUG)
 _text_query("first_word_after_number", lambda c: t.first_word_after_number(F.substring_index(c, "\n", 1)), rf"split_part({_sql_strip(rf'lower(regexp_replace({_sql_strip(TITLE)}, ' + chr(39) + chr(94) + r'\d+(\.\d+)*[.)]\s*' + chr(39) + ', ' + chr(39) * 2 + '))')}, ' ', 1)")
 
 
@@ -293,7 +299,7 @@ def section_group(spark, sf_dir):
     return counted.select("section_id", p.id_group(F.col("section_id")).alias("section_group"), "n")
 
 
-@query("heading_flags")
+@query("heading_flags", q.HEADING_FLAGS)
 def heading_flags(spark, sf_dir):
     """How many lines of each document each heading rule takes."""
     rows = segment.lines_of(table(spark, sf_dir, "documents"))
@@ -337,25 +343,35 @@ def segment_headings_older(spark, sf_dir):
     return found.select("doc_id", "order", "title", F.md5("text").alias("text_md5"), "language")
 
 
-@query("segment_blocks_deduped")
+_BLOCKS_SQL = _SEGMENT_SQL.format(lines=_LINES, heading=_heading_sql(140, 3, 4, 0.88, 90, 90), title=r"regexp_replace(regexp_replace(line, ':+$', ''), '\s+$', '')", same="and key is distinct from before", lang=_RATIO)
+_BLOCKS_SQL = _BLOCKS_SQL[: _BLOCKS_SQL.index("b as (")] + f"""b as (select doc_id, no, coalesce(any_value(name), 'Preamble') as title, list(line order by pos) as ls from n where not h group by doc_id, no),
+d as (select doc_id, no, title, {q.deduped('ls', 25)} as ls from b),
+e as (select *, list_position(list_transform(ls, lambda x: {q.fold_case(q.plain_spaces("regexp_replace(x, ':+$', '')"))} = {q.fold_case(q.plain_spaces('title'))}), false) as good from d),
+g as (select doc_id, no, title, {q.strip("array_to_string(ls[coalesce(nullif(good, 0), len(ls) + 1):], chr(10))")} as x from e),
+r as (select *, lower(title) as low from g where x <> '')
+select doc_id, cast(row_number() over (partition by doc_id order by no) as integer) as "order", title, case {' '.join('when ' + ' or '.join(f"contains(low, '{w}')" for w in r[2]) + f" then '{r[0]}'" for r in p.TITLE_ROUTES)} else '' end as section_id,
+case {' '.join('when ' + ' or '.join(f"contains(low, '{w}')" for w in r[2]) + f" then '{r[1]}'" for r in p.TITLE_ROUTES)} else 'other' end as section_group, {_RATIO} as language, md5(x) as text_md5 from r"""
+
+
+@query("segment_blocks_deduped", _BLOCKS_SQL)
 def segment_blocks_deduped(spark, sf_dir):
     found = segment.block_sections(segment.lines_of(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "order", "title", "section_id", "section_group", "language", F.md5("text").alias("text_md5"))
 
 
-@query("titled_segments")
+@query("titled_segments", q.TITLED)
 def titled_segments(spark, sf_dir):
     found = segment.titled_segments(segment.lines_of(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "order", "section_title", F.md5("text").alias("text_md5"))
 
 
-@query("split_sections_fold")
+@query("split_sections_fold", q.split_sections(_PAGE))
 def split_sections_fold(spark, sf_dir):
     cleaned = table(spark, sf_dir, "documents").select("doc_id", t.clean_page_text(F.col("text")).alias("text"))
     return segment.split_sections(cleaned).select("doc_id", "order", "section", F.md5("text").alias("text_md5"))
 
 
-@query("heal_headings")
+@query("heal_headings", q.HEALED)
 def heal_headings(spark, sf_dir):
     blocks = segment.lines_of(table(spark, sf_dir, "documents")).withColumn("style", F.lit("Normal"))
     return segment.heal_report(segment.heal_blocks(blocks))
@@ -409,18 +425,18 @@ def route_or_match(spark, sf_dir):
 
 # ---- cleaning
 
-@query("anonymise")
+@query("anonymise", q.ANONYMISED)
 def anonymise(spark, sf_dir):
     return cleaning.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "replacements", F.md5("text").alias("text_md5"))
 
 
-@query("clean_precedents")
+@query("clean_precedents", q.CLEANED)
 def clean_precedents(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
     return cleaning.clean_precedents(rows, 120, 1800)[0].select(F.col("seq").alias("doc_id"), "replacements", F.md5("text").alias("text_md5"))
 
 
-@query("clean_report")
+@query("clean_report", q.CLEAN_REPORT)
 def clean_report(spark, sf_dir):
     return cleaning.clean_precedents(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text"), 120, 1800)[1]
 
@@ -484,15 +500,18 @@ def safe_int_sort(spark, sf_dir):
     return rows.orderBy("conv_id", "order_key", "turn")
 
 
-@query("repetition_flag", rf"""
+_REPEATED = rf"""
 with u as (select doc_id, list_filter(list_transform(string_split(regexp_replace({_sql_strip('text')}, '([.!?])[\s\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_sql_strip('x')}), lambda x: x <> '') as u from documents),
 k as (select doc_id, len(u) as n, list_transform(list_filter(u, lambda x: length(x) >= 40), lambda x: regexp_replace(regexp_replace(regexp_replace(lower(x), '[\s\v]+', ' ', 'g'), '[«»"()]', '', 'g'), '[,:;]+', ',', 'g')) as k from u)
-select doc_id, n >= 6 and len(k) >= 6 and len(list_distinct(k)) < len(k) as repeated from k""")
+select doc_id, n >= 6 and len(k) >= 6 and len(list_distinct(k)) < len(k) as repeated from k"""
+
+
+@query("repetition_flag", _REPEATED)
 def repetition_flag(spark, sf_dir):
     return stats.repetition(table(spark, sf_dir, "documents"))
 
 
-@query("unique_section_ids")
+@query("unique_section_ids", q.unique_slugs(TITLE, _SLUG.replace(TITLE, "title")))
 def unique_section_ids(spark, sf_dir):
     """Slugs of whole titles, made unique in order of frequency."""
     words = table(spark, sf_dir, "documents").select(F.substring_index("text", "\n", 1).alias("title")).where("title != ''")
@@ -515,7 +534,7 @@ def validate_delivery_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", validate.delivery_terms(F.col("text"), 900, 0).alias("code"))
 
 
-@query("validate_older_text")
+@query("validate_older_text", q.older_validator(_REPEATED))
 def validate_older_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     flags = stats.repetition(docs).withColumnRenamed("doc_id", "_id")
