@@ -237,14 +237,14 @@ def _retrieve(docs: DataFrame, query: str, form: dict, k: int, squash: bool) ->
     return diverse_top_k(rows, k)
 
 
-def retrieve_payment_terms(form: dict, rows: DataFrame, k: int = 3, max_docs: int = 800, squash: bool = True) -> DataFrame:
+def retrieve_payment_terms(form: dict, rows: DataFrame, k: int = 3, max_docs: int | None = 800, squash: bool = True) -> DataFrame:
     """(rank, doc_id, candidate) for the payment section: cleaned, in its domain, a prefix, ranked, diversified."""
     docs = corpus_documents(rows, form.get("language_mode", "ru"), squash=squash)
     docs = docs.where(p.in_domain(F.col("title"), F.col("text"), p.PAYMENT_FOR, p.PAYMENT_AGAINST))
     return _retrieve(first_of(docs, max_docs), payment_query(form), form, k, squash)
 
 
-def retrieve_delivery_terms(form: dict, rows: DataFrame, k: int = 3, max_docs: int = 800, squash: bool = True) -> DataFrame:
+def retrieve_delivery_terms(form: dict, rows: DataFrame, k: int = 3, max_docs: int | None = 800, squash: bool = True) -> DataFrame:
     """As for payment; sections labelled as delivery come first, then those of its domain."""
     docs = corpus_documents(rows, form.get("language_mode", "ru"), squash=squash)
     labelled = docs.where(F.lower(t.strip(F.col("section_id"))) == "delivery_terms")

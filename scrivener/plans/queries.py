@@ -137,16 +137,47 @@ def diverse_topk(spark, sf_dir):
     return retrieval.diverse_top_k(rows, 10).select("rank", F.col("doc_id").alias("source"), F.md5("candidate").alias("candidate_md5"))
 
 
-@query("retrieve_payment_terms")
+_UNGLUED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([,;:])([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([A-Za-zА-Яа-яЁё])(\d)', '\1 \2', 'g'), '(\d)([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([А-Яа-яЁё])([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])([А-Яа-яЁё])', '\1 \2', 'g')"
+
+
+def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a contract's section: shorter ones begin with a clause on payment, longer ones on delivery."""
+    size = F.col("n_chars")
+    kind = lambda a, b, c: F.when(size < 900, a).when(size < 2500, b).otherwise(c)
+    title, first = F.concat(kind("Payment of ", "Delivery to ", "Notes of "), "source"), kind(*_CLAUSES, "")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("section_group"), F.when((size >= 900) & (F.col("lang") == "bilingual"), "delivery_terms").otherwise("").alias("section_id"), F.lit("en").alias("language"), title.alias("title"), F.concat(first, "text").alias("text"))
+
+
+_CLAUSES = ("Payment is due by bank transfer on the invoice; prepayment, VAT and penalty interest apply. ", "Delivery and dispatch follow the schedule; packaging, marking, storage and acceptance are at the risk of the carrier. ")
+
+
+def _retrieval_sql(words_for, words_against, terms: list[str]) -> str:
+    bag = lambda words: "(" + " + ".join(f"contains(low, '{w}')::int" for w in words) + ")"
+    kind = lambda a, b, c: f"case when n_chars < 900 then '{a}' when n_chars < 2500 then '{b}' else '{c}' end"
+    body = _UNGLUED.replace("(text,", "(regexp_replace(y, '\\[[^\\]]{1,120}\\]', '', 'g'),")
+    lean = q.strip(f"regexp_replace({body}, '[ \\t\\r\\f\\v]+', ' ', 'g')")
+    return f"""c as (select doc_id, {kind('Payment of ', 'Delivery to ', 'Notes of ')} || source as title, {kind(*_CLAUSES, '')} || text as text from documents),
+x as (select *, regexp_replace(regexp_replace({q.strip('text')}, '\\r\\n?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') as y from c where length({q.strip('text')}) >= 80),
+v as (select doc_id, title, {lean} as z from x), u as (select doc_id, title, {q.smart_truncated('z', 2600)} as text from v),
+k as (select *, lower(title || chr(10) || text) as low from u), d as (select * from k where {bag(words_for)} >= 4 and ({bag(words_against)} < 3 or {bag(words_for)} >= 7)),
+bm as ({_bm25_sql("select doc_id, title || chr(10) || text as text from d", terms, 56)}),
+hits as (select bm.rank, cast(d.doc_id as varchar) as source, {_MASKED} as candidate from bm join d on d.doc_id = bm.doc_id)"""
+
+
+_PAYMENT_SQL, _DELIVERY_SQL = [q.diverse("with " + _retrieval_sql(a, b, retrieval._query_tokens(asked)), WORDS.replace("text", "candidate"), 7, "doc_id") for a, b, asked in ((p.PAYMENT_FOR, p.PAYMENT_AGAINST, retrieval.payment_query(FORM)), (p.DELIVERY_FOR, p.DELIVERY_AGAINST, retrieval.delivery_query(FORM)))]
+
+
+@query("retrieve_payment_terms", _PAYMENT_SQL)
 def retrieve_payment_terms(spark, sf_dir):
-    found = retrieval.retrieve_payment_terms(FORM, titled(table(spark, sf_dir, "documents")), 7, 800)
+    """Without squashing of repeats, which SQL can't say; squash_repeats has its own query."""
+    found = retrieval.retrieve_payment_terms(FORM, clauses(spark, sf_dir), 7, None, False)
     return found.select("rank", "doc_id", F.md5("candidate").alias("candidate_md5"))
 
 
-@query("retrieve_delivery_terms")
+@query("retrieve_delivery_terms", _DELIVERY_SQL)
 def retrieve_delivery_terms(spark, sf_dir):
-    rows = titled(table(spark, sf_dir, "documents")).withColumn("section_id", F.when(F.col("seq") % 7 == 0, "delivery_terms").otherwise(""))
-    return retrieval.retrieve_delivery_terms(FORM, rows, 7, 1200).select("rank", "doc_id", F.md5("candidate").alias("candidate_md5"))
+    """Sections labelled as delivery come first, which the tables may lack; then those of the domain."""
+    return retrieval.retrieve_delivery_terms(FORM, clauses(spark, sf_dir), 7, None, False).select("rank", "doc_id", F.md5("candidate").alias("candidate_md5"))
 
 
 @query("shingle_jaccard_pairs", f"""
@@ -192,11 +223,11 @@ _text_query("narrow_spaces", t.narrow, rf"regexp_replace({_sql_strip('text')}, '
 _PAGE = _sql_strip(r"regexp_replace(array_to_string(list_transform(regexp_split_to_array(regexp_replace(text, '(?i)Page\s+\d+\s+of\s+\d+', '', 'g'), '\r\n|[\n\r\v\f]'), lambda x: regexp_replace(regexp_replace(x, '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")
 _text_query("clean_page_text", t.clean_page_text, _PAGE)
 _text_query("unify_dashes", t.unify_dashes, _sql_strip(r"regexp_replace(regexp_replace(regexp_replace(translate(text, '–—−' || chr(160) || chr(173), '--- '), '[ \t]+', ' ', 'g'), '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g')"))
-_text_query("unglue_words", t.unglue, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([,;:])([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([A-Za-zА-Яа-яЁё])(\d)', '\1 \2', 'g'), '(\d)([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([А-Яа-яЁё])([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])([А-Яа-яЁё])', '\1 \2', 'g')")
+_text_query("unglue_words", t.unglue, _UNGLUED)
 _text_query("strip_placeholders", t.drop_placeholders, r"regexp_replace(text, '\[[^\]]{1,120}\]', '', 'g')")
 _text_query("number_lines", t.number_lines, _sql_strip(rf"regexp_replace(regexp_replace({_sql_strip('text')}, '\n\s*\n+', chr(10), 'g'), '(?m)^\s*(\d+\.\d+)\.?\s+', '\1. ', 'g')"))
 _text_query("canonical_heading", t.canonical_heading, q.canonical("text"))
-_text_query("smart_truncate", lambda c: t.smart_truncate(c, 2600), rf"case when length({_sql_strip('text')}) <= 2600 then {_sql_strip('text')} else (with c as (select substr({_sql_strip('text')}, 1, 2600) as a), d as (select regexp_replace(case when regexp_matches(substr(a, 1691), '[.!?;:\n]') then substr(a, 1, 1690) || regexp_extract(substr(a, 1691), '(?s)^.*[.!?;:\n]') else a end, '\s+$', '') as b from c) select case when regexp_matches(b, '[.!?…]$') then b else b || '…' end from d) end")
+_text_query("smart_truncate", lambda c: t.smart_truncate(c, 2600), q.smart_truncated("text", 2600))
 _text_query("squash_repeats", lambda c: t.squash_repeats(35, 220)(c))
 _text_query("truncate_at_sentence", lambda c: t.truncate_at_sentence(c, 1500), f"list_transform([{q.tidy('text')}], lambda y: list_transform([{q.sentences('y')}], lambda z: {q.truncated('y', 'z', 1500)})[1])[1]")
 _text_query("dedupe_lines_window", lambda c: F.array_join(t.dedupe_lines(t.lines(c), 30), "\n"), f"array_to_string({q.deduped(q.lines('text'), 30)}, chr(10))")
@@ -520,23 +551,36 @@ def unique_section_ids(spark, sf_dir):
 
 # ---- validators
 
-@query("validate_numbered_text", r"""
-with x as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '') as ls from documents)
-select doc_id, case when t = '' then 'empty_output' when length(regexp_replace(t, '[\s\v]+', '', 'g')) < 850 then 'too_short' when len(list_filter(ls, lambda l: regexp_matches(l, '^\d+\.\d+\.\s+'))) < 0 then 'too_few_list_items'
+def _itemised(mark: Callable[[Column], Column]) -> Column:
+    """A text's sentences as the lines of a numbered list."""
+    return F.array_join(F.transform(t.sentences(F.col("text")), lambda x, i: F.concat(mark(i + 1), F.lit(" "), x)), "\n")
+
+
+def _itemised_sql(mark: str) -> str:
+    return f"array_to_string(list_transform(list_filter({q.sentences('text')}, lambda x: x <> ''), lambda x, i: {mark} || ' ' || x), chr(10))"
+
+
+@query("validate_numbered_text", rf"""
+with n as (select doc_id, {_itemised_sql("'1.' || i || '.'")} as text from documents),
+x as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '') as ls from n)
+select doc_id, case when t = '' then 'empty_output' when length(regexp_replace(t, '[\s\v]+', '', 'g')) < 850 then 'too_short' when len(list_filter(ls, lambda l: regexp_matches(l, '^\d+\.\d+\.\s+'))) < 20 then 'too_few_list_items'
   when regexp_matches(t, '(?i)\b(swift|iban|beneficiary)\b|\baccount\s+no\b') then 'bank_details_detected' when regexp_matches(t, '(?i)\blate\s+payment\b|\bdefault\s+interest\b') then 'late_payment_penalty_detected' end as code from x""")
 def validate_numbered_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", validate.payment_terms(F.col("text"), False, False, 850, 0).alias("code"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _itemised(lambda i: F.concat(F.lit("1."), i.cast("string"), F.lit("."))).alias("text"))
+    return docs.select("doc_id", validate.payment_terms(F.col("text"), False, False, 850).alias("code"))
 
 
 @query("validate_delivery_text", rf"""
-select doc_id, case when t = '' then 'empty_output' when length(regexp_replace(t, '[\s\v]+', '', 'g')) < 900 then 'too_short' when len(regexp_extract_all(t, '(?i)\binvoice\b')) >= 3 then 'forbidden_topic_detected' end as code from (select doc_id, {_sql_strip('text')} as t from documents)""")
+with n as (select doc_id, {_itemised_sql("'2.' || i || '.'")} as text from documents)
+select doc_id, case when t = '' then 'empty_output' when length(regexp_replace(t, '[\s\v]+', '', 'g')) < 900 then 'too_short' when len(regexp_extract_all(t, '(?m)^2\.\d{{1,3}}\.\s')) < 20 then 'too_few_list_items' when len(regexp_extract_all(t, '(?i)\binvoice\b')) >= 3 then 'forbidden_topic_detected' end as code from (select doc_id, {_sql_strip('text')} as t from n)""")
 def validate_delivery_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", validate.delivery_terms(F.col("text"), 900, 0).alias("code"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _itemised(lambda i: F.concat(F.lit("2."), i.cast("string"), F.lit("."))).alias("text"))
+    return docs.select("doc_id", validate.delivery_terms(F.col("text"), 900).alias("code"))
 
 
-@query("validate_older_text", q.older_validator(_REPEATED))
+@query("validate_older_text", q.older_validator(_REPEATED, _itemised_sql("i || ')'")))
 def validate_older_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", _itemised(lambda i: F.concat(i.cast("string"), F.lit(")"))).alias("text"))
     flags = stats.repetition(docs).withColumnRenamed("doc_id", "_id")
     return docs.join(flags, F.col("doc_id") == F.col("_id")).select("doc_id", validate.old_payment_terms(F.col("text"), False, False, F.col("repeated")).alias("code"))
 

@@ -98,6 +98,11 @@ def bare_title(x: str) -> str:
     return f"list_transform({two}, lambda f: {end})[1]"
 
 
+def smart_truncated(x: str, most: int) -> str:
+    low = int(most * 0.65)
+    return rf"case when length({strip(x)}) <= {most} then {strip(x)} else (with c as (select substr({strip(x)}, 1, {most}) as a), d as (select regexp_replace(case when regexp_matches(substr(a, {low + 1}), '[.!?;:\n]') then substr(a, 1, {low}) || regexp_extract(substr(a, {low + 1}), '(?s)^.*[.!?;:\n]') else a end, '\s+$', '') as b from c) select case when regexp_matches(b, '[.!?…]$') then b else b || '…' end from d) end"
+
+
 # ---- headings: expressions over a column ``line``
 
 NARROW = r"regexp_replace(line, '[\s\v]{2,}', ' ', 'g')"
@@ -256,17 +261,19 @@ f as (select list(title order by n desc, title) as titles, list(n order by n des
 select unnest(titles) as title, cast(unnest(ns) as bigint) as count, unnest(ids) as section_id from f"""
 
 
-def older_validator(repeated: str) -> str:
-    """Cyrillic patterns are left out, for the tables hold none."""
-    return rf"""with r as ({repeated}) select d.doc_id, case when length(regexp_replace(text, '[\s\v]+', '', 'g')) < 750 then 'too_short' when len(regexp_extract_all(text, '(?m)^\s*\d{{1,3}}\)\s+')) < 20 then 'too_few_list_items' when regexp_matches(text, '\[[A-Z_]{{2,}}\]') then 'contains_placeholders'
-when r.repeated then 'repetition_detected' when {contains_any('lower(text)', ('iban', 'swift', 'bic', 'account no', 'account number', 'bank code', 'routing number'))} or regexp_matches(text, '\d{{12,}}') then 'contains_bank_details' end as code from documents d join r on r.doc_id = d.doc_id"""
+def older_validator(repeated: str, itemised: str) -> str:
+    """Over sentences as items.  Cyrillic patterns are left out, for the tables hold none."""
+    # items of a list are told apart by their numbers, so the units are the lines
+    units = repeated.replace("from documents", "from n").replace("string_split(regexp_replace(" + strip("text") + r", '([.!?])[\s\v]+', '\1' || chr(1), 'g'), chr(1))", "string_split(text, chr(10))")
+    return rf"""with n as (select doc_id, {itemised} as text from documents), r as ({units}) select d.doc_id, case when length(regexp_replace(text, '[\s\v]+', '', 'g')) < 750 then 'too_short' when len(regexp_extract_all(text, '(?m)^\s*\d{{1,3}}\)\s+')) < 20 then 'too_few_list_items' when regexp_matches(text, '\[[A-Z_]{{2,}}\]') then 'contains_placeholders'
+when r.repeated then 'repetition_detected' when {contains_any('lower(text)', ('iban', 'swift', 'bic', 'account no', 'account number', 'bank code', 'routing number'))} or regexp_matches(text, '\d{{12,}}') then 'contains_bank_details' end as code from n d join r on r.doc_id = d.doc_id"""
 
 
-def diverse(hits: str, words: str) -> str:
-    """``hits``: rank, doc_id, source, candidate.  A fold in rank order that carries what is chosen."""
+def diverse(hits: str, words: str, k: int = 10, name: str = "source") -> str:
+    """``hits``: rank, source, candidate.  A fold in rank order that carries what is chosen."""
     kind = "struct(rank integer, source varchar, candidate varchar, s varchar[])"
     resembles = "len(list_intersect(o.s, b.s)) > 0 and len(list_intersect(o.s, b.s)) / len(list_distinct(o.s || b.s)) >= 0.55"
     return f"""{hits}, w as (select *, {words} as w from hits),
 e as (select rank, source, candidate, case when len(w) >= 7 then list_distinct(list_transform(range(1, len(w) - 5), lambda i: array_to_string(w[i:i + 6], ' '))) else []::varchar[] end as s from w),
-f as (select list_reduce(list_prepend([]::{kind}[], list([struct_pack(rank := rank, source := source, candidate := candidate, s := s)]::{kind}[] order by rank)), lambda a, c: list_transform([c[1]], lambda b: case when len(a) >= 10 or len(list_filter(a, lambda o: (b.source <> '' and o.source = b.source) or ({resembles}))) > 0 then a else a || [b] end)[1]) as chosen from e)
-select x.rank as rank, x.source as source, md5(x.candidate) as candidate_md5 from (select unnest(chosen) as x from f)"""
+f as (select list_reduce(list_prepend([]::{kind}[], list([struct_pack(rank := rank, source := source, candidate := candidate, s := s)]::{kind}[] order by rank)), lambda a, c: list_transform([c[1]], lambda b: case when len(a) >= {k} or len(list_filter(a, lambda o: (b.source <> '' and o.source = b.source) or ({resembles}))) > 0 then a else a || [b] end)[1]) as chosen from e)
+select x.rank as rank, x.source as {name}, md5(x.candidate) as candidate_md5 from (select unnest(chosen) as x from f)"""
