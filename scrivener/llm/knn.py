@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.llm.common import materialize
 
-#: Cells, and at most about so many data rows or queries in a task's block.
-PIVOTS, DATA_BLOCK, QUERY_BLOCK = 16, 20_000, 1024
+#: Cells at most, data rows for each cell that is wanted, and rows of a cell that set a query's first threshold.
+PIVOTS, CELL, CHAMPIONS = 256, 4_096, 16
+#: Components that a task's block of data or queries holds at most, unless a few long rows hold more.
+BLOCK, ROWS = 1 << 21, 256
 #: Bounds are eased by this part, for rounding.
 EASE = 1e-9
 
@@ -51,57 +51,42 @@ def _cells(pivots: dict[int, np.ndarray]):
                 far = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None], 0))
                 cell = far.argmin(1)
                 dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(np.full(len(x), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(dist)], names=["vec_id", "v", "dim", "cell", "dist"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(np.full(len(x), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(dist), pa.array(np.sqrt((x * x).sum(1)))], names=["vec_id", "v", "dim", "cell", "dist", "norm"])
 
     return run
 
 
-def _groups(pivots: dict[int, np.ndarray], summary: list, queries: list, k: int, own_rows: dict[int, int] | None = None) -> dict[int, list[tuple[int, np.ndarray, float, float]]]:
-    """Per vector length, the query groups: cell, pivot, radius, and a score that k others reach for any query.
+def _routes(pivots: dict[int, np.ndarray], blocks: dict[int, list], champions: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """A query's rows for the blocks of data that can hold one of its ``k`` best.
 
-    ``summary`` counts the data of each cell by steps of distance.  For a query q within radius r of pivot g
-    and data x within e of pivot c: q.x >= g.c - |g| e - r |c| - r e.  Taking the best steps until they hold
-    k rows besides the query's own, of which ``own_rows`` has the most by vector length, gives the score.
+    ``blocks``: per vector length (block, cell, radius, greatest norm).  For x within radius r of pivot c,
+    q.x <= q.c + |q| r, and q.x <= |q| |x|.  A query has k partners at least as good as its k-th best champion,
+    a real row each, so blocks under that score hold none that counts.
     """
-    steps = defaultdict(list)
-    for s in summary:
-        steps[s["dim"]].append((s["cell"], s["n"], s["most"]))
-    out = defaultdict(list)
-    for q in queries:
-        dim, g = q["dim"], pivots.get(q["dim"], np.zeros((1, q["dim"]))).astype(float)
-        own, r = g[q["cell"]], q["radius"] * (1 + EASE)
-        bounds = []
-        for cell, n, e in steps[dim]:
-            c = g[cell]
-            size = np.linalg.norm(own) * e + r * np.linalg.norm(c) + r * e
-            bounds.append((float(own @ c) - size - EASE * (size + abs(float(own @ c)) + 1), n))
-        left, least = k + (own_rows or {}).get(dim, 1), -math.inf
-        for low, n in sorted(bounds, reverse=True):
-            left -= n
-            if left <= 0:
-                least = low
-                break
-        out[dim].append((q["cell"], own, r, least))
-    return dict(out)
-
-
-def _replicate(groups: dict, data_blocks: dict[int, int], query_blocks: dict[tuple[int, int], int]):
-    """A data row for each query group that it may matter to: q.x <= g.x + r |x| must reach the group's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, part, x in _by_dim(b):
-                y = x.astype(float)
-                size = np.sqrt((y * y).sum(1))
-                block = pd.util.hash_array(part.column("vec_id").to_numpy()) % data_blocks[dim]
-                for cell, own, r, least in groups.get(dim, []):
-                    most = y @ own + r * size
-                    at = pa.array(np.flatnonzero(most + EASE * (np.abs(most) + 1 + r * size) >= least))
-                    if not len(at):
-                        continue
-                    rows = part.take(at)
-                    for qb in range(query_blocks[dim, cell]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), cell, np.int32)), pa.array(np.full(len(at), qb, np.int32)), pa.array(block[np.asarray(at)].astype(np.int32)), rows.column("vec_id"), rows.column("v")], names=["dim", "cell", "qb", "db", "vec_id", "v"])
+            for dim, part, q in _by_dim(b):
+                held = blocks.get(dim, [])
+                if not held:
+                    continue
+                ids = part.column("vec_id").to_numpy()
+                best_ids, best = champions.get(dim, (np.empty(0, np.int64), np.zeros((0, dim), np.int64)))
+                y, size = q.astype(float), np.sqrt((q.astype(float) ** 2).sum(1))
+                centres = pivots.get(dim, np.zeros((1, dim))).astype(float)[[h[1] for h in held]]
+                radius, norm = np.array([h[2] for h in held]), np.array([h[3] for h in held])
+                most = np.minimum(y @ centres.T + size[:, None] * radius, size[:, None] * norm)
+                most += EASE * (np.abs(most) + size[:, None] * (radius + norm) + 1)
+                least = np.full(len(q), -np.inf)
+                for at in range(0, len(q), 512):
+                    found = np.where(ids[at : at + 512, None] != best_ids[None], scores(q[at : at + 512], best).astype(float), -np.inf)
+                    if found.shape[1] >= k:
+                        least[at : at + 512] = np.partition(found, found.shape[1] - k, axis=1)[:, found.shape[1] - k]
+                rows, cols = np.nonzero(most >= least[:, None])
+                for at in range(0, len(rows), 4096):
+                    pick = pa.array(rows[at : at + 4096])
+                    block = pa.array(np.array([h[0] for h in held], np.int64)[cols[at : at + 4096]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), dim, np.int32)), block, part.column("vec_id").take(pick), part.column("v").take(pick)], names=["dim", "block", "vec_id", "v"])
 
     return run
 
@@ -141,44 +126,69 @@ def _solve(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int = PIVOTS) -> DataFrame:
+def routed(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The data (dim, block, vec_id, v), each row in one block, and the queries, each in the blocks that it may need."""
+    fine = quantised(vectors, id_col, vector_col, scale)
+    n = vectors.count()
+    wanted = pivots or min(PIVOTS, max(16, n // CELL))
+    picked = defaultdict(set)
+    for r in fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect():
+        picked[len(r.v)].add(tuple(r.v))
+    centres = {dim: np.array(sorted(p), dtype=np.int64).reshape(len(p), dim) for dim, p in picked.items()}
+    celled = materialize(fine.mapInArrow(_cells(centres), "vec_id long, v array<long>, dim int, cell int, dist double, norm double"))
+    step = F.floor(F.log2(F.col("dist") + 1) * 8).cast("int")
+    summary = celled.groupBy("dim", "cell", step.alias("step")).agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.max("norm").alias("norm")).orderBy("dim", "cell", "step").collect()
+    # neighbouring steps of distance share a block until it is full; a crowded step has several blocks
+    blocks, starts, last = defaultdict(list), [], None
+    for s in summary:
+        size = max(ROWS, BLOCK // max(s["dim"], 1))
+        if last and last[:2] == (s["dim"], s["cell"]) and last[2] + s["n"] <= size:
+            block, parts, last = starts[-1][3], 1, (*last[:2], last[2] + s["n"])
+            number, cell, radius, norm = blocks[s["dim"]][-1]
+            blocks[s["dim"]][-1] = (number, cell, max(radius, s["radius"]), max(norm, s["norm"]))
+        else:
+            block, parts = (starts[-1][3] + starts[-1][4] if starts else 0), -(-s["n"] // size)
+            blocks[s["dim"]] += [(block + i, s["cell"], s["radius"], s["norm"]) for i in range(parts)]
+            last = (s["dim"], s["cell"], s["n"] if parts == 1 else size)
+        starts.append((s["dim"], s["cell"], s["step"], block, parts))
+    named = celled.sparkSession.createDataFrame(starts, "d int, c int, s int, first long, parts int")
+    data = celled.withColumn("step", step).join(F.broadcast(named), (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")) & (F.col("step") == F.col("s")))
+    data = data.select("dim", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"), "vec_id", "v")
+    # the longest rows of a cell score best with the queries that point its way
+    place = F.row_number().over(Window.partitionBy("dim", "cell").orderBy(F.col("norm").desc(), "vec_id"))
+    champions = defaultdict(dict)
+    for r in celled.withColumn("place", place).where(F.col("place") <= CHAMPIONS).select("dim", "vec_id", "v").collect():
+        champions[r.dim].setdefault(r.vec_id, r.v)  # one row an id, so that k of them are k partners
+    best = {dim: (np.array(list(x), np.int64), np.array(list(x.values()), np.int64).reshape(len(x), dim)) for dim, x in champions.items()}
+    asked = celled.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    return data, materialize(asked.mapInArrow(_routes(centres, dict(blocks), best, k), "dim int, block long, vec_id long, v array<long>"))
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each query, the k candidates with the highest score.
 
     Queries: rows whose id is divisible by ``every``; candidates: all rows but those with the query's own id.
     Score: inner product of the components floor(scale * x), in 64 bits; vectors of other lengths are not
     compared.  Ties go to the smaller id; with fewer candidates all come.  Null vectors, and those with null or
-    non-finite components, take no part, nor do rows without an id.  Equal repeated rows count once.
-
-    1. Up to ``pivots`` vectors, picked by hash, part queries and data into Voronoi cells.
-    2. Summaries of the cells (counts by distance to the pivot, radii), whose number is bounded by the number of
-       pivots, give each query group a score that its queries are sure to find.
-    3. A data row goes to a group only if the group's pivot and radius let it reach that score.
-    4. Blocks of a group's queries and of its data are solved by themselves; the best of all blocks stay.
+    non-finite components, take no part, nor do rows without an id.  Equal repeated rows count once.  No rows give
+    none; other columns, whatever their names, are not read; long vectors make blocks of fewer rows.
+
+    1. Up to ``pivots`` vectors, picked by hash, part the data into Voronoi cells; a cell's rows are cut into
+       blocks by their distance from the pivot.  Summaries of the blocks (radius, greatest norm) go to the driver.
+    2. The longest few rows of each cell give every query a score that k others are sure to reach.
+    3. A query goes to the blocks whose bound lets them reach that score: of the two sides the queries are the
+       smaller one, so they are replicated where needed, and each data row is sent once for about BLOCK
+       components of queries.
+    4. Blocks are solved by themselves; the best of all blocks stay.
     """
-    v = materialize(quantised(vectors, id_col, vector_col, scale))
-    picked = defaultdict(list)
-    for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect():
-        picked[len(r.v)].append(r.v)
-    centres = {dim: np.array(p, dtype=np.int64).reshape(len(p), dim) for dim, p in picked.items()}
-    celled = v.mapInArrow(_cells(centres), "vec_id long, v array<long>, dim int, cell int, dist double")
-    step = F.floor(F.log2(F.col("dist") + 1) * 16)
-    summary = celled.groupBy("dim", "cell", step.alias("step")).agg(F.count("*").alias("n"), F.max("dist").alias("most")).collect()
-    queries = celled.where(F.col("vec_id") % every == 0)
-    grouped = queries.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
-    repeated = queries.groupBy("dim", "vec_id").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
-    groups = _groups(centres, summary, grouped, k, {r["dim"]: r["n"] for r in repeated})
-    n_data: dict[int, int] = defaultdict(int)
-    for s in summary:
-        n_data[s["dim"]] += s["n"]
-    data_blocks = {dim: -(-n // DATA_BLOCK) for dim, n in n_data.items()}
-    query_blocks = {(g["dim"], g["cell"]): -(-g["n"] // QUERY_BLOCK) for g in grouped}
-
-    where = v.sparkSession.createDataFrame([(d, c, n, data_blocks[d]) for (d, c), n in query_blocks.items()], "d int, c int, q_blocks int, d_blocks int")
-    asked = queries.join(F.broadcast(where), (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")))
-    asked = asked.select("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("d_blocks") - 1)).alias("db"), "vec_id", "v")
-    sent = v.mapInArrow(_replicate(groups, data_blocks, query_blocks), "dim int, cell int, qb int, db int, vec_id long, v array<long>")
-    key = ["dim", "cell", "qb", "db"]
-    found = asked.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
+    data, asked = routed(vectors, k, every, id_col, vector_col, scale, pivots)
+    crowds = asked.groupBy(F.col("dim").alias("d"), F.col("block").alias("b")).agg(F.count("*").alias("n")).select("d", "b", F.ceil(F.col("n") / F.greatest(F.lit(ROWS), F.floor(F.lit(BLOCK) / F.greatest(F.col("d"), F.lit(1))))).cast("int").alias("crowd"))
+    crowds = materialize(crowds)
+    same = (F.col("dim") == F.col("d")) & (F.col("block") == F.col("b"))
+    questions = asked.join(crowds, same).select("dim", "block", F.pmod(F.xxhash64("vec_id"), F.col("crowd")).cast("int").alias("qb"), "vec_id", "v")
+    sent = data.join(crowds, same).select("dim", "block", F.explode(F.sequence(F.lit(0), F.col("crowd") - 1)).alias("qb"), "vec_id", "v")
+    key = ["dim", "block", "qb"]
+    found = questions.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # equal ids with different vectors may meet a query more than once
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

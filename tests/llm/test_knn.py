@@ -34,20 +34,23 @@ def test_against_brute_force(spark, monkeypatch):
     data += [(1000 + i, data[3][1]) for i in range(200)] + [(2000, data[3][1]), (2050, None), (2051, [float("nan")] * 8), (2052, [1.0, None] + [0.0] * 6), (2053, [float("inf")] * 8), (None, [0.0] * 8), (7, data[7][1])]
     data += [(3000, [1.0, 2.0]), (3001, [0.5, 0.5]), (3050, []), (3051, [])]
     assert rows(knn.top_k(frame(spark, data)), *COLS) == brute(data)
-    monkeypatch.setattr(knn, "DATA_BLOCK", 50)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(knn, "BLOCK", 8 * 40)
+    monkeypatch.setattr(knn, "ROWS", 3)
     assert rows(knn.top_k(frame(spark, data), pivots=4), *COLS) == brute(data)
 
 
-def test_bounds_leave_far_data_out(spark):
-    near = [(i, [10.0 + i % 7 / 100, 0.0]) for i in range(100)]
-    far = [(1001 + 50 * i, [0.0, 1.0 + i % 5 / 100]) for i in range(100)]
-    assert rows(knn.top_k(frame(spark, near + far), pivots=16), *COLS) == brute(near + far)
-    groups = knn._groups({2: np.array([[2560, 0], [0, 256]])}, [{"dim": 2, "cell": 0, "n": 100, "most": 20.0}, {"dim": 2, "cell": 1, "n": 100, "most": 20.0}], [{"dim": 2, "cell": 0, "n": 2, "radius": 20.0}], 5)
-    _, own, r, least = groups[2][0]
-    reach = lambda x: float(own @ np.array(x) + r * np.linalg.norm(x))
-    # a query of the group is within r of own, so near data may matter and far data can't
-    assert reach([0, 256]) < least <= (2560 - 20) * (2560 - 20) - 20 * 20 and reach([2540, 0]) >= least
+def test_clusters_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS", 20)
+    monkeypatch.setattr(knn, "BLOCK", 1)
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    data = [(i, [float(x + rng.gauss(0, 0.01)) for x in centres[i % 20]]) for i in range(2000)]
+    blocks, asked = knn.routed(frame(spark, data), pivots=40)
+    assert blocks.count() == 2000 and blocks.select("vec_id").distinct().count() == 2000
+    n_blocks, n_queries = blocks.select("block").distinct().count(), 40
+    # of all pairs of queries and blocks that a plain product has, under a quarter are sent
+    assert n_queries <= asked.count() < n_blocks * n_queries / 4
+    assert rows(knn.top_k(frame(spark, data), pivots=40), *COLS) == brute(data)
 
 
 def test_few_and_no_rows(spark):
