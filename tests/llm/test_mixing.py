@@ -67,3 +67,17 @@ def test_targets_and_taken(spark):
 def test_empty(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert rows(mixing.mix(documents(spark, [(1, None), (2, "")])), "doc_id", "taken", "target") == [(1, 0, 0.0), (2, 0, 0.0)]
+
+
+def test_small_sources_and_shards_meet_their_targets(spark):
+    rng = random.Random(6)
+    names = ["a"] * 2500 + ["b"] * 700 + [f"s{i}" for i in range(12) for _ in range(40)] + ["tiny", "tiny", "one"]
+    data = [(i, " ".join(["w"] * rng.randrange(1, 20)), s) for i, s in enumerate(names)] + [(None, f"null {i}", "b") for i in range(300)]
+    target, taken = {}, Counter()
+    for r in mixing.mix(documents(spark, data), shard_rows=50).withColumnRenamed("source_size", "s").collect():
+        target[r.target] = r.target
+        taken[r.target] += r.taken
+    assert len(target) >= 10
+    for t in target:  # sources of one target come together, so the bound is for all of them
+        many = round(taken[t] / t)
+        assert many >= 1 and abs(taken[t] - many * t) <= many * max(2, 0.01 * t), (t, taken[t])
