@@ -71,7 +71,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     into pre-tokens in parallel.  The first start of a pre-token that both chunks of a joint find is where
     they agree from then on, for matches look only ahead: the text is cut there.  Chunks that agree nowhere
     are taken together.  Each piece is then encoded by itself and the ids are joined in order.
-    A shorter text is one chunk.  Null is the empty text, which has no ids.  Repeated rows give equal rows.
+    A shorter text is one chunk.  Null is the empty text, which has no ids.  Repeated rows give equal rows; rows
+    without doc_id are told apart by their text.  No rows give none.  Other columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 

@@ -42,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives lost executors.
 
-    The table replaces the shuffles that made it, so their files go when it is written.
+    The table replaces the shuffles that made it, so their files go when it is written.  ``discard`` deletes it; those
+    that a returned DataFrame still reads stay until the folder's owner clears it.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
@@ -51,7 +52,22 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return _named(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _named(df: DataFrame, path: str | None) -> DataFrame:
+    df._scratch = path
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again, wherever the shared folder is."""
+    for df in tables:
+        path = df.__dict__.get("_scratch")
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def n_words(text: Column) -> Column:
@@ -148,26 +164,33 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Label each node of ``links`` (long columns a, b) with the smallest node it reaches: columns node, root.
 
     Alternates two star contractions until the edges stay the same.  Each is a grouped minimum (combined
-    before the shuffle) and a join, so no neighbourhood is ever gathered; edges go to a table each round.
+    before the shuffle) and a join, so no neighbourhood is ever gathered.  Both sides of each join are tables, so that
+    Spark's skew join can divide the edges of a node with very many; tables of past rounds are deleted.
     """
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        return materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")), least
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", F.col("m").alias("b"))).distinct()
+        least = materialize(down.groupBy("a").agg(F.min("b").alias("m")))
+        made = materialize(down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(least)
+        return made
 
     seen = F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")
-    edges = materialize(small(links.where("a != b").select("a", "b").distinct()))
+    given = materialize(links.where("a != b").select("a", "b").distinct())
+    edges = small(given)
+    discard(given)
     before = edges.agg(*seen).first()
     for _ in range(rounds):
-        edges = materialize(small(large(edges)))
+        middle, least = large(edges)
+        past, edges = edges, small(middle)
+        discard(past, middle, least)
         now = edges.agg(*seen).first()
         if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return _named(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), edges._scratch)
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")

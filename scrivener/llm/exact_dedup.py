@@ -15,7 +15,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts count as equal when identical after each run of white space becomes one blank; null is the empty
     text.  The smallest doc_id of a group stays; where one doc_id is repeated with equal texts, only one of
-    its rows does.  A null doc_id stays only if its whole group has none.  No rows give none.
+    its rows does.  A null doc_id stays only if its whole group has none.  No rows give none.  Other columns, whatever
+    their names, are not read; long texts are compared in whole.
 
     Groups form by digest, and the least and the greatest text of each, combined before the shuffle, show
     whether its bytes are all equal; so the texts are shuffled once, and a group of copies sends one text from

@@ -66,14 +66,17 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     others go.  Chunks group by a 128-bit hash, and the least and greatest text of a group, combined before
     the shuffle, show whether its bytes are equal; if some hash holds different texts, its chunks are grouped
     again by the text.  Null text stays null with no lines; the empty text is one line.  A null doc_id comes
-    last.  Repeated rows with equal doc_id and text are treated alike.  No rows give none.
+    last.  Repeated rows with equal doc_id and text are treated alike.  No rows give none.  Columns that are not in
+    ``carry``, whatever their names, are not read; long texts take part in whole.
     """
     df = chunked(docs, id_col, text_col, carry, digest)
     rows = df.select("doc", "part", F.explode(F.filter("chunks", lambda c: c["n"] >= 2)).alias("c")).select("doc", "part", "c.idx", "c.n", "c.text", "c.hash")
     gone = _later(rows)
     lists = gone.groupBy("doc", "part").agg(F.collect_set("idx").alias("gone"))
     out = df.join(lists, ["doc", "part"], "left")
-    stay = F.filter("chunks", lambda c: F.col("gone").isNull() | ~F.array_contains("gone", c["idx"]))
+    places = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    out = _once(out, "stay", F.transform(places, lambda i: F.get("chunks", i)))
+    stay = F.col("stay")
     left = F.aggregate(stay, F.lit(0).cast("long"), lambda a, c: a + c["n"])
     return out.select("doc_id", F.when(F.col("no_text"), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.when(F.col("no_text"), 0).otherwise(F.col("n_lines") - left).alias("n_removed"), F.when(~F.col("no_text"), F.array_join(F.transform(stay, lambda c: c["text"]), "\n")).alias("kept"), *[F.col(f"carried.{c}").alias(c) for c in carry])
 

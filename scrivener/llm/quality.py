@@ -125,18 +125,20 @@ def gumbel_key(weight: Column, id_col: Column, seed: int) -> Column:
     return F.floor((weight + noise) * float(1 << 20)).cast("long") + F.lit(1 << 62)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, buckets: int = BUCKETS, limit: int = LABELLED) -> tuple[DataFrame, Column, Column]:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, buckets: int = BUCKETS, limit: int = LABELLED, carry: bool = False) -> tuple[DataFrame, Column, Column]:
     """Scores of all documents, and the columns that repeat the choice on any table with doc_id and text.
 
     Scores: doc_id, weight (log p_target / p_raw of the whole text, scaled to SPAN n-grams), key (weight plus Gumbel noise), kept.
     The k documents with the highest keys stay, which samples k by importance without replacement; documents
     that tie with the last of them stay too.  k is the number of documents whose weight is over the cut that
     best parts good from bad in the held-out half of the labelled sample; without labels of both kinds all stay.  Texts without
-    words weigh 0.  Rows that share a doc_id share their noise, so equal rows are treated alike.
+    words weigh 0, as null and empty ones do.  Rows that share a doc_id share their noise, so equal rows are treated alike;
+    rows without one share theirs too.  No rows give none.  Other columns, whatever their names, are not read; with
+    ``carry`` the scores hold each row as a struct ``row``, so that a choice needs no second pass over the texts.
     """
     ratios = log_ratios(docs, labels, buckets, limit).astype(np.float32)
     score = log_weight(ratios)
-    scores = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text").cast("string")).alias("weight")))
+    scores = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text").cast("string")).alias("weight"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else [])))
     sample = F.broadcast(sampled_labels(labels, limit).where("held_out"))
     cut = best_cut(scores.join(sample, F.col("doc_id") == F.col("_id")).select("weight", "good"))
     keyed = scores.withColumn("key", gumbel_key(F.col("weight"), F.col("doc_id"), seed))

@@ -29,12 +29,14 @@ def shards(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", te
     ``shard`` depends on doc_id and the weights only; ``grown_shard`` is the shard with one more of weight
     ``new_weight``.  ``slot`` numbers a shard's rows from 0 without gaps, in order of a hash of doc_id: rows
     are numbered within parts of a shard, and each part starts where the one before it ends.  Null text has
-    no bytes; rows without doc_id share one key; repeated rows share a shard and have a slot each.
+    no bytes; rows without doc_id share one key and so a shard, within which their text's CRC spreads them; repeated rows
+    share a shard and have a slot each.  No rows give none.  Other columns, whatever their names, are not read; a long
+    text counts in whole.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    placed = base.withColumn("shard", rendezvous(key, weights)).withColumn("grown_shard", rendezvous(key, [*weights, new_weight])).withColumn("order", F.md5(key))
+    placed = base.withColumn("shard", rendezvous(key, weights)).withColumn("grown_shard", rendezvous(key, [*weights, new_weight])).withColumn("order", F.md5(F.concat(key, F.when(F.col("doc_id").isNull(), F.concat(F.lit(":"), F.col("text_crc32").cast("string"))).otherwise(""))))
     placed = placed.withColumn("part", F.conv(F.substring("order", 1, 3), 16, 10).cast("int") % PARTS)
     numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "part").orderBy("order", "doc_id", "text_crc32", "size")))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -92,7 +92,8 @@ def close_pairs(fps: DataFrame, radius: int = 2) -> DataFrame:
     """
     masks = covering_masks(radius)
     entries = fps.select("fp").distinct().select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("e")).select("fp", "e.t", "e.k")
-    shared = entries.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below may divide a bucket that very many values share
+    shared = materialize(entries.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"))
     held = entries.join(shared, ["t", "k"])
     small = held.where(F.col("n") <= BUCKET).select("fp", F.col("t").cast("int"), "k")
     finer = [[F.struct(F.lit(100 + 100 * t + s).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for s, m in enumerate(_finer(mask, radius))] for t, mask in enumerate(masks)]
@@ -112,11 +113,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose fingerprints differ in ``radius`` or fewer bits are linked.  Copies are one fingerprint in
     the search.  Null and wordless texts share fingerprint 0 and are linked like any other.  Repeated rows
     stay; a null doc_id takes part, but names no component unless all its members lack one.  No rows give none.
+    Other columns, whatever their names, are not read; long texts are hashed block by block, in whole.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(close_pairs(fps, radius))
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(named)  # so that a very large component may be divided, too
     labels = rooted.join(named, "root").select(F.col("fp").alias("fp_"), "component_id")
     return fps.join(labels, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import blocks, materialize, window_hashes, word_hashes
+from scrivener.llm.common import blocks, discard, materialize, window_hashes, word_hashes
 
 #: Words of the grams that pick which windows can repeat at all.
 GRAM = 10
@@ -134,7 +134,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if it is in a run of ``window`` words that also starts in a document with a smaller doc_id.
     Null text has no words; a null doc_id comes after all others; rows that share a doc_id don't count against
-    each other; repeated rows stay.  No rows give none.
+    each other; repeated rows stay.  No rows give none.  Other columns, whatever their names, are not read; long texts
+    are hashed and cut block by block, in whole.
 
     1. A text whose whole word sequence is in a smaller document goes entirely and takes no part below.
     2. A window can repeat only if its least gram is in two different texts; other windows are left out.
@@ -159,15 +160,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialize(grams.groupBy("gram").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").select("gram"))
     live = grams.select("doc", "part", "gram").join(shared, "gram").groupBy("doc", "part").agg(F.collect_set("gram").alias("grams"))
     live = materialize(live.join(whole, ["doc", "part"], "left_anti"))
+    discard(facts, shared)
 
     sides = text.select("doc_id", "doc", "part", "text")
     probes = materialize(sides.join(live, ["doc", "part"]).select("doc", "part", "text", "grams").mapInArrow(_probes(window, block), "hash long, doc long, part long, at int, own boolean"))
     met = materialize(probes.groupBy("hash").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("first"), F.max("doc").alias("last")).where("first < last").select("hash"))
+    discard(live)
     hits = materialize(probes.select("hash", "doc", "part", "at").join(met, "hash").groupBy("doc", "part").agg(F.collect_list("at").alias("hits")))
 
+    discard(probes, met)
     windows = materialize(sides.join(hits, ["doc", "part"]).select("doc", "part", "text", "hits").mapInArrow(_windows(window, block), "one long, two long, doc long, part long, at int"))
     first = materialize(windows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("one", "two", "first"))
     starts = materialize(windows.join(first, ["one", "two"]).where("first < doc").groupBy("doc", "part").agg(F.collect_list("at").alias("starts")))
+    discard(hits, windows, first)
 
     cuts = starts.select("doc", "part", F.lit(False).alias("whole"), "starts").unionByName(whole.select("doc", "part", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
     return sides.join(cuts, ["doc", "part"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")

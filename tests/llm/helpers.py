@@ -12,7 +12,7 @@ def clashing(df):
     """The same rows with extra columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    return df.select("*", *[F.lit(1).alias(x) for x in ("h", "fp", "norm", "digest", "k", "key", "shard", "part", "size", "order", "end", "n", "a", "b", "words", "hash", "pos")])
+    return df.select("*", *[F.lit(1).alias(x) for x in ("h", "fp", "norm", "digest", "k", "key", "shard", "part", "size", "order", "end", "n", "a", "b", "words", "hash", "pos", "kept", "n_lines", "n_removed", "_times", "_copy", "_doc_id", "row", "weight", "carried", "gone", "stay", "lines", "source_size", "taken", "block", "vec")])
 
 
 def rows(df, *cols):

@@ -68,3 +68,37 @@ def test_without_labels_or_rows(spark):
     assert quality.resample(documents(spark, data), none)[0].where(~F.col("kept")).count() == 0
     assert quality.resample(documents(spark, []), none)[0].count() == 0
     assert quality.resample(documents(spark, data), none.union(spark.createDataFrame([(1, 1)], "doc_id long, quality int")))[0].where("kept").count() == 20
+
+
+def test_weights_keys_and_choice_against_brute_force(spark):
+    import hashlib
+    import math
+
+    data, labels = corpus(150)
+    data += [(500, None), (501, ""), (502, "c1 j1!! c2"), (3, data[3][1])]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    docs, b = clashing(documents(spark, data)), 128
+    found = quality.resample(docs, lab, seed=7, buckets=b, carry=True)[0].collect()
+    ratios = quality.log_ratios(docs, lab, b).astype(np.float32)  # counted by hand in a test above
+
+    def weigh(text):
+        n = quality.ngrams((text or "").encode(), b)
+        return float(ratios[n].sum(dtype=np.float64)) * quality.SPAN / max(quality.SPAN, len(n))
+
+    def noisy(i, w):
+        u = (int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return math.floor((w - math.log(-math.log(u))) * (1 << 20)) + (1 << 62)
+
+    sample = {r._id: r.good for r in quality.sampled_labels(lab).collect() if r.held_out}
+    weights = [(i, weigh(t)) for i, t in data]
+    good, bad = [w for i, w in weights if sample.get(i)], [w for i, w in weights if sample.get(i) is False]
+    edges = sorted({*good, *bad})
+    cuts = [edges[0] - 1, *[(x + y) / 2 for x, y in zip(edges, edges[1:])], edges[-1] + 1]
+    right = lambda c: sum(w > c for w in good) / len(good) + sum(w < c for w in bad) / len(bad)
+    cut = next(c for c in cuts if right(c) >= max(map(right, cuts)) - 1e-12)
+    keys = sorted((noisy(i, w) for i, w in weights), reverse=True)
+    least = keys[sum(w > cut for _, w in weights) - 1]
+    want = sorted((i, round(w, 6), noisy(i, w), noisy(i, w) >= least) for i, w in weights)
+    got = sorted((r.doc_id, round(r.weight, 6), r.key, r.kept) for r in found)
+    assert [(a[0], a[1], a[3]) for a in got] == [(a[0], a[1], a[3]) for a in want] and all(abs(a[2] - c[2]) <= 1 for a, c in zip(got, want))
+    assert sorted((r.row.doc_id, r.row.text or "") for r in found) == sorted((i, t or "") for i, t in data) and found[0].row.kept == 1

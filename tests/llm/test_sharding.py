@@ -32,3 +32,21 @@ def test_weights(spark):
     narrow = {r.doc_id: r.shard for r in shards(df, [3.0, 1.0]).collect()}
     assert all(wide[i] in (narrow[i], 2) for i in wide)
     assert shards(documents(spark, []), [1.0]).count() == 0
+
+
+def test_the_least_score_wins(spark):
+    import hashlib
+    import math
+
+    weights = [1.0, 2.5, 0.5, 1.0]
+    score = lambda key, i, w: -math.log((int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w
+    ids = [*range(-5, 400), None]
+    for r in shards(documents(spark, [(i, f"text {i}") for i in ids]), weights, new_weight=0.7).collect():
+        key = "null" if r.doc_id is None else r.doc_id
+        own = [(score(key, i, w), i) for i, w in enumerate([*weights, 0.7])]
+        assert r.shard == min(own[:4])[1] and r.grown_shard == min(own)[1]
+
+
+def test_many_rows_without_an_id(spark):
+    out = shards(documents(spark, [(None, f"text {i % 40}") for i in range(300)]), [1.0] * 3).collect()
+    assert len({r.shard for r in out}) == 1 and sorted(r.slot for r in out) == list(range(300))
