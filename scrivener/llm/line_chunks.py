@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import materialize
+from scrivener.llm.common import discard, materialize
 
 #: A chunk ends after one line in so many; the rolling hash covers a line and the one before it.
 DIVISOR, FACTOR = 4, 31
@@ -45,35 +45,44 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] =
     return df.select("doc_id", "doc", "part", "no_text", "carried", F.size("lines").cast("long").alias("n_lines"), F.transform("plain", lambda c: F.struct(c["idx"].alias("idx"), c["n"].alias("n"), c["text"].alias("text"), F.unhex(digest(c["text"])).alias("hash"))).alias("chunks"))
 
 
-def _later(rows: DataFrame) -> DataFrame:
-    """(doc, part, idx) of the rows (doc, part, idx, text, hash) whose text an earlier place has."""
-    place = F.struct("doc", "part", "idx")
-    found = materialize(rows.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("keep"), F.min("text").alias("low"), F.max("text").alias("high")).where("times > 1").select("hash", "keep", (F.col("low") != F.col("high")).alias("mixed")))
-    pure = found.where("not mixed").select("hash", "keep")
-    gone = rows.select("doc", "part", "idx", "hash").join(pure, "hash").where(place != F.col("keep")).select("doc", "part", "idx")
-    mixed = found.where("mixed").select("hash")
-    if not mixed.isEmpty():
-        told = rows.join(mixed, "hash")
-        keep = told.groupBy("text").agg(F.min(place).alias("keep"))
-        gone = gone.union(told.join(keep, "text").where(place != F.col("keep")).select("doc", "part", "idx"))
-    return gone
+def _with_later(df: DataFrame, rows: DataFrame, text_at: Callable[[Column], Column], digest: Callable[[Column], Column]) -> DataFrame:
+    """Add ``gone`` to the documents: an array of idx of their rows (doc, part, idx, text, hash) whose text an earlier place has.
+
+    Only hashes and places are shuffled for all rows.  Then the texts of those that share a hash are compared, by the
+    least and greatest of each hash, combined before the shuffle; a hash of different texts is grouped again by text.
+    ``text_at`` gives a row's text from a document's columns.
+    """
+    place, slim = F.struct("doc", "part", "idx"), rows.select("doc", "part", "idx", "hash")
+    found = materialize(slim.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("keep")).where("times > 1").select("hash", "keep"))
+    met = materialize(slim.join(found, "hash").select("doc", "part", "idx", "hash", (place != F.col("keep")).alias("later")))
+    lists = met.groupBy("doc", "part").agg(F.collect_set(F.when(F.col("later"), F.col("idx"))).alias("gone"), F.collect_set("idx").alias("met"))
+    # one plan at every size: a broadcast of short lists would only hold for small corpora
+    out = materialize(df.join(lists.hint("merge"), ["doc", "part"], "left"))
+    told = out.select(F.explode(F.transform("met", text_at)).alias("text")).select(F.unhex(digest(F.col("text"))).alias("hash"), "text")
+    mixed = materialize(told.groupBy("hash").agg((F.min("text") != F.max("text")).alias("mixed")).where("mixed").select("hash"))
+    discard(found)
+    if mixed.isEmpty():
+        discard(met)
+        return out.drop("met")
+    again = rows.join(mixed, "hash")
+    keep = again.groupBy("text").agg(F.min(place).alias("keep"))
+    later = again.join(keep, "text").where(place != F.col("keep")).select("doc", "part", "idx")
+    gone = met.where("later").join(mixed, "hash", "left_anti").select("doc", "part", "idx").union(later)
+    return df.join(gone.groupBy("doc", "part").agg(F.collect_set("idx").alias("gone")), ["doc", "part"], "left")
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept (the lines that stay), and the columns ``carry``.
 
     Of equal chunks of two or more lines, in whichever documents, the first by doc_id and place stays and the
-    others go.  Chunks group by a 128-bit hash, and the least and greatest text of a group, combined before
-    the shuffle, show whether its bytes are equal; if some hash holds different texts, its chunks are grouped
-    again by the text.  Null text stays null with no lines; the empty text is one line.  A null doc_id comes
+    others go.  Chunks group by a 128-bit hash, and the texts of those that share one are compared byte by byte; if
+    some hash holds different texts, its chunks are grouped again by the text.  Null text stays null with no lines; the empty text is one line.  A null doc_id comes
     last.  Repeated rows with equal doc_id and text are treated alike.  No rows give none.  Columns that are not in
     ``carry``, whatever their names, are not read; long texts take part in whole.
     """
     df = chunked(docs, id_col, text_col, carry, digest)
     rows = df.select("doc", "part", F.explode(F.filter("chunks", lambda c: c["n"] >= 2)).alias("c")).select("doc", "part", "c.idx", "c.n", "c.text", "c.hash")
-    gone = _later(rows)
-    lists = gone.groupBy("doc", "part").agg(F.collect_set("idx").alias("gone"))
-    out = df.join(lists, ["doc", "part"], "left")
+    out = _with_later(df, rows, lambda i: F.get("chunks", i)["text"], digest)
     places = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     out = _once(out, "stay", F.transform(places, lambda i: F.get("chunks", i)))
     stay = F.col("stay")
@@ -94,9 +103,9 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = F.size("lines")
     pairs = F.zip_with(F.slice("lines", F.lit(1), n - 1), F.slice("lines", F.lit(2), n - 1), lambda a, b: F.concat_ws("\n", a, b))
     rows = df.where(n > 1).select("doc", "part", F.posexplode(pairs).alias("idx", "text")).select("*", F.unhex(digest(F.col("text"))).alias("hash"))
-    lists = _later(rows).groupBy("doc", "part").agg(F.collect_set("idx").alias("heads")).select("doc", "part", F.array_union("heads", F.transform("heads", lambda i: i + 1)).alias("gone"))
-    out = df.join(lists, ["doc", "part"], "left")
-    out = _once(out, "stay", F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>"))))
+    out = _with_later(df, rows, lambda i: F.concat_ws("\n", F.get("lines", i), F.get("lines", i + 1)), digest)
+    both = F.array_union("gone", F.transform("gone", lambda i: i + 1))
+    out = _once(out, "stay", F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce(both, F.array().cast("array<int>"))))
     kept = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
     n_lines, n_removed = n.cast("long"), (n - F.size("stay")).cast("long")
     return out.select("doc_id", F.when(F.col("no_text"), 0).otherwise(n_lines).alias("n_lines"), F.when(F.col("no_text"), 0).otherwise(n_removed).alias("n_removed"), F.when(~F.col("no_text"), kept).alias("kept"), *[F.col(f"carried.{c}").alias(c) for c in carry])
