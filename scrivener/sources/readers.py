@@ -162,6 +162,17 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", required: list[str]
     return require_columns(df, required or []).na.fill("")
 
 
+def read_unquoted_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """All columns as text; quotes are characters like others; lines with too many fields go, missing fields are empty.
+
+    Blank lines go, and so does each line that is the header again.
+    """
+    names = spark.read.csv(path, header=True, sep=sep, quote="").columns
+    line = F.ltrim(F.col("value"), F.lit("\ufeff"))
+    fields = spark.read.text(path).where((F.trim("value") != "") & (line != sep.join(names).lstrip("\ufeff"))).select(F.split("value", f"\\Q{sep}\\E", -1).alias("f"))
+    return fields.where(F.size("f") <= len(names)).select(*[F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(c.lstrip("\ufeff")) for i, c in enumerate(names)])
+
+
 def read_title_map(spark: SparkSession, path: str) -> DataFrame:
     """(seq, section_id, title), stripped, without rows that lack either."""
     rows = read_csv(spark, path, required=["section_id", "title"])
