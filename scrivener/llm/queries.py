@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import bpe, exact_dedup, knn, line_chunks, mixing, quality, quotes, sharding, simhash, substring
+from scrivener.llm import bpe, exact_dedup, fim, knn, line_chunks, minhash, mixing, quality, quotes, sharding, simhash, substring
 from scrivener.llm.common import table
 
 #: Where the rank file of the BPE query is; the driver of a cluster may put another path here.
@@ -65,6 +65,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
@@ -77,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_minhash": op11_minhash,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -85,6 +96,7 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": line_chunks.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
     "op5_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from d group by norm)
