@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import bpe, exact_dedup, fim, knn, line_chunks, minhash, mixing, quality, quotes, sharding, simhash, substring
+from scrivener.llm import bpe, exact_dedup, fim, knn, line_chunks, minhash, mixing, quality, quotes, sharding, simhash, substring, trie
 from scrivener.llm.common import table
 
 #: Where the rank file of the BPE query is; the driver of a cluster may put another path here.
@@ -74,6 +74,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = trie.shared_starts(trie.turns_of(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, convs).drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_minhash": op11_minhash,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,6 +103,7 @@ ORACLES: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
     "op12_fill_in_middle": fim.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
     "op5_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from d group by norm)
