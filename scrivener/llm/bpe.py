@@ -29,6 +29,20 @@ def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return _LOADED[ranks_path, pattern]
 
 
+def token_ids(enc: tiktoken.Encoding, match: regex.Pattern, text: str, most: int) -> np.ndarray:
+    """The ids of a text.  The library's own matcher overruns its stack on a pre-token of about a million characters, so in a
+    text of over ``most`` characters ``match`` finds the pre-tokens, and each is merged by itself."""
+    if len(text) <= most:
+        return np.array(enc.encode_ordinary(text), "<u4")
+    parts, held = [], []
+    for m in match.finditer(text):
+        held += enc._encode_single_piece(m.group().encode())
+        if len(held) > 1 << 16:
+            parts.append(np.array(held, "<u4"))
+            held = []
+    return np.concatenate([*parts, np.array(held, "<u4")])
+
+
 def _pieces(docs: DataFrame, step: int, overlap: int) -> DataFrame:
     """(doc_id, digest, copies, k, start, piece) of the chunks of long texts, with ``overlap`` characters more."""
 
@@ -57,7 +71,8 @@ def _edges(pattern: str, step: int, overlap: int):
                 starts = [m.end() for m in match.finditer(text)]
                 # a match that ends before the chunk does has seen what follows it, so its end is certain
                 head.append([0, *(x for x in starts if x < overlap)] if k.as_py() else [])
-                tail.append([x - step for x in starts if step <= x < len(text)] if k.as_py() + 1 < n.as_py() else [])
+                # a run of blanks ends one earlier before a word, so none may end where the text is cut
+                tail.append([x - step for x in starts if step <= x < len(text) and not text[x - 1].isspace()] if k.as_py() + 1 < n.as_py() else [])
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), b.column("k"), pa.array(head, kind), pa.array(tail, kind)], names=["doc_id", "digest", "k", "head", "tail"])
 
@@ -69,8 +84,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     A text of over ``step`` characters is cut into chunks that share ``overlap`` characters, which are split
     into pre-tokens in parallel.  The first start of a pre-token that both chunks of a joint find is where
-    they agree from then on, for matches look only ahead: the text is cut there.  Chunks that agree nowhere
-    are taken together.  Each piece is then encoded by itself and the ids are joined in order.
+    they agree from then on, for matches look only ahead: the text is cut there, unless after a blank.  Chunks that agree nowhere
+    are taken together: a run of any length that is one pre-token is one piece.  Each piece is then encoded by itself and the ids
+    are joined in order.
     A shorter text is one chunk.  Null is the empty text, which has no ids.  Repeated rows give equal rows; rows
     without doc_id are told apart by their text.  No rows give none.  Other columns, whatever their names, are not read.
     """
@@ -78,11 +94,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def to_ids(keys: list[str], text: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            enc = encoding(ranks_path, pattern)
+            enc, match = encoding(ranks_path, pattern), regex.compile(pattern)
             for b in batches:
                 at, size, ids = 0, 0, []
                 for i, x in enumerate(b.column(text)):
-                    ids.append(np.array(enc.encode_ordinary(x.as_py()), "<u4").tobytes())
+                    ids.append(token_ids(enc, match, x.as_py(), step + overlap).tobytes())
                     size += len(ids[-1])
                     if size > _BATCH or i + 1 == b.num_rows:
                         yield pa.RecordBatch.from_arrays([*[b.column(k).slice(at, len(ids)) for k in keys], pa.array(ids, pa.binary())], names=[*keys, "ids"])
@@ -109,9 +125,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     merged = parts.where("size > 1").groupBy(*key, "run").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"), F.max("copies").alias("copies"))
     whole = parts.where("size = 1").select(*key, "run", "copies", "part").union(merged.select(*key, "run", "copies", F.concat_ws("", F.col("parts.part")).alias("part")))
     done = whole.mapInArrow(to_ids([*key, "run", "copies"], "part"), "doc_id long, digest binary, run long, copies long, ids binary")
-    joined = done.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("run", "ids"))).alias("all"), F.max("copies").alias("copies"))
-    hexed = F.array_join(F.transform("all", lambda x: F.hex(x["ids"])), "")
-    long = joined.select("doc_id", F.unhex(hexed).alias("ids"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("doc_id", "ids")
+    joined = done.groupBy(*key).agg(F.expr("listagg(ids, x'') within group (order by run)").alias("ids"), F.max("copies").alias("copies"))
+    long = joined.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("doc_id", "ids")
     return short.union(long)
 
 

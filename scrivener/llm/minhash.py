@@ -219,3 +219,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     out = found.join(named, F.col("root") == F.col("root_"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as g from d),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * p.c >= 80 * (x.n + y.n - p.c)),
+r as (select doc_id, doc_id as root from d union select r.doc_id, l.b from r join l on l.a = r.root),
+o as (select doc_id, min(root) as component_id from r group by doc_id)
+select o.doc_id, coalesce(n.n, 0) as n_shingles, o.component_id, o.doc_id = o.component_id as kept from o left join n on n.doc_id = o.doc_id"""

@@ -102,6 +102,7 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": line_chunks.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
+    "op11_minhash": minhash.ORACLE,
     "op12_fill_in_middle": fim.ORACLE,
     "op13_prefix_trie": trie.ORACLE,
     "op5_exact_dedup": r"""

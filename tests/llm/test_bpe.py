@@ -36,3 +36,22 @@ def test_equals_the_library_and_round_trips(spark, step, overlap):
 
 def test_no_rows(spark):
     assert bpe.encode(documents(spark, []), RANKS, P).count() == 0
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "!", "́", "é"])
+def test_very_long_runs(spark, unit):
+    """One pre-token of two million characters: no matcher's stack and no quadratic merging."""
+    run = unit * 2_000_000
+    data = [(1, "word " + run + "x"), (2, run), (3, "short" + unit * 20_000 + " text")]
+    coded = bpe.decode(bpe.encode(documents(spark, data), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in coded} == dict(data)
+    want = bpe.encoding(RANKS, public_tokenizers.PATTERN).encode_ordinary(data[2][1])
+    assert np.frombuffer(next(r.ids for r in coded if r.doc_id == 3), "<u4").tolist() == want
+
+
+@pytest.mark.parametrize("blank", ["\n\n", "\t\t", " \n", "\n \n\n", "  ", "　　"])
+def test_joints_after_blanks(spark, blank):
+    """A blank run's last character is a pre-token of its own if a word follows, also where the word begins a chunk."""
+    data = [(k, "a" * k + blank + "xyz and more words to the end of it " * 6) for k in range(40, 60)]
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode(documents(spark, data), RANKS, P, step=50, overlap=20).collect()}
+    assert got == dict(expect(data))
