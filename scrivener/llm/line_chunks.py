@@ -1,4 +1,4 @@
-"""Repeated runs of lines, cut where the content says."""
+"""Repeated runs of lines: content-defined chunks whose boundaries a rolling hash over line hashes sets."""
 
 from __future__ import annotations
 
@@ -9,101 +9,79 @@ from pyspark.sql import functions as F
 
 from scrivener.llm.common import discard, materialize
 
-#: A chunk ends after one line in so many; the rolling hash covers a line and the one before it.
-DIVISOR, FACTOR = 4, 31
 _LAST = (1 << 63) - 1
 
 
-def _number(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
-
-
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that later projections can't repeat inside their lambdas."""
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = (), digest: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """(doc_id, doc, part, no_text, carried, n_lines, chunks) of each row; a chunk is a struct of idx, n (its
-    lines), text and hash.
-
-    A chunk ends after line i if (h(i) + FACTOR * h(i - 1)) % DIVISOR = 0, where h is a number from the line's
-    MD5, and after the last line.  Lines put in or taken out elsewhere leave such boundaries where they are.
-    """
+def _lines(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """(doc_id, carried, doc, part, no_text, lines): (doc, part) is a row's place, null ids last, equal rows at one place."""
+    text = F.coalesce("text", F.lit(""))
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    df = df.select("doc_id", "carried", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.md5(F.coalesce("text", F.lit(""))).alias("part"), F.col("text").isNull().alias("no_text"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("all_lines"))
-    df = _once(df, "lines", F.col("all_lines")).drop("all_lines")
-    df = _once(df, "hashes", F.transform("lines", _number))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("hashes", F.lit(1), F.size("hashes") - 1))
-    df = _once(df, "pairs", F.arrays_zip(F.col("hashes").alias("h"), before.alias("b")))
-    ends = F.array_union(F.filter(F.transform("pairs", lambda p, i: F.when((p["h"] + FACTOR * p["b"]) % DIVISOR == 0, i)), lambda x: x.isNotNull()), F.array(F.size("lines") - 1))
-    df = _once(df, "ends", ends)
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), lambda x: x + 1))
-    df = _once(df, "spans", F.arrays_zip(starts.alias("s"), F.col("ends").alias("e")))
-    made = F.transform("spans", lambda z, i: F.struct(i.alias("idx"), (z["e"] - z["s"] + 1).alias("n"), F.array_join(F.slice(F.col("lines"), z["s"] + 1, z["e"] - z["s"] + 1), "\n").alias("text")))
-    df = _once(df, "plain", made)
-    return df.select("doc_id", "doc", "part", "no_text", "carried", F.size("lines").cast("long").alias("n_lines"), F.transform("plain", lambda c: F.struct(c["idx"].alias("idx"), c["n"].alias("n"), c["text"].alias("text"), F.unhex(digest(c["text"])).alias("hash"))).alias("chunks"))
-
-
-def _with_later(df: DataFrame, rows: DataFrame, text_at: Callable[[Column], Column], digest: Callable[[Column], Column]) -> DataFrame:
-    """Add ``gone`` to the documents: an array of idx of their rows (doc, part, idx, text, hash) whose text an earlier place has.
-
-    Only hashes and places are shuffled for all rows.  Then the texts of those that share a hash are compared, by the
-    least and greatest of each hash, combined before the shuffle; a hash of different texts is grouped again by text.
-    ``text_at`` gives a row's text from a document's columns.
+    part = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return df.select("doc_id", "carried", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), part.alias("part"), F.col("text").isNull().alias("no_text"), F.split(text, "\n", -1).alias("lines"))
+
+
+def _both(i: Column) -> Column:
+    return F.concat_ws("\n", F.get("lines", i), F.get("lines", i + 1))
+
+
+def rolling(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """(doc, part, idx, hash) for each line but the last: a hash of its own hash and the next line's."""
+    df = _once(df, "own", F.transform("lines", lambda x: digest(x))).select("doc", "part", "own")
+    n = F.size("own")
+    pairs = F.zip_with(F.slice("own", F.lit(1), n - 1), F.slice("own", F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
+    return df.where(n > 1).select("doc", "part", F.posexplode(pairs).alias("idx", "hash"))
+
+
+def _seen_before(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """(doc, part, gone): the places idx of a row where an earlier place of the corpus has both lines idx and idx + 1.
+
+    Hashes and places are shuffled, no texts.  Then the lines at places that share a hash are compared: the least and
+    greatest of each hash, combined before the shuffle, show whether all are equal, and a hash of different lines is
+    grouped again by the lines themselves.
     """
-    place, slim = F.struct("doc", "part", "idx"), rows.select("doc", "part", "idx", "hash")
-    found = materialize(slim.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("keep")).where("times > 1").select("hash", "keep"))
-    met = materialize(slim.join(found, "hash").select("doc", "part", "idx", "hash", (place != F.col("keep")).alias("later")))
-    lists = met.groupBy("doc", "part").agg(F.collect_set(F.when(F.col("later"), F.col("idx"))).alias("gone"), F.collect_set("idx").alias("met"))
-    # one plan at every size: a broadcast of short lists would only hold for small corpora
-    out = materialize(df.join(lists.hint("merge"), ["doc", "part"], "left"))
-    told = out.select(F.explode(F.transform("met", text_at)).alias("text")).select(F.unhex(digest(F.col("text"))).alias("hash"), "text")
-    mixed = materialize(told.groupBy("hash").agg((F.min("text") != F.max("text")).alias("mixed")).where("mixed").select("hash"))
+    place, rows = F.struct("doc", "part", "idx"), rolling(df, digest)
+    found = materialize(rows.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("keep")).where("times > 1").select("hash", "keep"))
+    met = materialize(rows.join(found, "hash").select("doc", "part", "idx", "hash", (place != F.col("keep")).alias("later")))
+    lists = materialize(met.groupBy("doc", "part").agg(F.collect_set(F.when(F.col("later"), F.col("idx"))).alias("gone"), F.collect_set("idx").alias("met")))
     discard(found)
+    told = df.select("doc", "part", "lines").join(lists.select("doc", "part", "met"), ["doc", "part"]).select("lines", F.explode("met").alias("i")).select(F.get("lines", F.col("i")).alias("a"), F.get("lines", F.col("i") + 1).alias("b"))
+    told = told.select(F.xxhash64(digest(F.col("a")), digest(F.col("b"))).alias("hash"), F.concat_ws("\n", "a", "b").alias("both"))
+    mixed = materialize(told.groupBy("hash").agg((F.min("both") != F.max("both")).alias("mixed")).where("mixed").select("hash"))
     if mixed.isEmpty():
-        discard(met)
-        return out.drop("met")
-    again = rows.join(mixed, "hash")
-    keep = again.groupBy("text").agg(F.min(place).alias("keep"))
-    later = again.join(keep, "text").where(place != F.col("keep")).select("doc", "part", "idx")
-    gone = met.where("later").join(mixed, "hash", "left_anti").select("doc", "part", "idx").union(later)
-    return df.join(gone.groupBy("doc", "part").agg(F.collect_set("idx").alias("gone")), ["doc", "part"], "left")
-
-
-def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+        discard(met, mixed)
+        return lists.select("doc", "part", "gone")
+    unsure = materialize(met.join(mixed, "hash").select("doc", "part", "idx"))
+    again = materialize(df.select("doc", "part", "lines").join(unsure, ["doc", "part"]).select("doc", "part", "idx", _both(F.col("idx")).alias("both")))
+    first = again.groupBy("both").agg(F.min(place).alias("keep"))
+    later = again.join(first, "both").where(place != F.col("keep")).select("doc", "part", "idx")
+    sure = met.where("later").join(mixed, "hash", "left_anti").select("doc", "part", "idx")
+    out = materialize(sure.union(later).groupBy("doc", "part").agg(F.collect_set("idx").alias("gone")))
+    discard(met, mixed, unsure, again, lists)
+    return out
+
+
+def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept (the lines that stay), and the columns ``carry``.
 
-    Of equal chunks of two or more lines, in whichever documents, the first by doc_id and place stays and the
-    others go.  Chunks group by a 128-bit hash, and the texts of those that share one are compared byte by byte; if
-    some hash holds different texts, its chunks are grouped again by the text.  Null text stays null with no lines; the empty text is one line.  A null doc_id comes
-    last.  Repeated rows with equal doc_id and text are treated alike.  No rows give none.  Columns that are not in
-    ``carry``, whatever their names, are not read; long texts take part in whole.
-    """
-    df = chunked(docs, id_col, text_col, carry, digest)
-    rows = df.select("doc", "part", F.explode(F.filter("chunks", lambda c: c["n"] >= 2)).alias("c")).select("doc", "part", "c.idx", "c.n", "c.text", "c.hash")
-    out = _with_later(df, rows, lambda i: F.get("chunks", i)["text"], digest)
-    places = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    out = _once(out, "stay", F.transform(places, lambda i: F.get("chunks", i)))
-    stay = F.col("stay")
-    left = F.aggregate(stay, F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    return out.select("doc_id", F.when(F.col("no_text"), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.when(F.col("no_text"), 0).otherwise(F.col("n_lines") - left).alias("n_removed"), F.when(~F.col("no_text"), F.array_join(F.transform(stay, lambda c: c["text"]), "\n")).alias("kept"), *[F.col(f"carried.{c}").alias(c) for c in carry])
-
-
-def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), digest: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """Like ``remove_repeated_chunks``, but of every run of two or more lines that an earlier place has, all lines go.
-
-    A run is repeated where each two neighbouring lines of it are, so pairs of lines are compared, by hash and then
-    bytes, and no boundary decides what is found.  Places may overlap: of one line many times over, one stays.
-    The first place of each line stays always.  Of equal rows with one doc_id all are treated alike.
+    A hash rolls over the hashes of each two neighbouring lines.  A boundary lies between two lines whose rolling hash
+    no earlier place of the corpus has; what lies between boundaries is a chunk, and chunks of two or more lines go.
+    So chunks depend on the lines alone and not on where they stand, and each is a maximal run that came before; every
+    run of two or more lines that an earlier place has is inside one.  Lines are compared byte by byte before
+    any goes.  The first place of a run, by doc_id and line, stays; of one line many times over, one stays.
+
+    Null text stays null with no lines; the empty text is one line.  A null doc_id comes last.  Repeated rows with equal
+    doc_id and text are treated alike.  No rows give none.  Columns that are not in ``carry``, whatever their names, are
+    not read; long texts take part in whole.
     """
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    df = df.select("doc_id", "carried", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.md5(F.coalesce("text", F.lit(""))).alias("part"), F.col("text").isNull().alias("no_text"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("all_lines"))
-    df = _once(df, "lines", F.col("all_lines")).drop("all_lines")
+    df = _lines(docs, id_col, text_col, carry)
+    # one plan at every size: a broadcast of short lists would only hold for small corpora
+    out = df.join(_seen_before(df, digest).hint("merge"), ["doc", "part"], "left")
     n = F.size("lines")
-    pairs = F.zip_with(F.slice("lines", F.lit(1), n - 1), F.slice("lines", F.lit(2), n - 1), lambda a, b: F.concat_ws("\n", a, b))
-    rows = df.where(n > 1).select("doc", "part", F.posexplode(pairs).alias("idx", "text")).select("*", F.unhex(digest(F.col("text"))).alias("hash"))
-    out = _with_later(df, rows, lambda i: F.concat_ws("\n", F.get("lines", i), F.get("lines", i + 1)), digest)
     both = F.array_union("gone", F.transform("gone", lambda i: i + 1))
     out = _once(out, "stay", F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce(both, F.array().cast("array<int>"))))
     kept = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
@@ -111,13 +89,11 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", F.when(F.col("no_text"), 0).otherwise(n_lines).alias("n_lines"), F.when(F.col("no_text"), 0).otherwise(n_removed).alias("n_removed"), F.when(~F.col("no_text"), kept).alias("kept"), *[F.col(f"carried.{c}").alias(c) for c in carry])
 
 
-ORACLE = rf"""
+#: Repeated runs by the lines themselves: no hash and no boundary.
+ORACLE = r"""
 with l as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
-h as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h from l),
-e as (select *, (h + {FACTOR} * coalesce(lag(h) over (partition by doc_id order by i), 0)) % {DIVISOR} = 0 as ends from h),
-c as (select *, coalesce(sum(case when ends then 1 else 0 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as idx from e),
-k as (select doc_id, idx, count(*) as n, string_agg(line, chr(10) order by i) as chunk from c group by doc_id, idx),
-r as (select *, row_number() over (partition by chunk order by doc_id, idx) as nth from k),
-o as (select doc_id, sum(n) as n_lines, sum(case when n >= 2 and nth > 1 then n else 0 end) as n_removed,
-  coalesce(string_agg(chunk, chr(10) order by idx) filter (where not (n >= 2 and nth > 1)), '') as kept from r group by doc_id)
-select doc_id, cast(n_lines as bigint) as n_lines, cast(n_removed as bigint) as n_removed, sha256(kept) as kept_sha256 from o"""
+p as (select *, lead(line) over (partition by doc_id order by i) as next from l),
+g as (select doc_id, i, next is not null and row_number() over (partition by line, next order by doc_id, i) > 1 as later from p),
+s as (select p.doc_id, p.text, p.line, p.i, g.later or coalesce(lag(g.later) over (partition by p.doc_id order by p.i), false) as gone from p join g on g.doc_id = p.doc_id and g.i = p.i)
+select doc_id, case when any_value(text) is null then 0 else count(*) end as n_lines, count(*) filter (where gone) as n_removed, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from s group by doc_id"""

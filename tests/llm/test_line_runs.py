@@ -65,3 +65,17 @@ def test_short_passages_and_runs_of_one_line_go_in_the_stage(spark):
     wanted[len(data) - 1] = ["head", "same", "foot"]
     got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_stage(spark, documents(spark, data), "").collect()}
     assert got == wanted
+
+
+def test_chunks_resist_shifts(spark):
+    """Lines put in before and between make no difference to what is found of the rest."""
+    lines = [f"line {i}" for i in range(200)]
+    moved = ["put in front", *lines[:90], "put between", *lines[90:]]
+    got = {r.doc_id: r.kept for r in lc.remove_repeated_runs(documents(spark, [(1, "\n".join(lines)), (2, "\n".join(moved))])).collect()}
+    assert got == {1: "\n".join(lines), 2: "put in front\nput between"}
+
+
+def test_recall_on_the_given_documents(spark):
+    """Every run of up to six lines that an earlier place has, looked for one by one, is gone, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert rows(lc.remove_repeated_runs(docs), *COLS) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
