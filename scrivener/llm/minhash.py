@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.llm.common import connected_components, discard, materialize, mix, small_batches
@@ -22,7 +22,7 @@ WORDS = BITS // 64
 #: How many standard deviations of its estimate a pair may lie under the similarity before it is left out.
 DEVIATIONS = 4.5
 #: Buckets over this size are first compared with a few of their members, so that a group of copies is one soon.
-BUCKET, STARS = 8, 3
+BUCKET, STARS = 8, 2
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _NO_GRAMS = np.empty(0, np.uint64)
 
@@ -120,7 +120,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
             yield pa.RecordBatch.from_arrays([pa.array([_node(g) for g in grams], pa.binary()), _lists(grams)], names=["node", "grams"])
 
     here = wanted.select(F.col("doc_id").alias("id_"), F.col("part").alias("part_"))
-    texts = _keyed(docs, id_col, text_col).join(here, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("part") == F.col("part_")), "left_semi").select("text")
+    # one plan at every size: a broadcast of short lists would only hold for small corpora
+    texts = _keyed(docs, id_col, text_col).join(here.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("part") == F.col("part_")), "left_semi").select("text")
     return texts.mapInArrow(run, "node binary, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams"))
 
 
@@ -130,14 +131,50 @@ def _fits(percent: int, first: str, second: str) -> Column:
     return F.expr(f"100 * least(n{first}, n{second}) >= {percent} * greatest(n{first}, n{second}) and {differing} <= {most_differing(percent)}")
 
 
+def _changed_alike(reach: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, node2) of different roots that are near a common pivot and may have the similarity; loses none.
+
+    ``reach``: (pivot, node, n, root, main, sketch).  Let d be the shingles in which a set differs from the pivot's.  Two sets of n and
+    n2 shingles with the similarity differ in t = (n + n2) * (100 - percent) / (100 + percent) at most, so their d and d2
+    differences share (d + d2 - t) / 2 or more; that is over 0, or both would be linked with the pivot.  With differences in
+    order from rare to frequent, two sets share one at places up to (d - d2 + t) / 2 and (d2 - d + t) / 2: of the set with
+    fewer differences only the first t / 2 count, of the other t.  Copies that each have changes of their own share none.
+    """
+    whole = [sets.select(F.col("node").alias(a), F.col("grams").alias(b)) for a, b in (("pivot", "y"), ("node", "x"))]
+    both = reach.select("pivot", "node").join(whole[1], "node").join(whole[0], "pivot")
+    apart = materialize(both.select("pivot", "node", F.explode(F.array(F.concat(F.array_except("x", "y"), F.array_except("y", "x")))).alias("apart")).select("pivot", "node", F.size("apart").alias("d"), "apart"))
+    each = apart.select("pivot", "node", "d", F.explode("apart").alias("g"))
+    often = materialize(each.groupBy("pivot", "g").agg(F.count("*").alias("f")).where("f > 1"))
+    shared = each.join(often, ["pivot", "g"])
+    # the differences that no other set has come first
+    own = Window.partitionBy("pivot", "node")
+    placed = shared.withColumn("at", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "g")) - 1).select("pivot", "node", "d", "g", "at")
+    # of sets in the similarity the larger has 100 / percent times the shingles of the other at most
+    most = f"(n + n * 100 / {percent}) * {100 - percent} / {100 + percent}"
+    placed = materialize(placed.join(reach.select("pivot", "node", "n", "root", "main", *SKETCH), ["pivot", "node"]).where(f"at <= {most}"))
+    names = ["node", "n", "root", "main", "d", "at", *SKETCH]
+    fewer = placed.where(f"2 * at <= {most}")
+    more = placed.select("pivot", "g", *[F.col(c).alias(f"{c}2") for c in names])
+    t = f"(n + n2) * {100 - percent} / {100 + percent}"
+    meet = f"root != root2 and (d < d2 or d = d2 and node < node2) and 2 * at <= d - d2 + {t} and 2 * at2 <= d2 - d + {t}"
+    found = [
+        fewer.where("root != main").join(more, ["pivot", "g"]),
+        fewer.where("root = main").join(more.where("root2 != main2"), ["pivot", "g"]),
+    ]
+    out = materialize(found[0].union(found[1]).where(meet).where(_fits(percent, "", "2")).select("node", "node2"))
+    discard(apart, often, placed)
+    return out
+
+
 def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Pairs (a, b) of nodes with the similarity, enough of them to connect all that such pairs connect.
 
     ``nodes`` has a row for each set: node, n, bands, sketch, and the doc_id and part of a row with that set, from which
     ``sets_of`` makes (node, grams).  In a bucket of over BUCKET sets, STARS times one set is compared with all that
     are not in its group yet: first the one that meets most others, which copies with changes have in their midst, then one
-    from outside the largest group.  What is left outside that group is compared with the rest of the bucket.  Pairs pass
-    by sizes and sketches inside the join, so few rows leave it, and then by their whole sets.
+    from outside the largest group.  What is left outside meets the others where changes agree (``_changed_alike``); in
+    smaller buckets it meets all.  Pairs pass by sizes and sketches inside the joins, so few rows leave them, and then by
+    their whole sets.
     """
     entries = nodes.select("node", F.posexplode("bands").alias("t", "k"))
     # tables, so that Spark's skew join can divide a bucket that very many share
@@ -157,32 +194,42 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
         discard(pairs)
         return out
 
-    def ranked(e: DataFrame, least: int) -> DataFrame:
-        """Entries of buckets of over ``least`` sets, with the root of the largest group of the bucket."""
-        e = e.where(F.col("m") > least)
+    def ranked(e: DataFrame) -> DataFrame:
+        """Entries with the root of the largest group of their bucket."""
         most = e.groupBy("t", "k", "root").agg(F.count("*").alias("c")).groupBy("t", "k").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
         return materialize(e.join(materialize(most), ["t", "k"]))
 
     both = ["node", "n", "root", *SKETCH]
     entries = held.withColumn("root", F.col("node"))
-    made = roots = None
+    made = roots = pivots = None
     for turn in range(STARS):
-        crowded = materialize(entries.where(F.col("m") > BUCKET)) if not turn else ranked(entries, BUCKET)
+        crowded = entries.where(F.col("m") > BUCKET)
+        crowded = ranked(crowded) if turn else materialize(crowded)
         from_ = crowded.where("root != main") if turn else crowded
         if from_.isEmpty():
             discard(crowded)
             break
         chosen = from_.groupBy("t", "k").agg(F.max_by(F.struct(*both), F.struct("weight", "node")).alias("f")).select("t", "k", *[F.col(f"f.{c}").alias(f"{c}2") for c in both])
+        if not turn:
+            chosen = pivots = materialize(chosen)
         new = confirmed(crowded.join(chosen, ["t", "k"]).where("root != root2").where(_fits(percent, "", "2")))
         past, roots = roots, connected_components(new if made is None else made.union(new))
         # a star of each group says as much as its links, is smaller and settles sooner
         made = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         entries = held.join(roots, "node", "left").select(*held.columns, F.coalesce("root", "node").alias("root"))
         discard(crowded, new, *([] if past is None else [past]))
-    every = ranked(entries, 1)
-    other = every.select("t", "k", "main", *[F.col(c).alias(f"{c}2") for c in both]).drop("main")
-    outside = every.where("root != main").select("t", "k", "main", *both)
-    rest = confirmed(outside.join(other, ["t", "k"]).where("root != root2 and (root2 = main or node < node2)").where(_fits(percent, "", "2")))
+    every = ranked(entries)
+    small = every.where(F.col("m") <= BUCKET)
+    other = small.select("t", "k", *[F.col(c).alias(f"{c}2") for c in both])
+    outside = small.where("root != main").select("t", "k", "main", *both)
+    pairs = outside.join(other, ["t", "k"]).where("root != root2 and (root2 = main or node < node2)").where(_fits(percent, "", "2")).select("node", "node2")
+    if pivots is not None:
+        crowded = every.where(F.col("m") > BUCKET).join(pivots.select("t", "k", F.col("node2").alias("pivot")), ["t", "k"])
+        # outside in one bucket is outside; a set may be near several pivots
+        reach = crowded.groupBy("pivot", "node").agg(F.max(F.col("root") != F.col("main")).alias("out"), F.first(F.struct("n", "root", *SKETCH)).alias("f")).select("pivot", "node", "f.*", "out")
+        reach = materialize(reach.withColumn("main", F.when(~F.col("out"), F.col("root")).otherwise(F.lit(b""))))
+        pairs = pairs.union(_changed_alike(reach, sets, percent))
+    rest = confirmed(pairs)
     discard(held, every, sets)
     return rest if made is None else made.union(rest)
 
