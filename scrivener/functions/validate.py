@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrivener.functions import schema as json_schema
 from scrivener.functions import text as t
 
 #: Marks of bank details, of late-payment penalties, and of topics foreign to delivery.
@@ -114,47 +115,33 @@ FORM: dict[str, dict[str, tuple]] = {
         "delay_in_delivery_penalty_enabled": ("boolean",), "claim_notice_days": ("integer", (0, 3650)),
     },
 }
-_KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "boolean": ("BOOLEAN",), "array": ("ARRAY",)}
 
 
-def form_issues(forms: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, path, rule) of each rule that a JSON form breaks, sorted by path within the form when collected so.
+def form_schema() -> dict:
+    """The JSON Schema of ``FORM``: all groups and fields are required, and no others may be there."""
 
-    Rules: json, type, required, enum, minimum, maximum, minLength, uniqueItems, additionalProperties.
-    A form in many rows is checked like one: the rules are Columns over a VARIANT.
+    def field(kind: str, limit=None) -> dict:
+        if kind == "array":
+            return {"type": kind, "items": {"enum": limit}, "uniqueItems": True}
+        if isinstance(limit, list):
+            return {"type": kind, "enum": limit}
+        if isinstance(limit, tuple):
+            return {"type": kind, "minimum": limit[0], "maximum": limit[1]}
+        return {"type": kind} if limit is None else {"type": kind, "minLength": limit}
+
+    made = {group: {"type": "object", "additionalProperties": False, "required": list(fields), "properties": {k: field(*f) for k, f in fields.items()}} for group, fields in FORM.items()}
+    root = made.pop("")
+    return root | {"required": [*root["required"], *made], "properties": root["properties"] | made}
+
+
+def form_issues(forms: DataFrame, id_col: str, json_col: str, schema: dict | bool | None = None) -> DataFrame:
+    """(id, path, rule) of each rule of ``schema`` (that of ``FORM`` by default) that a JSON form breaks.
+
+    Paths and rules are those of ``schema.issues``.  Each form is judged in its own row, so many are checked like one.
     """
+    found = json_schema.issues(form_schema() if schema is None else schema, F.col("v"))
     v = forms.select(F.col(id_col), F.try_parse_json(F.col(json_col)).alias("v"))
-    issue = lambda cond, path, rule: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule")))
-    kind = lambda path: F.regexp_extract(F.schema_of_variant(F.try_variant_get("v", path, "variant")), r"^\w+", 0)
-    rules = [issue(F.col("v").isNull(), "$", "json"), issue(kind("$") != "OBJECT", "$", "type")]
-    is_object = kind("$") == "OBJECT"
-    keys = lambda path: F.json_object_keys(F.to_json(F.try_variant_get("v", path, "variant")))
-    for group, fields in FORM.items():
-        base = f"$.{group}" if group else "$"
-        there = (is_object & (kind(base) == "OBJECT")) if group else is_object
-        if group:
-            rules += [issue(is_object & F.try_variant_get("v", base, "variant").isNull(), "$", f"required {group}"), issue(kind(base) != "OBJECT", base, "type")]
-        known = list(fields) + ([] if group else ["payment", "delivery", "liability"])
-        rules.append(issue(there & (F.size(F.array_except(keys(base), F.array(*[F.lit(k) for k in known]))) > 0), base, "additionalProperties"))
-        for name, (type_, *limits) in fields.items():
-            path = f"{base}.{name}"
-            found = kind(path)
-            rules.append(issue(there & ~F.array_contains(keys(base), name), base, f"required {name}"))
-            rules.append(issue(there & F.array_contains(keys(base), name) & ~found.isin(*_KINDS[type_]), path, "type"))
-            ok = there & found.isin(*_KINDS[type_])
-            if not limits:
-                continue
-            text, number = F.try_variant_get("v", path, "string"), F.try_variant_get("v", path, "long")
-            if type_ == "array":
-                items = F.try_variant_get("v", path, "array<string>")
-                rules += [issue(ok & (F.size(F.array_except(items, F.array(*[F.lit(x) for x in limits[0]]))) > 0), path, "enum"), issue(ok & (F.size(items) > F.size(F.array_distinct(items))), path, "uniqueItems")]
-            elif isinstance(limits[0], list):
-                rules.append(issue(ok & ~text.isin(*limits[0]), path, "enum"))
-            elif isinstance(limits[0], tuple):
-                rules += [issue(ok & (number < limits[0][0]), path, "minimum"), issue(ok & (number > limits[0][1]), path, "maximum")]
-            else:
-                rules.append(issue(ok & (F.length(text) < limits[0]), path, "minLength"))
-    return v.select(id_col, F.explode(F.array_sort(F.filter(F.array(*rules), lambda x: x.isNotNull()))).alias("x")).select(id_col, "x.path", "x.rule")
+    return v.select(id_col, F.explode(found).alias("x")).select(id_col, "x.path", "x.rule")
 
 
 # ---- generation with retries

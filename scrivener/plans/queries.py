@@ -5,6 +5,7 @@ A document's title is its first line and its body the rest; doc_id is its place
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -593,6 +594,66 @@ def form_issues(spark, sf_dir):
     return validate.form_issues(forms, "conv_id", "form")
 
 
+#: What each conversation's form breaks, said of the conversation itself; c is its id.
+_DIALOGUE_SQL = r"""
+with t as (select conv_id as c, role, text, turn, row_number() over (partition by conv_id order by turn) - 1 as i from conversations),
+b as (select c, count(*) as n, count(distinct role) as roles, count(*) filter (where role = 'user') as users from t group by c),
+f as (select * from b where c % 11 <> 10 and c % 13 <> 12),
+u as (select t.* from t join f on f.c = t.c)
+select c, '$' as path, 'json' as rule from b where c % 11 = 10
+union all select c, '$', unnest(['type', 'not']) from b where c % 11 <> 10 and c % 13 = 12
+union all select c, '$.number', 'pattern' from f where c % 5 = 0
+union all select c, '$.number', 'type' from f where c % 5 = 1
+union all select c, '$.days', case c % 6 when 1 then 'minimum' when 2 then 'maximum' else 'type' end from f where c % 6 in (1, 2, 3, 4)
+union all select c, '$.rate', 'exclusiveMinimum' from f where c % 50 = 0
+union all select c, '$.rate', 'exclusiveMaximum' from f where c % 50 >= 40
+union all select c, '$.rate', 'multipleOf' from f where c % 4 = 1
+union all select c, '$.mode', 'enum' from f where c % 3 = 2
+union all select c, '$.kind', 'const' from f where c % 7 = 0
+union all select c, '$.turns', 'minItems' from f where n < 3
+union all select c, '$.turns', 'maxItems' from f where n > 6
+union all select c, '$.roles', 'uniqueItems' from f where n > roles
+union all select c, '$.roles', 'contains' from f where users = 0
+union all select c, '$.turns[' || i || '].role', 'enum' from u where role not in ('user', 'assistant')
+union all select c, '$.turns[' || i || '].text', 'minLength' from u where length(text) < 60
+union all select c, '$.turns[' || i || '].text', 'maxLength' from u where length(text) > 900
+union all select c, '$.turns[' || i || '].text', 'pattern' from u where not text like '%.'
+union all select c, '$.turns[' || i || '].place', 'maximum' from u where turn > 5
+union all select c, '$.turns[' || i || ']', 'required text' from u where false
+union all select c, '$', 'required payer' from f where c % 4 = 1
+union all select c, '$.payer', 'required name' from f where c % 4 = 2
+union all select c, '$.payer.vat', 'anyOf' from f where c % 4 = 2
+union all select c, '$.payer.other', 'type' from f where c % 4 = 3
+union all select c, '$.payer.agent.name', case when c % 8 = 3 then 'minLength' else 'maxLength' end from f where c % 4 = 3
+union all select c, '$', 'additionalProperties' from f where c % 9 = 4
+union all select c, '$', 'not' from f where c % 9 = 5
+union all select c, '$', 'minProperties' from f where c % 4 = 1 and c % 9 not in (4, 5) and c % 21 = 8"""
+
+
+@query("form_schema_issues", _DIALOGUE_SQL)
+def form_schema_issues(spark, sf_dir):
+    """A form from each conversation, against a schema with lists, references and every kind of bound, read from its file."""
+    c = F.col("c")
+    pick = lambda n, *of: F.element_at(F.array(*[F.lit(x) for x in of]), (c % n + 1).cast("int"))
+    turn = F.struct("role", "text", F.col("turn").alias("place"))
+    talks = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("c")).agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("i")))).alias("t"))
+    turns, roles = F.to_json(F.transform("t", lambda x: x["i"])), F.to_json(F.transform("t", lambda x: x["i"]["role"]))
+    number = F.when(c % 5 == 0, F.concat(F.lit('"bad '), c, F.lit('"'))).when(c % 5 == 1, c.cast("string")).otherwise(F.concat(F.lit('"C-'), c, F.lit('"')))
+    rate = F.when(c % 4 == 1, F.concat((c % 50).cast("string"), F.lit(".25"))).otherwise((c % 50).cast("string"))
+    party = pick(4, '{"name": "A", "vat": null}', "", '{"vat": 5}', "").alias("party")
+    agent = F.when(c % 8 == 3, "").otherwise("far too long")
+    payer = F.when(c % 4 == 3, F.concat(F.lit('{"name": "B", "vat": "DE1", "other": 1, "agent": {"name": "'), agent, F.lit('"}}'))).otherwise(party)
+    fields = [
+        F.concat(F.lit('"number": '), number), F.concat(F.lit('"days": '), pick(6, "30.0", "-1", "4000", "30.5", '"x"', "15")), F.concat(F.lit('"rate": '), rate),
+        F.concat(F.lit('"mode": "'), pick(3, "ru", "en", "xx"), F.lit('"')), F.when(c % 21 != 8, F.concat(F.lit('"kind": "'), F.when(c % 7 == 0, "talk").otherwise("dialogue"), F.lit('"'))),
+        F.concat(F.lit('"turns": '), turns), F.concat(F.lit('"roles": '), roles), F.when(c % 4 != 1, F.concat(F.lit('"payer": '), payer)),
+        F.when(c % 9 == 4, F.lit('"surplus": {}')), F.when(c % 9 == 5, F.lit('"secret": true')),
+    ]
+    text = F.when(c % 11 == 10, F.lit('{"number": ')).when(c % 13 == 12, F.lit("[1]")).otherwise(F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")))
+    schema = validate.load_json(os.path.join(os.path.dirname(os.path.abspath(__file__)), "dialogue_form.schema.json"))
+    return validate.form_issues(talks.select("c", text.alias("form")), "c", "form", schema)
+
+
 # ---- JSON
 
 @query("json_structure_probe", """
