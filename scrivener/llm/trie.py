@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from scrivener.llm.common import discard, materialize, n_words
 
-#: Ids that a shard spans, so the bits of its bitmaps at most.
-SPAN = 4_096
+#: Ids that a shard spans, so the bits of its bitmaps at most; fewer make more tasks, and more rows of what shards share.
+SPAN = 512
 ROOT = b"\0" * 16
 _PIECES = "node binary, parent binary, depth long, least long, n long, words long, shard long, ends string"
 
