@@ -170,21 +170,23 @@ def mask_form_values(c: Column, form: dict, squash: bool = True) -> Column:
 
 # ---- diversification
 
-def diverse_top_k(hits: DataFrame, k: int, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+def diverse_top_k(hits: DataFrame, k: int, similar: float = SIMILAR, shingle: int = SHINGLE, by: Sequence[str] = ()) -> DataFrame:
     """In rank order, hits (rank, doc_id, candidate) whose doc_id is new and that resemble none chosen, up to k.
 
-    A greedy fold over the hits, whose number ``bm25_search`` bounds; shingles are computed once for each.
+    With ``by``, each query's hits are chosen from by themselves, and its columns come first.  A fold over a query's hits, whose
+    number the search bounds, that holds the chosen ones only; shingles are hashed, and texts join the chosen ranks.
     """
-    ready = hits.select(F.struct("rank", "doc_id", "candidate", t.shingles(F.col("candidate"), shingle).alias("s")).alias("h"))
-    listed = ready.agg(F.array_sort(F.collect_list("h")).alias("all"))
+    grams = F.transform(t.shingles(F.col("candidate"), shingle), lambda s: F.xxhash64(s))
+    ready = hits.select(*by, F.struct("rank", "doc_id", grams.alias("s")).alias("h"))
+    listed = ready.groupBy(*by).agg(F.array_sort(F.collect_list("h")).alias("all"))
     start = F.array().cast(f"array<{ready.schema['h'].dataType.simpleString()}>")
 
     def choose(chosen: Column, h: Column) -> Column:
         taken = F.exists(chosen, lambda o: ((h["doc_id"] != "") & (o["doc_id"] == h["doc_id"])) | (t.jaccard(o["s"], h["s"]) >= similar))
         return F.when((F.size(chosen) >= k) | taken, chosen).otherwise(F.concat(chosen, F.array(h)))
 
-    picked = listed.select(F.explode(F.aggregate("all", start, choose)).alias("h"))
-    return picked.select("h.rank", "h.doc_id", "h.candidate")
+    picked = listed.select(*by, F.explode(F.aggregate("all", start, choose)).alias("h")).select(*by, "h.rank")
+    return hits.join(picked, [*by, "rank"]).select(*by, "rank", "doc_id", "candidate")
 
 
 # ---- whole queries.  Fixed values: what is asked of each section.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scrivener.functions import predicates as p
 from scrivener.functions import text as t
 from scrivener.functions import validate
-from scrivener.operators import cleaning, joins, retrieval, segment, stats
+from scrivener.operators import cleaning, joins, retrieval, search, segment, stats
 from scrivener.plans import sql as q
 from scrivener.sources import readers, writers
 
@@ -138,6 +138,45 @@ def diverse_topk(spark, sf_dir):
     return retrieval.diverse_top_k(rows, 10).select("rank", F.col("doc_id").alias("source"), F.md5("candidate").alias("candidate_md5"))
 
 
+#: What users say in the conversations, as queries.
+_ASKED_SQL = "select conv_id * 1000 + turn as q, text from conversations where role = 'user'"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("q"), F.col("text").alias("query"))
+
+
+def _many_sql(limit: int) -> str:
+    return f"""
+with w as (select doc_id, unnest({WORDS}) as term from documents),
+tf as (select doc_id, term, count(*) as tf from w group by doc_id, term),
+dl as (select d.doc_id, coalesce(s.n, 0) as dl from documents d left join (select doc_id, count(*) as n from w group by doc_id) s on s.doc_id = d.doc_id),
+st as (select count(*) as n, avg(dl) as avgdl from dl),
+df as (select term, count(*) as df from tf group by term),
+a as (select q, unnest({WORDS}) as term from ({_ASKED_SQL})),
+q as (select q, term, count(*) as times from a group by q, term),
+sc as (select q.q, tf.doc_id, sum(q.times * ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl.dl / st.avgdl))) as score
+  from q join tf on tf.term = q.term join df on df.term = q.term join dl on dl.doc_id = tf.doc_id cross join st group by q.q, tf.doc_id)
+select q, doc_id, cast(row_number() over (partition by q order by round(score, 9) desc, doc_id) as integer) as rank, round(score, 6) as score from sc where score > 0
+qualify row_number() over (partition by q order by round(score, 9) desc, doc_id) <= {limit}"""
+
+
+@query("bm25_many", _many_sql(10))
+def bm25_many(spark, sf_dir):
+    """The ten best documents for each thing a user said."""
+    index = search.build_index(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
+    return search.search(index, asked(spark, sf_dir), 10).select("q", F.col("seq").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query("diverse_many", q.diverse_each(f"with h as materialized ({_many_sql(24)}), m as materialized (select doc_id, source, {_MASKED} as candidate from documents)", WORDS.replace("text", "candidate"), 3))
+def diverse_many(spark, sf_dir):
+    """Of each user's hits three, masked, of different sources, none like another."""
+    docs = table(spark, sf_dir, "documents")
+    hits = search.search(search.build_index(docs, F.col("text"), "doc_id"), asked(spark, sf_dir), 24)
+    masked = docs.join(hits.select(F.col("seq").alias("doc_id"), "q", "rank"), "doc_id").select("q", "rank", F.col("source").alias("doc_id"), retrieval.mask_form_values(F.col("text"), FORM, False).alias("candidate"))
+    return retrieval.diverse_top_k(masked, 3, by=["q"]).select("q", "rank", F.col("doc_id").alias("source"), F.md5("candidate").alias("candidate_md5"))
+
+
 _UNGLUED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([,;:])([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([A-Za-zА-Яа-яЁё])(\d)', '\1 \2', 'g'), '(\d)([A-Za-zА-Яа-яЁё])', '\1 \2', 'g'), '([А-Яа-яЁё])([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])([А-Яа-яЁё])', '\1 \2', 'g')"
 
 

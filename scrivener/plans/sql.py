@@ -269,11 +269,29 @@ def older_validator(repeated: str, itemised: str) -> str:
 when r.repeated then 'repetition_detected' when {contains_any('lower(text)', ('iban', 'swift', 'bic', 'account no', 'account number', 'bank code', 'routing number'))} or regexp_matches(text, '\d{{12,}}') then 'contains_bank_details' end as code from n d join r on r.doc_id = d.doc_id"""
 
 
+_SEVEN = "case when len(w) >= 7 then list_distinct(list_transform(range(1, len(w) - 5), lambda i: array_to_string(w[i:i + 6], ' '))) else []::varchar[] end"
+
+
+_RESEMBLES = "len(list_intersect(o.s, b.s)) > 0 and len(list_intersect(o.s, b.s)) / len(list_distinct(o.s || b.s)) >= 0.55"
+
+
 def diverse(hits: str, words: str, k: int = 10, name: str = "source") -> str:
     """``hits``: rank, source, candidate.  A fold in rank order that carries what is chosen."""
     kind = "struct(rank integer, source varchar, candidate varchar, s varchar[])"
-    resembles = "len(list_intersect(o.s, b.s)) > 0 and len(list_intersect(o.s, b.s)) / len(list_distinct(o.s || b.s)) >= 0.55"
     return f"""{hits}, w as (select *, {words} as w from hits),
-e as (select rank, source, candidate, case when len(w) >= 7 then list_distinct(list_transform(range(1, len(w) - 5), lambda i: array_to_string(w[i:i + 6], ' '))) else []::varchar[] end as s from w),
-f as (select list_reduce(list_prepend([]::{kind}[], list([struct_pack(rank := rank, source := source, candidate := candidate, s := s)]::{kind}[] order by rank)), lambda a, c: list_transform([c[1]], lambda b: case when len(a) >= {k} or len(list_filter(a, lambda o: (b.source <> '' and o.source = b.source) or ({resembles}))) > 0 then a else a || [b] end)[1]) as chosen from e)
+e as (select rank, source, candidate, {_SEVEN} as s from w),
+f as (select list_reduce(list_prepend([]::{kind}[], list([struct_pack(rank := rank, source := source, candidate := candidate, s := s)]::{kind}[] order by rank)), lambda a, c: list_transform([c[1]], lambda b: case when len(a) >= {k} or len(list_filter(a, lambda o: (b.source <> '' and o.source = b.source) or ({_RESEMBLES}))) > 0 then a else a || [b] end)[1]) as chosen from e)
 select x.rank as rank, x.source as {name}, md5(x.candidate) as candidate_md5 from (select unnest(chosen) as x from f)"""
+
+
+def diverse_each(hits: str, words: str, k: int = 3) -> str:
+    """``hits``: a table h (q, rank, doc_id) and one m (doc_id, source, candidate).  k times the first of each q that is left,
+    and what it leaves of the others."""
+    parts = [f"""{hits}, w as materialized (select *, {words} as w from m), g as materialized (select doc_id, source, md5(candidate) as candidate_md5, {_SEVEN} as s from w),
+e as materialized (select h.q, h.rank, g.* from h join g on g.doc_id = h.doc_id)"""]
+    left = "e"
+    for i in range(k):
+        parts.append(f"c{i} as materialized (select * from {left} qualify row_number() over (partition by q order by rank) = 1)")
+        parts.append(f"l{i} as materialized (select b.* from {left} b join c{i} o on o.q = b.q where b.rank > o.rank and not ((b.source <> '' and o.source = b.source) or ({_RESEMBLES})))")
+        left = f"l{i}"
+    return ",\n".join(parts) + "\n" + " union all ".join(f"select q, rank, source, candidate_md5 from c{i}" for i in range(k))
