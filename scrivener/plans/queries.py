@@ -126,6 +126,7 @@ def tfidf_topk(spark, sf_dir):
 FORM = {"language_mode": "en", "currency": "USD", "payment": {"prepayment_required": True, "currency": "USD"}}
 
 
+_MASKED_ONLY = q.replaced("text", ("(?i)USD", "[CURRENCY]"), (r"(?i)\b(\d{1,4})\s*(day|days)\b", r"[TERM_DAYS] \2"), (r"\b(\d{1,3})\s*%", "[PERCENT]%"), (f"\\b\\d{{1,3}}(?:[ {t.NBSP}]\\d{{3}})*(?:[.,]\\d{{1,2}})?\\b", "[AMOUNT]"))
 _MASKED = q.strip(q.replaced("text", ("(?i)USD", "[CURRENCY]"), (r"(?i)\b(\d{1,4})\s*(day|days)\b", r"[TERM_DAYS] \2"), (r"\b(\d{1,3})\s*%", "[PERCENT]%"), (f"\\b\\d{{1,3}}(?:[ {t.NBSP}]\\d{{3}})*(?:[.,]\\d{{1,2}})?\\b", "[AMOUNT]"), (r"[ \t\r\f\v]+", " ")))
 
 
@@ -134,7 +135,7 @@ def diverse_topk(spark, sf_dir):
     """BM25 hits, masked, at most one of each source, none like another."""
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
     hits = retrieval.bm25_search(docs, F.col("text"), ASKED, 80)
-    rows = docs.join(F.broadcast(hits), "seq").select("rank", F.col("source").alias("doc_id"), retrieval.mask_form_values(F.col("text"), FORM, False).alias("candidate"))
+    rows = docs.join(F.broadcast(hits), "seq").select("rank", F.col("source").alias("doc_id"), retrieval.mask_form_values(F.col("text"), FORM).alias("candidate"))
     return retrieval.diverse_top_k(rows, 10).select("rank", F.col("doc_id").alias("source"), F.md5("candidate").alias("candidate_md5"))
 
 
@@ -173,7 +174,7 @@ def diverse_many(spark, sf_dir):
     """Of each user's hits three, masked, of different sources, none like another."""
     docs = table(spark, sf_dir, "documents")
     hits = search.search(search.build_index(docs, F.col("text"), "doc_id"), asked(spark, sf_dir), 24)
-    masked = docs.join(hits.select(F.col("seq").alias("doc_id"), "q", "rank"), "doc_id").select("q", "rank", F.col("source").alias("doc_id"), retrieval.mask_form_values(F.col("text"), FORM, False).alias("candidate"))
+    masked = docs.join(hits.select(F.col("seq").alias("doc_id"), "q", "rank"), "doc_id").select("q", "rank", F.col("source").alias("doc_id"), retrieval.mask_form_values(F.col("text"), FORM).alias("candidate"))
     return retrieval.diverse_top_k(masked, 3, by=["q"]).select("q", "rank", F.col("doc_id").alias("source"), F.md5("candidate").alias("candidate_md5"))
 
 
@@ -191,33 +192,36 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLAUSES = ("Payment is due by bank transfer on the invoice; prepayment, VAT and penalty interest apply. ", "Delivery and dispatch follow the schedule; packaging, marking, storage and acceptance are at the risk of the carrier. ")
 
 
-def _retrieval_sql(words_for, words_against, terms: list[str]) -> str:
+def _retrieval_sql(words_for, words_against, terms: list[str], squash: str = "") -> str:
+    """``squash`` names a function of the engine that squashes repeats, which SQL itself can't say; tests give one."""
     bag = lambda words: "(" + " + ".join(f"contains(low, '{w}')::int" for w in words) + ")"
     kind = lambda a, b, c: f"case when n_chars < 900 then '{a}' when n_chars < 2500 then '{b}' else '{c}' end"
     body = _UNGLUED.replace("(text,", "(regexp_replace(y, '\\[[^\\]]{1,120}\\]', '', 'g'),")
-    lean = q.strip(f"regexp_replace({body}, '[ \\t\\r\\f\\v]+', ' ', 'g')")
+    collapse = lambda x: q.strip(f"regexp_replace({x}, '[ \\t\\r\\f\\v]+', ' ', 'g')")
+    lean = collapse(f"{squash}({collapse(body)})") if squash else collapse(body)
+    masked = collapse(f"{squash}({_MASKED_ONLY})") if squash else _MASKED
     return f"""c as (select doc_id, {kind('Payment of ', 'Delivery to ', 'Notes of ')} || source as title, {kind(*_CLAUSES, '')} || text as text from documents),
 x as (select *, regexp_replace(regexp_replace({q.strip('text')}, '\\r\\n?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') as y from c where length({q.strip('text')}) >= 80),
-v as (select doc_id, title, {lean} as z from x), u as (select doc_id, title, {q.smart_truncated('z', 2600)} as text from v),
+v as materialized (select doc_id, title, {lean} as z from x), u as materialized (select doc_id, title, {q.smart_truncated('z', 2600)} as text from v),
 k as (select *, lower(title || chr(10) || text) as low from u), d as (select * from k where {bag(words_for)} >= 4 and ({bag(words_against)} < 3 or {bag(words_for)} >= 7)),
 bm as ({_bm25_sql("select doc_id, title || chr(10) || text as text from d", terms, 56)}),
-hits as (select bm.rank, cast(d.doc_id as varchar) as source, {_MASKED} as candidate from bm join d on d.doc_id = bm.doc_id)"""
+hits as (select bm.rank, cast(d.doc_id as varchar) as source, {masked} as candidate from bm join d on d.doc_id = bm.doc_id)"""
 
 
-_PAYMENT_SQL, _DELIVERY_SQL = [q.diverse("with " + _retrieval_sql(a, b, retrieval._query_tokens(asked)), WORDS.replace("text", "candidate"), 7, "doc_id") for a, b, asked in ((p.PAYMENT_FOR, p.PAYMENT_AGAINST, retrieval.payment_query(FORM)), (p.DELIVERY_FOR, p.DELIVERY_AGAINST, retrieval.delivery_query(FORM)))]
+def retrieval_sql(words_for, words_against, asked: str, squash: str) -> str:
+    return q.diverse("with " + _retrieval_sql(words_for, words_against, retrieval._query_tokens(asked), squash), WORDS.replace("text", "candidate"), 7, "doc_id")
 
 
-@query("retrieve_payment_terms", _PAYMENT_SQL)
+@query("retrieve_payment_terms")
 def retrieve_payment_terms(spark, sf_dir):
-    """Without squashing of repeats, which SQL can't say; squash_repeats has its own query."""
-    found = retrieval.retrieve_payment_terms(FORM, clauses(spark, sf_dir), 7, None, False)
+    found = retrieval.retrieve_payment_terms(FORM, clauses(spark, sf_dir), 7, None)
     return found.select("rank", "doc_id", F.md5("candidate").alias("candidate_md5"))
 
 
-@query("retrieve_delivery_terms", _DELIVERY_SQL)
+@query("retrieve_delivery_terms")
 def retrieve_delivery_terms(spark, sf_dir):
     """Sections labelled as delivery come first, which the tables may lack; then those of the domain."""
-    return retrieval.retrieve_delivery_terms(FORM, clauses(spark, sf_dir), 7, None, False).select("rank", "doc_id", F.md5("candidate").alias("candidate_md5"))
+    return retrieval.retrieve_delivery_terms(FORM, clauses(spark, sf_dir), 7, None).select("rank", "doc_id", F.md5("candidate").alias("candidate_md5"))
 
 
 @query("shingle_jaccard_pairs", f"""
@@ -448,6 +452,17 @@ def heal_headings(spark, sf_dir):
     return segment.heal_report(segment.heal_blocks(blocks))
 
 
+@query("heal_paragraphs", q.HEALED_PAIRS)
+def heal_paragraphs(spark, sf_dir):
+    """Paragraphs of two lines each, so that a heading may have its body under it in the same one."""
+    lines = F.col("lines")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")), lambda i: F.array_join(F.slice(lines, i * 2 + 1, F.lit(2)), "\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(t.lines(F.col("text")))).alias("lines")).where(F.size("lines") > 0)
+    healed = segment.heal_blocks(rows.select("doc_id", F.posexplode(pairs).alias("pos", "line")).withColumn("style", F.lit("Normal")))
+    texts = healed.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub", "line"))), lambda x: x["line"]), "\n")).alias("healed_md5"))
+    return segment.heal_report(healed).join(texts, "doc_id")
+
+
 # ---- joins
 
 _ROLE_MAP = "(values ('user', 'Question'), ('assistant', 'Answer'), ('assistant', 'Reply')) m(section_id, title)"

@@ -180,6 +180,21 @@ HEADING_FLAGS = f"{FORMS} select doc_id, " + ", ".join(f'cast(count(*) filter (w
 HEALED = f"""{FORMS}, k as (select doc_id, {has_level('dashed_canon', 'canon2', unify_dashes('canon2'))} and length(canon) <= 160 as headed from h)
 select doc_id, case when count(*) filter (where headed) > 0 then 'ok' else 'no_candidates' end as status, bool_or(headed) as changed, cast(count(*) filter (where headed) as bigint) as headings_set, cast(0 as bigint) as splits_done from k group by doc_id"""
 
+
+
+def _level(x: str) -> str:
+    return has_level(unify_dashes(x), canonical(x), unify_dashes(canonical(x)))
+
+
+#: Paragraphs of two lines: a heading with a body under it is split, unless the body is a short heading, too.
+HEALED_PAIRS = f"""with {LINES_OF}, n as (select doc_id, line, row_number() over (partition by doc_id order by pos) - 1 as i from l),
+p as (select doc_id, i // 2 as k, max(line) filter (where i % 2 = 0) as a, max(line) filter (where i % 2 = 1) as b from n group by doc_id, i // 2),
+w as (select *, a || coalesce(chr(10) || b, '') as pair from p), c as (select *, {canonical('pair')} as canon from w),
+k as (select *, b is not null and {_level('a')} and not (length(b) < 20 and {_level('b')}) as split, {_level('canon')} and length(canon) <= 160 as headed from c),
+o as (select doc_id, unnest(case when split then [[k * 2, 0], [k * 2, 1]] else [[k * 2, 0]] end) as spot, case when split then [{canonical('a')}, {unify_dashes('b')}] when headed then [canon] else [pair] end as made, split, headed from k)
+select doc_id, case when bool_or(split or headed) then 'ok' else 'no_candidates' end as status, bool_or(split or headed) as changed, count(*) filter (where (split or headed) and spot[2] = 0) as headings_set,
+  count(*) filter (where split and spot[2] = 0) as splits_done, md5(string_agg(made[spot[2] + 1], chr(10) order by spot)) as healed_md5 from o group by doc_id"""
+
 TITLED = f"""{FORMS}, k as (select doc_id, pos, line, {heading_text('bare')} and not {noise_heading('raw')} as head from h),
 n as (select *, sum(head::int) over w as no, last_value(case when head then line end ignore nulls) over w as name from k window w as (partition by doc_id order by pos rows between unbounded preceding and current row)),
 b as (select doc_id, no, coalesce(any_value(name), 'PREFACE') as section_title, string_agg(line, chr(10) order by pos) as body from n where not head group by doc_id, no)

@@ -1,17 +1,19 @@
 """Queries that SQL can't say, against plain Python over all rows of a table."""
 
+import functools
 import hashlib
 import os
 import re
 from difflib import SequenceMatcher
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from scrivener.functions import predicates as p
 from scrivener.functions import text as t
-from scrivener.operators import joins
+from scrivener.operators import joins, retrieval
 from scrivener.plans import queries
 
 SF = "/root/testdata/sf0.01"
@@ -22,6 +24,7 @@ def md5(x):
     return hashlib.md5(x.encode()).hexdigest()
 
 
+@functools.cache
 def squashed(x):
     again, before = re.compile(r"(.{35,220})(?:\s*\1)+", re.DOTALL), None
     while x != before:
@@ -35,6 +38,19 @@ def test_squash_repeats_of_all_documents(spark):
     assert {r.doc_id: r.result_md5 for r in queries.QUERIES["squash_repeats"](spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["payment", "delivery"])
+def test_retrieval_with_squashing(spark, name):
+    """All documents through the retrieval's SQL, with the plain loop above where it squashes."""
+    con = duckdb.connect()
+    con.create_function("squashed", squashed, ["VARCHAR"], "VARCHAR")
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    words = (p.PAYMENT_FOR, p.PAYMENT_AGAINST) if name == "payment" else (p.DELIVERY_FOR, p.DELIVERY_AGAINST)
+    asked = (retrieval.payment_query if name == "payment" else retrieval.delivery_query)(queries.FORM)
+    want = con.execute(queries.retrieval_sql(*words, asked, "squashed")).fetchall()
+    got = queries.QUERIES[f"retrieve_{name}_terms"](spark, SF).select("rank", "doc_id", "candidate_md5").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 7
+
+
 @pytest.fixture(scope="module")
 def titles(spark):
     """Normal forms of all candidates of all titles, and the map, from the operators that have SQL or tests of their own."""
