@@ -99,6 +99,42 @@ def section_prompt(form_json: Column, snippets: Column, section: Section) -> Col
     return t.tidy(F.concat_ws("\n\n", *blocks))
 
 
+#: What the model is told to be, per language, and what a section's samples must not lend to it.
+_ROLE = ("You draft contracts with care. Keep to the parameters given, write formally and make up nothing.", "Ты внимательно составляешь договоры. Держись заданных параметров, пиши официально и ничего не придумывай.")
+_FROM_SAMPLES = {
+    "payment": ("Take no sums, currencies, rates, countries, company names, item numbers or bank details from the samples.", "Не бери из образцов суммы, валюты, ставки, страны, названия компаний, номера пунктов и банковские реквизиты."),
+    "delivery": ("Take no addresses, dates, delivery codes, company names or item numbers from the samples.", "Не бери из образцов адреса, даты, базисы поставки, названия компаний и номера пунктов."),
+}
+_ONLY = {
+    "payment": ("Bank details stay out unless the form allows them.", "Без банковских реквизитов, если форма их не допускает."),
+    "delivery": ("Payment, penalties and disputes stay out.", "Без оплаты, штрафов и споров."),
+}
+
+
+def _in(english: Column, pair: tuple[str, str]) -> Column:
+    return F.when(english, F.lit(pair[0])).otherwise(F.lit(pair[1]))
+
+
+def is_english(form_json: Column) -> Column:
+    """Whether a form, as JSON text, asks for English; any other language, and none, is Russian."""
+    return F.lower(t.strip(F.coalesce(F.try_variant_get(F.try_parse_json(form_json), "$.language_mode", "string"), F.lit("ru")))) == "en"
+
+
+def system_text(section: Section, english: Column) -> Column:
+    """What comes before a section's prompt."""
+    return F.concat_ws(" ", _in(english, _ROLE), _in(english, _FROM_SAMPLES[section.form_key]))
+
+
+def retry_text(section: Section, english: Column, items: int | None = None) -> Column:
+    """What comes after a section's prompt once an attempt was refused."""
+    least, n = section.items if items is None else items, section.number
+    ask = (
+        f"The last draft was refused by a check. Give at least {least} items numbered {n}.1., {n}.2., ..., each on a line of its own, leave those written as they are, and let each new one add a point of its own, worded differently.",
+        f"Прошлый вариант не прошел проверку. Нужно не менее {least} пунктов с номерами {n}.1., {n}.2., ..., каждый на своей строке; написанные оставь как есть, а каждый новый пусть добавит свою мысль другими словами.",
+    )
+    return F.concat_ws(" ", _in(english, ask), _in(english, _ONLY[section.form_key]))
+
+
 def stub(section_id: str) -> str:
     """A stand-in for sections that nothing generates."""
     return f"[{section_id}]"

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.functions import prompts, validate
 from scrivener.functions import text as t
-from scrivener.operators import cleaning, joins, retrieval, segment, stats
+from scrivener.operators import cleaning, generate, joins, retrieval, segment, stats
 from scrivener.sources import readers, writers
 
 #: Per section: what retrieves, documents at most, length limits of the cleaner, and words of snippets.
@@ -58,6 +58,18 @@ def generate_contract(form: dict, corpus: DataFrame, chat: Callable[[str, str, f
     return "\n\n".join(parts)
 
 
+def generate_sections(forms: DataFrame, section_id: str, model: generate.Model, check: Callable[[Column], Column], retries: int = 2) -> DataFrame:
+    """A section for each of many forms: (id, form, system, user, text, code, attempts).
+
+    ``forms``: (id, form as JSON text, snippets).  System, prompt and what is said after a refusal are in the form's language;
+    only forms whose text was refused go on to the next round.
+    """
+    section = _PLANS[section_id][0]
+    english = prompts.is_english(F.col("form"))
+    asked = forms.select("id", "form", prompts.system_text(section, english).alias("system"), prompts.section_prompt(F.col("form"), F.col("snippets"), section).alias("user"))
+    return generate.in_rounds(asked, model, check, prompts.retry_text(section, english), retries)
+
+
 def build_corpus(spark: SparkSession, source: str, nested_path: str, flat_path: str, current: bool = True) -> DataFrame:
     """From a folder of DOCX files to nested contracts and flat sections of 80 characters or more, as JSON lines."""
     blocks = readers.read_docx(spark, source).where("error is null").withColumn("doc_id", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.docx$", ""))

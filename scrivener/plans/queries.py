@@ -6,8 +6,10 @@ A document's title is its first line and its body the rest; doc_id is its place
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from scrivener.functions import predicates as p
 from scrivener.functions import text as t
 from scrivener.functions import validate
 from scrivener.operators import cleaning, joins, retrieval, search, segment, stats
+from scrivener.plans import pipelines
 from scrivener.plans import sql as q
 from scrivener.sources import readers, writers
 
@@ -708,6 +711,34 @@ def form_schema_issues(spark, sf_dir):
     return validate.form_issues(talks.select("c", text.alias("form")), "c", "form", schema)
 
 
+def stand_in(system: pd.Series, user: pd.Series, temperature: pd.Series, top_p: pd.Series) -> pd.Series:
+    """A model that answers a prompt with its party's name in it: enough items, too few, or with bank details."""
+
+    def answer(prompt: str, again: bool) -> str:
+        n = int(re.search(r"delivery at (\d+) ", prompt)[1])
+        few = n % 3 == 1 and not (again and n % 6 == 1)
+        lines = [f"1.{i}. Item {i} of place {n}: payment follows the invoice in full and on time, as the parties agreed." for i in range(1, 6 if few else 26)]
+        return "\n".join(lines + (["1.26. The IBAN is given apart."] if n % 3 == 2 else []))
+
+    return pd.Series([answer(u, x > 0.3) for u, x in zip(user, temperature)])
+
+
+@query("generate_in_rounds", """
+with c as (select conv_id as id, case when turn is null then '' else text end as text from conversations where turn = 0),
+g as (select id, case when id % 3 = 1 and id % 6 <> 1 then 5 else 25 end as n, id % 3 = 2 as bank from c),
+t as (select g.id, string_agg('1.' || i || '. Item ' || i || ' of place ' || g.id || ': payment follows the invoice in full and on time, as the parties agreed.', chr(10) order by i) || case when any_value(bank) then chr(10) || '1.26. The IBAN is given apart.' else '' end as text
+  from g, (select unnest(range(1, 26)) as i) r where i <= g.n group by g.id)
+select id, md5(text) as text_md5, case when id % 3 = 2 then 'bank_details_detected' when id % 6 = 4 then 'too_short' end as code, cast(case when id % 6 = 1 then 2 when id % 6 = 4 then 3 else 1 end as integer) as attempts from t""")
+def generate_in_rounds(spark, sf_dir):
+    """A payment section for a form of each conversation, by a stand-in for the model; refused texts are asked for again."""
+    first = table(spark, sf_dir, "conversations").where("turn = 0")
+    mode = F.when(F.col("conv_id") % 2 == 0, "en").otherwise("ru")
+    form = F.to_json(F.struct(mode.alias("language_mode"), F.struct(F.col("conv_id").alias("payment_term_days")).alias("payment")))
+    forms = first.select(F.col("conv_id").alias("id"), form.alias("form"), F.array(F.concat(F.lit("delivery at "), F.col("conv_id").cast("string"), F.lit(" "), F.substring("text", 1, 60))).alias("snippets"))
+    made = pipelines.generate_sections(forms, "payment_terms", stand_in, lambda c: validate.payment_terms(c, False, False))
+    return made.select("id", F.md5("text").alias("text_md5"), "code", "attempts")
+
+
 # ---- JSON
 
 @query("json_structure_probe", """
