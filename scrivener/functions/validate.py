@@ -45,17 +45,23 @@ def payment_terms(c: Column, bank_details: bool, penalty: bool, least: int = 850
 
     ``repeated`` may add the rule repetition_detected, which is off by default.
     """
-    body, rows = t.strip(t.filled(c)), t.lines(c)
-    good, plain = _count_lines(rows, r"(?U)^\d+\.\d+\.\s+"), _count_lines(rows, r"(?U)^\d+\.\s+")
-    return first_broken(
-        (body == "", "empty_output"),
-        (t.dense_length(body) < least, "too_short"),
-        (good < items, "too_few_list_items"),
-        ((good > 0) & (plain >= F.greatest(F.lit(2), F.floor(good / 2))), "wrong_numbering_format"),
-        (F.lit(not bank_details) & body.rlike(BANK), "bank_details_detected"),
-        (F.lit(not penalty) & body.rlike(PENALTY), "late_payment_penalty_detected"),
-        (F.lit(False) if repeated is None else repeated, "repetition_detected"),
-    )
+    good, plain = r"(?U)^\d+\.\d+\.\s+", r"(?U)^\d+\.\s+"
+
+    def count(x: Column) -> Column:
+        return F.struct(x["body"].alias("body"), _count_lines(x["rows"], good).alias("good"), _count_lines(x["rows"], plain).alias("plain"))
+
+    def judge(x: Column) -> Column:
+        return first_broken(
+            (x["body"] == "", "empty_output"),
+            (t.dense_length(x["body"]) < least, "too_short"),
+            (x["good"] < items, "too_few_list_items"),
+            ((x["good"] > 0) & (x["plain"] >= F.greatest(F.lit(2), F.floor(x["good"] / 2))), "wrong_numbering_format"),
+            (F.lit(not bank_details) & x["body"].rlike(BANK), "bank_details_detected"),
+            (F.lit(not penalty) & x["body"].rlike(PENALTY), "late_payment_penalty_detected"),
+            (F.lit(False) if repeated is None else repeated, "repetition_detected"),
+        )
+
+    return t.bind(t.bind(F.struct(t.strip(t.filled(c)).alias("body"), t.lines(c).alias("rows")), count), judge)
 
 
 def delivery_terms(c: Column, least: int = 900, items: int = 20, prefix: str = "2") -> Column:

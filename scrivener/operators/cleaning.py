@@ -56,8 +56,8 @@ def anonymise(df: DataFrame, col: str, rules: Sequence[tuple[str, str, str]] = R
 
 
 def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """Of rows with equal key the first; rows with an empty key go."""
-    keyed = df.withColumn("_key", key).where("_key != ''")
+    """Of rows with equal key the first; rows with an empty key go.  A key is grouped by its 128-bit hash, so texts go once a row."""
+    keyed = df.withColumn("_key", F.when(key != "", F.unhex(F.md5(key)))).where("_key is not null")
     return keyed.groupBy("_key").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
@@ -68,7 +68,8 @@ def clean_precedents(texts: DataFrame, min_chars: int = 120, max_chars: int = 15
     are cut at sentences; repeated texts go, the first stays.
     """
     lean = t.strip(F.array_join(t.dedupe_lines(t.lines(t.drop_heading_echo(t.tidy(F.col("text")))), 30), "\n"))
-    normal = texts.select("seq", lean.alias("text"))
+    # through a generator the filter on length isn't pushed, which would work all of this out twice
+    normal = texts.select("seq", F.explode(F.array(lean)).alias("text"))
     long = normal.where(F.length("text") >= min_chars)
     cut = anonymise(long, "text").withColumn("text", t.truncate_at_sentence(F.col("text"), max_chars))
     filled = cut.where(t.strip(F.col("text")) != "")

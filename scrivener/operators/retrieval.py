@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import predicates as p
 from scrivener.functions import text as t
+from scrivener.operators.tables import written
 
 K1, B = 1.5, 0.75
 #: Hits fetched for each one that diversification may keep.
@@ -60,7 +61,8 @@ def bm25_scores(docs: DataFrame, body: Column, query: Sequence[str] | str, seq:
     names = sorted(asked)
     words = t.tokens(body)
     row = docs.select(F.col(seq).alias("seq"), F.explode(F.array(words)).alias("w"))
-    counted = row.select("seq", F.size("w").cast("long").alias("dl"), *[_times("w", n).alias(f"tf_{i}") for i, n in enumerate(names)])
+    # a table of a few numbers a row, so that the texts are read and split once for statistics and scores
+    counted = written(row.select("seq", F.size("w").cast("long").alias("dl"), *[_times("w", n).alias(f"tf_{i}") for i, n in enumerate(names)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(names))])
     scored = counted.where(F.greatest(F.lit(0), *[F.col(f"tf_{i}") for i in range(len(names))]) > 0).crossJoin(F.broadcast(stats))
     norm = k1 * (1 - b + b * F.when(F.col("dl") == 0, 1).otherwise(F.col("dl")) / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
@@ -267,14 +269,17 @@ def similar_pairs(docs: DataFrame, body: Column, k: int = SHINGLE, least: float
     copies don't multiply; members of a class come as pairs with its first.
     """
     grams = docs.select(F.col(seq).alias("seq"), F.explode(F.array_distinct(F.transform(t.shingles(body, k), lambda s: F.xxhash64(s)))).alias("g"))
-    often = grams.groupBy("g").agg(F.count("*").alias("df"))
+    # tables: what several joins read is worked out once, and Spark's skew join can divide a frequent shingle
+    often = written(grams.groupBy("g").agg(F.count("*").alias("df")))
     sets = grams.join(often, "g").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"]).alias("s"))
     # a set is known by its size and 128 bits of it
     keyed = sets.select("seq", "s", F.struct(F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i")).alias("key"))
+    keyed = written(keyed)
     classes = keyed.groupBy("key").agg(F.min("seq").alias("rep"))
     named = keyed.select("seq", "key").join(classes, "key")
     members = named.where("seq > rep").select(F.col("rep").alias("a"), F.col("seq").alias("b"), F.lit(1.0).alias("similarity"))
     reps = keyed.join(classes.select(F.col("rep").alias("seq")), "seq", "left_semi").select("seq", "s", F.col("key.n").alias("n"))
+    reps = written(reps)
     prefix = reps.select("seq", "n", F.posexplode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("p", "g"))
     left, right = prefix.select(F.col("seq").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), "g"), prefix.select(F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), "g")
     fit = (F.col("na") * least <= F.col("nb")) & (F.col("nb") * least <= F.col("na"))
