@@ -49,7 +49,8 @@ def _seen_before(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame
     met = materialize(rows.join(found, "hash").select("doc", "part", "idx", "hash", (place != F.col("keep")).alias("later")))
     lists = materialize(met.groupBy("doc", "part").agg(F.collect_set(F.when(F.col("later"), F.col("idx"))).alias("gone"), F.collect_set("idx").alias("met")))
     discard(found)
-    told = df.select("doc", "part", "lines").join(lists.select("doc", "part", "met"), ["doc", "part"]).select("lines", F.explode("met").alias("i")).select(F.get("lines", F.col("i")).alias("a"), F.get("lines", F.col("i") + 1).alias("b"))
+    # one plan at every size: a broadcast of short lists would only hold for small corpora
+    told = df.select("doc", "part", "lines").join(lists.select("doc", "part", "met").hint("merge"), ["doc", "part"]).select("lines", F.explode("met").alias("i")).select(F.get("lines", F.col("i")).alias("a"), F.get("lines", F.col("i") + 1).alias("b"))
     told = told.select(F.xxhash64(digest(F.col("a")), digest(F.col("b"))).alias("hash"), F.concat_ws("\n", "a", "b").alias("both"))
     mixed = materialize(told.groupBy("hash").agg((F.min("both") != F.max("both")).alias("mixed")).where("mixed").select("hash"))
     if mixed.isEmpty():
@@ -79,7 +80,6 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     not read; long texts take part in whole.
     """
     df = _lines(docs, id_col, text_col, carry)
-    # one plan at every size: a broadcast of short lists would only hold for small corpora
     out = df.join(_seen_before(df, digest).hint("merge"), ["doc", "part"], "left")
     n = F.size("lines")
     both = F.array_union("gone", F.transform("gone", lambda i: i + 1))
