@@ -151,7 +151,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("part"), "text")
     facts = materialize(text.select("doc", "part", "text").mapInArrow(_facts(window), "doc long, part long, n long, one long, two long, grams array<long>"))
 
-    least = facts.where(F.col("n") >= window).groupBy("n", "one", "two").agg(F.min("doc").alias("least"))
+    # written, so that Spark may divide the copies of one text
+    least = materialize(facts.where(F.col("n") >= window).groupBy("n", "one", "two").agg(F.min("doc").alias("least")))
     copies = facts.select("doc", "part", "n", "one", "two").join(least, ["n", "one", "two"]).where("doc > least")
     whole = materialize(copies.select("doc", "part").distinct())
 
@@ -160,7 +161,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialize(grams.groupBy("gram").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").select("gram"))
     live = grams.select("doc", "part", "gram").join(shared, "gram").groupBy("doc", "part").agg(F.collect_set("gram").alias("grams"))
     live = materialize(live.join(whole, ["doc", "part"], "left_anti"))
-    discard(facts, shared)
+    discard(facts, shared, least)
 
     sides = text.select("doc_id", "doc", "part", "text")
     probes = materialize(sides.join(live, ["doc", "part"]).select("doc", "part", "text", "grams").mapInArrow(_probes(window, block), "hash long, doc long, part long, at int, own boolean"))
