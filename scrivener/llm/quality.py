@@ -140,7 +140,8 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, buckets: int = B
     score = log_weight(ratios)
     scores = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text").cast("string")).alias("weight"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else [])))
     sample = F.broadcast(sampled_labels(labels, limit).where("held_out"))
-    cut = best_cut(scores.join(sample, F.col("doc_id") == F.col("_id")).select("weight", "good"))
+    # one row an id, however many rows share one, so that as many come to the driver as labels were sampled
+    cut = best_cut(scores.join(sample, F.col("doc_id") == F.col("_id")).groupBy("_id", "good").agg(F.avg("weight").alias("weight")))
     keyed = scores.withColumn("key", gumbel_key(F.col("weight"), F.col("doc_id"), seed))
     least = None if cut is None else kth_largest(keyed.select("key"), scores.where(F.col("weight") > cut).count())
     kept = F.lit(True) if cut is None else F.lit(False) if least is None else F.col("key") >= least
