@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scrivener.functions import prompts, validate
 from scrivener.functions import text as t
 from scrivener.operators import cleaning, generate, joins, retrieval, segment, stats
-from scrivener.sources import readers, writers
+from scrivener.sources import files, readers, writers
 
 #: Per section: what retrieves, documents at most, length limits of the cleaner, and words of snippets.
 _PLANS: dict[str, tuple] = {
@@ -93,6 +93,14 @@ def heal_folder(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]
     return healed, segment.heal_report(healed).unionByName(broken)
 
 
+def write_healed(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Heal the DOCX files of a folder into those of a new one, under their own names, and give the report."""
+    healed, report = heal_folder(spark, source)
+    stem = F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), r"\.docx$", "")
+    files.write_files(files.docx_files(healed.withColumn("doc_id", stem)), target)
+    return report
+
+
 def type_titles(spark: SparkSession, source: str, title_map_path: str) -> tuple[DataFrame, DataFrame]:
     """segments (contract_id, order, section_title, section_id, text, source, confidence) and a report.
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,7 +21,7 @@ from scrivener.functions import validate
 from scrivener.operators import cleaning, joins, retrieval, search, segment, stats
 from scrivener.plans import pipelines
 from scrivener.plans import sql as q
-from scrivener.sources import readers, writers
+from scrivener.sources import files, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -455,13 +457,17 @@ def heal_headings(spark, sf_dir):
     return segment.heal_report(segment.heal_blocks(blocks))
 
 
-@query("heal_paragraphs", q.HEALED_PAIRS)
-def heal_paragraphs(spark, sf_dir):
-    """Paragraphs of two lines each, so that a heading may have its body under it in the same one."""
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in paragraphs of two lines each, so that a heading may have its body under it in the same one."""
     lines = F.col("lines")
     pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")), lambda i: F.array_join(F.slice(lines, i * 2 + 1, F.lit(2)), "\n"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(t.lines(F.col("text")))).alias("lines")).where(F.size("lines") > 0)
-    healed = segment.heal_blocks(rows.select("doc_id", F.posexplode(pairs).alias("pos", "line")).withColumn("style", F.lit("Normal")))
+    return rows.select("doc_id", F.posexplode(pairs).alias("pos", "line")).withColumn("style", F.lit("Normal"))
+
+
+@query("heal_paragraphs", q.HEALED_PAIRS)
+def heal_paragraphs(spark, sf_dir):
+    healed = segment.heal_blocks(paragraphs(spark, sf_dir))
     texts = healed.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub", "line"))), lambda x: x["line"]), "\n")).alias("healed_md5"))
     return segment.heal_report(healed).join(texts, "doc_id")
 
@@ -739,6 +745,64 @@ def generate_in_rounds(spark, sf_dir):
     return made.select("id", F.md5("text").alias("text_md5"), "code", "attempts")
 
 
+# ---- files: written from a table, read back
+
+def scratch(spark: SparkSession) -> str:
+    """A folder's name that is not taken, where executors and driver both write."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+@query("docx_round_trip", f"""
+with {q.LINES_OF}, n as (select doc_id, line, row_number() over (partition by doc_id order by pos) - 1 as i from l),
+p as (select doc_id, i // 2 as k, string_agg(line, chr(10) order by i) as text from n group by doc_id, i // 2)
+select doc_id, count(*) as blocks, md5(string_agg(text, '|' order by k)) as text_md5 from p group by doc_id""")
+def docx_round_trip(spark, sf_dir):
+    """Documents as DOCX files of paragraphs of two lines, read back."""
+    folder = scratch(spark)
+    files.write_files(files.docx_files(paragraphs(spark, sf_dir)), folder)
+    blocks = readers.read_docx(spark, folder).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "|")
+    return blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.md5(listed).alias("text_md5"))
+
+
+@query("healed_docx", q.HEALED_PAIRS)
+def healed_docx(spark, sf_dir):
+    """The same files healed into others: what the report says and what the healed files hold."""
+    source, target = scratch(spark), scratch(spark)
+    files.write_files(files.docx_files(paragraphs(spark, sf_dir)), source)
+    report = pipelines.write_healed(spark, source, target)
+    number = F.regexp_extract(F.col("path"), r"(\d+)\.docx$", 1).cast("long").alias("doc_id")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    texts = readers.read_docx(spark, target).select(number, "pos", "line").groupBy("doc_id").agg(F.md5(listed).alias("healed_md5"))
+    return report.withColumn("doc_id", F.regexp_extract("doc_id", r"(\d+)\.docx$", 1).cast("long")).join(texts, "doc_id")
+
+
+@query("json_files_round_trip", "select conv_id as contract_id, md5(string_agg(role || ':' || text, '|' order by turn)) as text_md5, cast(count(*) as bigint) as sections from conversations group by conv_id")
+def json_files_round_trip(spark, sf_dir):
+    """Each conversation as a JSON file of its own, read back as a contract."""
+    folder = scratch(spark)
+    item = F.struct("turn", F.struct(F.col("role").alias("title"), "text").alias("i"))
+    nested = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("contract_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"]).alias("sections"))
+    writers.write_json_files(nested, folder)
+    read = readers.read_json_contracts(spark, folder).where("status = 'ok'")
+    flat = F.array_join(F.transform("sections", lambda s: F.concat(s["title"], F.lit(":"), s["text"])), "|")
+    return read.select(F.regexp_extract("path", r"(\d+)\.json$", 1).cast("long").alias("contract_id"), F.md5(flat).alias("text_md5"), F.size("sections").cast("long").alias("sections"))
+
+
+@query("segmented_lines", """
+select case when conv_id % 3 = 0 then 'doc_' || (2 * n - 1) else cast(conv_id as varchar) end as contract_id, turns from (select conv_id, count(*) as turns, row_number() over (partition by conv_id % 8 order by conv_id) as n from conversations group by conv_id) where conv_id % 7 <> 3""")
+def segmented_lines(spark, sf_dir):
+    """Conversations as JSON lines in eight files, a blank line after each, some broken, some without an id but their line's number."""
+    folder, c = scratch(spark), F.col("conv_id")
+    item = F.struct(F.col("role").alias("section_id"), F.lit("").alias("section_group"), F.lit("").alias("title"), F.lit("en").alias("language"), "text")
+    nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]).alias("sections"))
+    line = F.when(c % 7 == 3, F.concat(F.lit('{"contract_id": "'), c.cast("string"))).otherwise(F.to_json(F.struct(F.when(c % 3 != 0, c.cast("string")).alias("contract_id"), "sections")))
+    dealt = nested.withColumn("file", c % 8).repartition(8, "file").sortWithinPartitions("file", "conv_id")
+    dealt.select("file", F.explode(F.array(line, F.lit(""))).alias("value")).write.partitionBy("file").text(folder)
+    return readers.read_segmented(spark, folder).select("contract_id", F.size("sections").cast("long").alias("turns"))
+
+
 # ---- JSON
 
 @query("json_structure_probe", """

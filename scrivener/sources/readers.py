@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as t
@@ -121,14 +121,26 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("seq", F.monotonically_increasing_id())
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n, value): the physical lines of text files, numbered from 1 in each, blank ones included.
+
+    A file may be read in several splits.  A line's number is its place in its split, after all lines of the file's
+    splits before; lines are counted by split, so no text is shuffled.
+    """
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("path", "start").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(splits.withColumn("before", before), ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("n"), "value")
+
+
 def read_segmented(spark: SparkSession, path: str) -> DataFrame:
     """Contracts of JSON lines, tolerantly: (contract_id, sections); lines that are broken or hold no list are skipped.
 
     A contract without id gets doc_<line>, the physical line from 1.
     """
     section = "struct<section_id:string,section_group:string,title:string,language:string,text:string>"
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0])).toDF("n long, value string")
-    v = lines.where(t.strip(F.col("value")) != "").withColumn("v", F.try_parse_json("value"))
+    v = numbered_lines(spark, path).where(t.strip(F.col("value")) != "").withColumn("v", F.try_parse_json("value"))
     got = v.select("n", F.try_variant_get("v", "$.contract_id", "string").alias("id"), F.try_variant_get("v", "$.sections", f"array<{section}>").alias("sections"))
     return got.where("sections is not null").select(F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("doc_"), F.col("n"))).alias("contract_id"), "sections")
 
@@ -165,11 +177,12 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", required: list[str]
 def read_unquoted_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """All columns as text; quotes are characters like others; lines with too many fields go, missing fields are empty.
 
-    Blank lines go, and so does each line that is the header again.
+    Blank lines go.  The first other line of each file is its header; a line like it further down is data.
     """
     names = spark.read.csv(path, header=True, sep=sep, quote="").columns
-    line = F.ltrim(F.col("value"), F.lit("\ufeff"))
-    fields = spark.read.text(path).where((F.trim("value") != "") & (line != sep.join(names).lstrip("\ufeff"))).select(F.split("value", f"\\Q{sep}\\E", -1).alias("f"))
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    head = lines.groupBy("path").agg(F.min("n").alias("head"))
+    fields = lines.join(head, "path").where("n > head").select(F.split("value", f"\\Q{sep}\\E", -1).alias("f"))
     return fields.where(F.size("f") <= len(names)).select(*[F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(c.lstrip("\ufeff")) for i, c in enumerate(names)])
 
 
