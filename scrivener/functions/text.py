@@ -108,32 +108,62 @@ def drop_placeholders(c: Column) -> Column:
     return F.regexp_replace(filled(c), r"\[[^\]]{1,120}\]", "")
 
 
-def _may_repeat(t: str, least: int, most: int) -> bool:
-    """Whether ``least`` characters come again at a distance that a run of copies can have; cheap, never wrongly false."""
-    codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    gap = max((len(m) for m in re.findall(r"\s+", t)), default=0)
-    h = np.zeros(len(codes) - least + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(least):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(h)]
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    return bool(np.any(same & (np.diff(order) <= most + gap)))
+#: Gaps of white space up to this length are compared as such; before longer ones every place is tried.
+_GAP = 64
+
+
+def _repeat_starts(text: str, least: int, most: int) -> np.ndarray:
+    """Places where a run of copies of ``least`` to ``most`` characters, with white space between, may begin, ascending.
+
+    None is left out, and few are more.  Copies at a distance d agree over a stretch in which each character is that
+    d places on, so for each distance the long stretches are found, in one pass over the text.
+    """
+    n = len(text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.zeros(n + 1, np.int64)  # how many blanks end right before a place
+    found = np.zeros(n, bool)
+    gap = 0
+    for m in re.finditer(r"\s+", text):
+        size = m.end() - m.start()
+        space[m.start() + 1 : m.end() + 1] = np.arange(1, size + 1)
+        gap = max(gap, min(size, _GAP))
+        if size > _GAP:
+            found[max(0, m.start() - most) : m.start()] = True
+    for d in range(least, min(most + gap, n - 1) + 1):
+        breaks = np.flatnonzero(codes[d:] != codes[: n - d])
+        edges = np.concatenate([[-1], breaks, [n - d]])
+        for k in np.flatnonzero(np.diff(edges) > least).tolist():
+            start, end = int(edges[k]) + 1, int(edges[k + 1])
+            at = np.arange(start, end - least + 1)
+            blanks = np.minimum(np.minimum(space[at + d], _GAP), d - least)
+            found[at] |= (end - at >= d - blanks) & (d - blanks <= most)
+    return np.flatnonzero(found)
 
 
 def squash_repeats(least: int = 30, most: int = 220):
     """Function of a text column: a run of copies of ``least`` to ``most`` characters, with white space between,
-    becomes one, until nothing changes.  A backreference to a fixed point: Python, batch by batch."""
+    becomes one, until nothing changes.  SQL has no backreferences: Python, batch by batch.
+
+    The pattern is tried only where a run may begin, so a pass takes time in proportion to the text.
+    """
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         again = re.compile(rf"(.{{{least},{most}}})(?:\s*\1)+", re.DOTALL)
 
+        def once(t: str) -> str:
+            parts, end = [], 0
+            for at in _repeat_starts(t, least, most).tolist():
+                if at >= end and (m := again.match(t, at)):
+                    parts += [t[end:at], m[1]]
+                    end = m.end()
+            return "".join([*parts, t[end:]]) if parts else t
+
         def squash(t: str | None) -> str:
             t = t or ""
             before = None
-            while len(t) >= 2 * least and t != before and _may_repeat(t, least, most):
-                before, t = t, again.sub(r"\1", t)
+            while len(t) >= 2 * least and t != before:
+                before, t = t, once(t)
             return t
 
         return texts.map(squash)

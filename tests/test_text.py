@@ -177,3 +177,20 @@ def test_diverse_top_k_against_a_plain_loop(spark):
             chosen.append((rank, doc, s))
     df = spark.createDataFrame(hits, "rank int, doc_id string, candidate string")
     assert sorted((r.rank, r.doc_id, r.candidate) for r in retrieval.diverse_top_k(df, 5).collect()) == chosen
+
+
+def test_squash_takes_time_in_proportion(spark):
+    """A million characters each: nearly periodic, of one character, without repeats, and with a very long gap."""
+    import random
+    import time
+
+    rng = random.Random(7)
+    period = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    near = "".join(period[:149] + chr(0x4E00 + i) for i in range(6_700))
+    own = "".join(rng.choice("abcdefghijklmnop ") for _ in range(1_000_000))
+    head = "".join(rng.choice("abcdef") for _ in range(60))
+    texts = [near, "a" * 1_000_000, own, head + " " * 900_000 + head]
+    began = time.time()
+    got = apply(spark, t.squash_repeats(35, 220), texts)
+    assert got[0] == near and len(got[1]) < 100 and got[2] == own and got[3] == head
+    assert time.time() - began < 240
