@@ -179,7 +179,9 @@ def diverse_many(spark, sf_dir):
     """Of each user's hits three, masked, of different sources, none like another."""
     docs = table(spark, sf_dir, "documents")
     hits = search.search(search.build_index(docs, F.col("text"), "doc_id"), asked(spark, sf_dir), 24)
-    masked = docs.join(hits.select(F.col("seq").alias("doc_id"), "q", "rank"), "doc_id").select("q", "rank", F.col("source").alias("doc_id"), retrieval.mask_form_values(F.col("text"), FORM).alias("candidate"))
+    # a document is masked once, however many users it answers
+    masked = docs.select("doc_id", "source", retrieval.mask_form_values(F.col("text"), FORM).alias("candidate"))
+    masked = masked.join(hits.select(F.col("seq").alias("doc_id"), "q", "rank"), "doc_id").select("q", "rank", F.col("source").alias("doc_id"), "candidate")
     return retrieval.diverse_top_k(masked, 3, by=["q"]).select("q", "rank", F.col("doc_id").alias("source"), F.md5("candidate").alias("candidate_md5"))
 
 
