@@ -110,7 +110,7 @@ def test_form(spark):
     bad["payment"].update(payment_term_days=9999, bank_charges="me", extra=1)
     bad["liability"].update(exceptions_to_cap=["fraud", "fraud", "x"], claim_notice_days="soon")
     del bad["delivery"]["delivery_place"], bad["currency"]
-    assert pipelines.check_form(spark, bad) == sorted([("$", "required currency"), ("$.delivery", "required delivery_place"), ("$.liability.claim_notice_days", "type"), ("$.liability.exceptions_to_cap", "enum"), ("$.liability.exceptions_to_cap", "uniqueItems"), ("$.payment", "additionalProperties"), ("$.payment.bank_charges", "enum"), ("$.payment.payment_term_days", "maximum")])
+    assert pipelines.check_form(spark, bad) == sorted([("$", "required currency"), ("$.delivery", "required delivery_place"), ("$.liability.claim_notice_days", "type"), ("$.liability.exceptions_to_cap", "uniqueItems"), ("$.liability.exceptions_to_cap[2]", "enum"), ("$.payment", "additionalProperties"), ("$.payment.bank_charges", "enum"), ("$.payment.payment_term_days", "maximum")])
     assert [r.rule for r in validate.form_issues(spark.createDataFrame([(1, "{"), (2, "[]")], "i int, f string"), "i", "f").collect()] == ["json", "type"]
 
 
