@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ SAMPLES, BITS = 256, 512
 WORDS = BITS // 64
 #: How many standard deviations of its estimate a pair may lie under the similarity before it is left out.
 DEVIATIONS = 4.5
-#: Buckets over this size are first compared with a few of their members, so that a group of copies is one soon.
-BUCKET, STARS = 8, 2
+#: Sets in buckets over this size are first compared with one of them, so that a group of copies is one soon.
+BUCKET = 8
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _NO_GRAMS = np.empty(0, np.uint64)
 
@@ -71,6 +72,26 @@ def most_differing(percent: int) -> int:
     return math.floor(mean + DEVIATIONS * math.sqrt(parity + drawn))
 
 
+@dataclass(frozen=True)
+class Method:
+    """How sets meet and how they are judged before they are compared in whole."""
+
+    #: The numbers that tables are keyed by, and a sketch of BITS bits as WORDS numbers, of a set of hashes.
+    of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+    #: An array with a key for each table, from the column of those numbers.
+    keys: Callable[[Column], Column]
+    #: Bits in which sketches of a pair with a similarity in percent differ at most.
+    most: Callable[[int], int]
+
+
+def _least(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    least = samples(grams)
+    return bands(least), odd_sketch(least)
+
+
+MINHASH = Method(_least, lambda b: b, most_differing)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NO_GRAMS, *arrays]).view(np.int64)))
@@ -92,16 +113,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("part"), text.alias("text"))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, method: Method = MINHASH) -> DataFrame:
     """(doc_id, part, node, n, bands, s0, s1, ...) of every row: the text's MD5, 128 bits that stand for its set of
     shingles, the set's size, and the set's bands and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = [_set(x.as_py(), width) for x in b.column(2).cast(pa.binary())]
-            least = [samples(g) for g in grams]
-            sketches = np.array([odd_sketch(x) for x in least], np.uint64).reshape(len(least), WORDS)
-            found = _lists([bands(x) if len(g) else _NO_GRAMS for x, g in zip(least, grams)])
+            made = [method.of(g) for g in grams]
+            sketches = np.array([x for _, x in made], np.uint64).reshape(len(made), WORDS)
+            found = _lists([x if len(g) else _NO_GRAMS for (x, _), g in zip(made, grams)])
             sizes = pa.array(np.array([len(g) for g in grams], np.int64))
             columns = [b.column(0), b.column(1), pa.array([_node(g) for g in grams], pa.binary()), sizes, found]
             columns += [pa.array(np.ascontiguousarray(sketches[:, i]).view(np.int64)) for i in range(WORDS)]
@@ -125,66 +146,84 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
     return texts.mapInArrow(run, "node binary, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams"))
 
 
-def _fits(percent: int, first: str, second: str) -> Column:
+def _fits(percent: int, method: Method, first: str, second: str) -> Column:
     """Whether sizes and sketches of two sets (columns with these endings) allow for the similarity."""
     differing = " + ".join(f"bit_count({s}{first} ^ {s}{second})" for s in SKETCH)
-    return F.expr(f"100 * least(n{first}, n{second}) >= {percent} * greatest(n{first}, n{second}) and {differing} <= {most_differing(percent)}")
+    return F.expr(f"100 * least(n{first}, n{second}) >= {percent} * greatest(n{first}, n{second}) and {differing} <= {method.most(percent)}")
 
 
-def _changed_alike(reach: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _changed_alike(reach: DataFrame, sets: DataFrame, percent: int, method: Method) -> DataFrame:
     """Pairs (node, node2) of different roots that are near a common pivot and may have the similarity; loses none.
 
-    ``reach``: (pivot, node, n, root, main, sketch).  Let d be the shingles in which a set differs from the pivot's.  Two sets of n and
-    n2 shingles with the similarity differ in t = (n + n2) * (100 - percent) / (100 + percent) at most, so their d and d2
-    differences share (d + d2 - t) / 2 or more; that is over 0, or both would be linked with the pivot.  With differences in
-    order from rare to frequent, two sets share one at places up to (d - d2 + t) / 2 and (d2 - d + t) / 2: of the set with
-    fewer differences only the first t / 2 count, of the other t.  Copies that each have changes of their own share none.
+    ``reach``: (pivot, node, n, root, out, sketch); of sets that are not ``out`` all have the same root.  Let d be the shingles in
+    which a set differs from the pivot's.  Two sets of n and n2 shingles with the similarity differ in
+    t = (n + n2) * (100 - percent) / (100 + percent) at most, so their d and d2 differences share (d + d2 - t) / 2 or more;
+    that is over 0, or both would be linked with the pivot.  With differences in order from rare to frequent, two sets share
+    one at places up to (d - d2 + t) / 2 and (d2 - d + t) / 2: of the set with fewer differences only the first t / 2 count, of
+    the other t.  Copies that each have changes of their own share none.
     """
     whole = [sets.select(F.col("node").alias(a), F.col("grams").alias(b)) for a, b in (("pivot", "y"), ("node", "x"))]
-    both = reach.select("pivot", "node").join(whole[1], "node").join(whole[0], "pivot")
-    apart = materialize(both.select("pivot", "node", F.explode(F.array(F.concat(F.array_except("x", "y"), F.array_except("y", "x")))).alias("apart")).select("pivot", "node", F.size("apart").alias("d"), "apart"))
-    each = apart.select("pivot", "node", "d", F.explode("apart").alias("g"))
-    often = materialize(each.groupBy("pivot", "g").agg(F.count("*").alias("f")).where("f > 1"))
-    shared = each.join(often, ["pivot", "g"])
-    # the differences that no other set has come first
+    both = reach.select("pivot", "node", "out").join(whole[1], "node").join(whole[0], "pivot")
+    apart = materialize(both.select("pivot", "node", "out", F.explode(F.array(F.concat(F.array_except("x", "y"), F.array_except("y", "x")))).alias("apart")).select("pivot", "node", "out", F.size("apart").alias("d"), "apart"))
+    each = apart.select("pivot", "node", "out", "d", F.explode("apart").alias("g"))
+    # a difference that no other set has, or none that is out, makes no pair
+    often = materialize(each.groupBy("pivot", "g").agg(F.count("*").alias("f"), F.max("out").alias("any")).where("f > 1 and any").drop("any"))
+    shared = each.drop("out").join(often, ["pivot", "g"])
+    # those come first
     own = Window.partitionBy("pivot", "node")
     placed = shared.withColumn("at", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "g")) - 1).select("pivot", "node", "d", "g", "at")
     # of sets in the similarity the larger has 100 / percent times the shingles of the other at most
     most = f"(n + n * 100 / {percent}) * {100 - percent} / {100 + percent}"
-    placed = materialize(placed.join(reach.select("pivot", "node", "n", "root", "main", *SKETCH), ["pivot", "node"]).where(f"at <= {most}"))
-    names = ["node", "n", "root", "main", "d", "at", *SKETCH]
+    placed = materialize(placed.join(reach.select("pivot", "node", "n", "root", "out", *SKETCH), ["pivot", "node"]).where(f"at <= {most}"))
+    names = ["node", "n", "root", "out", "d", "at", *SKETCH]
     fewer = placed.where(f"2 * at <= {most}")
     more = placed.select("pivot", "g", *[F.col(c).alias(f"{c}2") for c in names])
     t = f"(n + n2) * {100 - percent} / {100 + percent}"
     meet = f"root != root2 and (d < d2 or d = d2 and node < node2) and 2 * at <= d - d2 + {t} and 2 * at2 <= d2 - d + {t}"
-    found = [
-        fewer.where("root != main").join(more, ["pivot", "g"]),
-        fewer.where("root = main").join(more.where("root2 != main2"), ["pivot", "g"]),
-    ]
-    out = materialize(found[0].union(found[1]).where(meet).where(_fits(percent, "", "2")).select("node", "node2"))
+    found = [fewer.where("out").join(more, ["pivot", "g"]), fewer.where("not out").join(more.where("out2"), ["pivot", "g"])]
+    out = materialize(found[0].union(found[1]).where(meet).where(_fits(percent, method, "", "2")).select("node", "node2").distinct())
     discard(apart, often, placed)
     return out
 
 
-def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _family(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """(lead, pivot) of each lead in ``edges`` (lead, weight, node): the lead with the most weight that it meets, which that
+    one meets in turn, and so on.  Leads with a common pivot have their sets compared at once, and not once a bucket."""
+    leads = edges.select(F.col("lead").alias("node"), F.lit(True).alias("leads")).distinct()
+    up = materialize(edges.join(leads, "node").groupBy(F.col("node").alias("lead")).agg(F.max_by("lead", F.struct("weight", "lead")).alias("pivot")))
+    for _ in range(rounds):
+        # weights rise on the way, so it ends; where it is longer than these doublings, more pivots stay
+        past, up = up, materialize(up.join(up.select(F.col("lead").alias("pivot"), F.col("pivot").alias("next")), "pivot").select("lead", F.col("next").alias("pivot")))
+        discard(past)
+    return up
+
+
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, method: Method = MINHASH) -> DataFrame:
     """Pairs (a, b) of nodes with the similarity, enough of them to connect all that such pairs connect.
 
     ``nodes`` has a row for each set: node, n, bands, sketch, and the doc_id and part of a row with that set, from which
-    ``sets_of`` makes (node, grams).  In a bucket of over BUCKET sets, STARS times one set is compared with all that
-    are not in its group yet: first the one that meets most others, which copies with changes have in their midst, then one
-    from outside the largest group.  What is left outside meets the others where changes agree (``_changed_alike``); in
-    smaller buckets it meets all.  Pairs pass by sizes and sketches inside the joins, so few rows leave them, and then by
-    their whole sets.
+    ``sets_of`` makes (node, grams).  In a bucket of up to BUCKET sets each meets all.  In others they are compared with the one
+    that meets most others, which copies with changes have in their midst, and what is in different groups then meets where
+    changes agree (``_changed_alike``).  Pairs pass by sizes and sketches inside the joins, so few rows leave them, and then
+    by their whole sets, which are made for these only.
     """
-    entries = nodes.select("node", F.posexplode("bands").alias("t", "k"))
+    entries = nodes.select("node", F.posexplode(method.keys(F.col("bands"))).alias("t", "k"))
     # tables, so that Spark's skew join can divide a bucket that very many share
     shared = materialize(entries.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1"))
     met = materialize(entries.join(shared, ["t", "k"]))
-    weight = met.groupBy("node").agg(F.sum("m").alias("weight"))
-    wanted = materialize(nodes.drop("bands").join(weight, "node"))
-    held = materialize(met.join(wanted.drop("doc_id", "part"), "node"))
-    sets = materialize(sets_of(wanted))
-    discard(shared, met, wanted)
+    info = materialize(nodes.select("node", "n", *SKETCH).join(met.groupBy("node").agg(F.sum("m").alias("weight")), "node"))
+    held = materialize(met.join(info, "node"))
+    discard(shared, met)
+    few, crowded = held.where(F.col("m") <= BUCKET), held.where(F.col("m") > BUCKET)
+    both = ["node", "n", *SKETCH]
+    other = few.select("t", "k", *[F.col(c).alias(f"{c}2") for c in both])
+    near = materialize(few.join(other, ["t", "k"]).where("node < node2").where(_fits(percent, method, "", "2")).select("node", "node2").distinct())
+    lead = materialize(crowded.groupBy("t", "k").agg(F.max_by(F.struct(*both, "weight"), F.struct("weight", "node")).alias("f")).select("t", "k", "f.weight", *[F.col(f"f.{c}").alias(f"{c}2") for c in both]))
+    edges = materialize(crowded.drop("weight").join(lead, ["t", "k"]).select(F.col("node2").alias("lead"), "weight", "node", _fits(percent, method, "", "2").alias("fits")).distinct())
+    discard(held, lead)
+    wanted = materialize(near.select("node").union(near.select("node2")).union(edges.select("node")).distinct())
+    sets = materialize(sets_of(nodes.select("node", "doc_id", "part").join(wanted, "node")))
+    discard(wanted)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
@@ -194,47 +233,28 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
         discard(pairs)
         return out
 
-    def ranked(e: DataFrame) -> DataFrame:
-        """Entries with the root of the largest group of their bucket."""
-        most = e.groupBy("t", "k", "root").agg(F.count("*").alias("c")).groupBy("t", "k").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-        return materialize(e.join(materialize(most), ["t", "k"]))
-
-    both = ["node", "n", "root", *SKETCH]
-    entries = held.withColumn("root", F.col("node"))
-    made = roots = pivots = None
-    for turn in range(STARS):
-        crowded = entries.where(F.col("m") > BUCKET)
-        crowded = ranked(crowded) if turn else materialize(crowded)
-        from_ = crowded.where("root != main") if turn else crowded
-        if from_.isEmpty():
-            discard(crowded)
-            break
-        chosen = from_.groupBy("t", "k").agg(F.max_by(F.struct(*both), F.struct("weight", "node")).alias("f")).select("t", "k", *[F.col(f"f.{c}").alias(f"{c}2") for c in both])
-        if not turn:
-            chosen = pivots = materialize(chosen)
-        new = confirmed(crowded.join(chosen, ["t", "k"]).where("root != root2").where(_fits(percent, "", "2")))
-        past, roots = roots, connected_components(new if made is None else made.union(new))
-        # a star of each group says as much as its links, is smaller and settles sooner
-        made = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        entries = held.join(roots, "node", "left").select(*held.columns, F.coalesce("root", "node").alias("root"))
-        discard(crowded, new, *([] if past is None else [past]))
-    every = ranked(entries)
-    small = every.where(F.col("m") <= BUCKET)
-    other = small.select("t", "k", *[F.col(c).alias(f"{c}2") for c in both])
-    outside = small.where("root != main").select("t", "k", "main", *both)
-    pairs = outside.join(other, ["t", "k"]).where("root != root2 and (root2 = main or node < node2)").where(_fits(percent, "", "2")).select("node", "node2")
-    if pivots is not None:
-        crowded = every.where(F.col("m") > BUCKET).join(pivots.select("t", "k", F.col("node2").alias("pivot")), ["t", "k"])
-        # outside in one bucket is outside; a set may be near several pivots
-        reach = crowded.groupBy("pivot", "node").agg(F.max(F.col("root") != F.col("main")).alias("out"), F.first(F.struct("n", "root", *SKETCH)).alias("f")).select("pivot", "node", "f.*", "out")
-        reach = materialize(reach.withColumn("main", F.when(~F.col("out"), F.col("root")).otherwise(F.lit(b""))))
-        pairs = pairs.union(_changed_alike(reach, sets, percent))
-    rest = confirmed(pairs)
-    discard(held, every, sets)
-    return rest if made is None else made.union(rest)
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
+    if edges.isEmpty():
+        found = confirmed(near)
+        discard(edges, near, info, sets)
+        return found
+    first = confirmed(edges.where("fits and lead != node").select("node", F.col("lead").alias("node2")))
+    roots = connected_components(first)
+    # a star of each group says as much as its links, is smaller and settles sooner
+    made = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    rooted = materialize(info.drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    family = _family(edges)
+    members = materialize(edges.select("lead", "node").join(family, "lead").select("pivot", "node").distinct())
+    reach = materialize(members.join(rooted, "node"))
+    most = reach.groupBy("pivot", "root").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    reach = materialize(reach.join(materialize(most), "pivot").withColumn("out", F.col("root") != F.col("main")).drop("main", "roots"))
+    pairs = near.union(_changed_alike(reach, sets, percent, method))
+    root = [rooted.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("node", "root"), ("node2", "root2"))]
+    rest = confirmed(pairs.join(root[0], "node").join(root[1], "node2").where("root != root2"))
+    discard(edges, near, info, sets, first, rooted, family, members, reach)
+    return made.union(rest)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, method: Method = MINHASH) -> DataFrame:
     """One row per row of ``docs``: doc_id, part (the text's MD5), n (its number of different shingles), root.
 
     Rows whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more are linked, and rows that links
@@ -243,12 +263,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     give none, other columns, whatever their names, are not read, and long texts are hashed block by block, in whole.
     """
     small_batches(docs.sparkSession)
-    found = materialize(signatures(docs, id_col, text_col, width))
+    found = materialize(signatures(docs, id_col, text_col, width, method))
     # the least row of a set stands for it: one of its texts is read again if the set is compared
     place = F.struct("doc_id", "part")
     same = ["n", "bands", *SKETCH]
     nodes = materialize(found.where("n > 0").groupBy("node").agg(F.min(place).alias("p"), F.first(F.struct(*same)).alias("f")).select("node", "p.doc_id", "p.part", "f.*"))
-    roots = connected_components(links(nodes, lambda wanted: _sets(docs, wanted, id_col, text_col, width), percent)).withColumnRenamed("node", "node_")
+    roots = connected_components(links(nodes, lambda wanted: _sets(docs, wanted, id_col, text_col, width), percent, method)).withColumnRenamed("node", "node_")
     out = materialize(found.join(roots, F.col("node") == F.col("node_"), "left").select("doc_id", "part", "n", F.coalesce("root", "node").alias("root")))
     discard(found, nodes, roots)
     return out
