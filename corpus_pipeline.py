@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import bpe, line_chunks, minhash, mixing, quality
+from scrivener.llm import bpe, line_chunks, mixing, quality, wide_simhash
 from scrivener.llm.common import discard, materialize, small_batches, table
 from scrivener.llm.queries import RANKS
 
@@ -39,13 +39,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents one stays: that with the smallest doc_id, then text hash; null ids come last.
 
     Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  At 0.8 about
-    ten of a SimHash's 64 bits differ, too many for masks, so candidates meet by least shingles and odd sketches instead.
+    ten of a SimHash's 64 bits differ, too many for masks, so the SimHash has 4,096 votes: candidates meet by the strongest of
+    them, pass by differing bits, and are confirmed on their whole sets.
     Texts without words, null ones among them, form one group.  Rows that share doc_id and text count as one document, of
     which one stays; they are put together before the shuffle.  No rows give none.  Columns of any name are carried along;
     long texts are compared in whole.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "part")
-    keep = materialize(minhash.groups(docs, width=5).groupBy("root").agg(F.min(place).alias("k")).select("k.*").distinct())
+    keep = materialize(wide_simhash.groups(docs, width=5).groupBy("root").agg(F.min(place).alias("k")).select("k.*").distinct())
     keys = ["no_id", "id", "part"]
     part = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("part")
     each = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), part, F.struct(*docs.columns).alias("row"))
