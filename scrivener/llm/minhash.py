@@ -24,6 +24,8 @@ WORDS = BITS // 64
 DEVIATIONS = 4.5
 #: Sets in buckets over this size are first compared with one of them, so that a group of copies is one soon.
 BUCKET = 8
+#: Changes that over one in so many of a pivot's outer sets have are listed for it: fewer than COMMON times a set's changes.
+COMMON = 64
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _NO_GRAMS = np.empty(0, np.uint64)
 
@@ -82,6 +84,9 @@ class Method:
     keys: Callable[[Column], Column]
     #: Bits in which sketches of a pair with a similarity in percent differ at most.
     most: Callable[[int], int]
+    #: How many of the tables come first, to find the families of crowded buckets, and whether there are more.
+    first: int = 1 << 20
+    more: bool = False
 
 
 def _least(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,21 +165,29 @@ def _changed_alike(reach: DataFrame, sets: DataFrame, percent: int, method: Meth
     t = (n + n2) * (100 - percent) / (100 + percent) at most, so their d and d2 differences share (d + d2 - t) / 2 or more;
     that is over 0, or both would be linked with the pivot.  With differences in order from rare to frequent, two sets share
     one at places up to (d - d2 + t) / 2 and (d2 - d + t) / 2: of the set with fewer differences only the first t / 2 count, of
-    the other t.  Copies that each have changes of their own share none.
+    the other t.  Copies that each have changes of their own share none, and those that many have, such as the pivot's own, are
+    mostly past these places: they are cut off as arrays, and no rows are made of them.
     """
     whole = [sets.select(F.col("node").alias(a), F.col("grams").alias(b)) for a, b in (("pivot", "y"), ("node", "x"))]
     both = reach.select("pivot", "node", "out").join(whole[1], "node").join(whole[0], "pivot")
     apart = materialize(both.select("pivot", "node", "out", F.explode(F.array(F.concat(F.array_except("x", "y"), F.array_except("y", "x")))).alias("apart")).select("pivot", "node", "out", F.size("apart").alias("d"), "apart"))
-    each = apart.select("pivot", "node", "out", "d", F.explode("apart").alias("g"))
-    # a difference that no other set has, or none that is out, makes no pair
-    often = materialize(each.groupBy("pivot", "g").agg(F.count("*").alias("f"), F.max("out").alias("any")).where("f > 1 and any").drop("any"))
-    shared = each.drop("out").join(often, ["pivot", "g"])
-    # those come first
-    own = Window.partitionBy("pivot", "node")
-    placed = shared.withColumn("at", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "g")) - 1).select("pivot", "node", "d", "g", "at")
+    # a difference that none that is out has makes no pair, so frequency is counted among those, and what they lack comes first
+    often = materialize(apart.where("out").select("pivot", F.explode("apart").alias("g")).groupBy("pivot", "g").agg(F.count("*").alias("f")))
+    # what many have comes last and is listed: its places are known before rows are made of it; where that is all, no rest is looked at
+    count = apart.where("out").groupBy("pivot").agg(F.count("*").alias("sets"))
+    sorted_ = F.array_sort(F.collect_list(F.when(F.expr(f"{COMMON} * f > sets"), F.struct("f", "g"))))
+    listed = materialize(often.join(count, "pivot").groupBy("pivot").agg(F.transform(sorted_, lambda x: x["g"]).alias("listed"), F.max(F.expr(f"{COMMON} * f <= sets")).alias("more")))
+    parts = apart.join(listed, "pivot").select("pivot", "node", "d", "more", F.array_except("apart", "listed").alias("rare"), F.array_intersect("listed", "apart").alias("common"))
+    parts = materialize(parts.join(reach.select("pivot", "node", "n", "root", "out", *SKETCH), ["pivot", "node"]))
     # of sets in the similarity the larger has 100 / percent times the shingles of the other at most
     most = f"(n + n * 100 / {percent}) * {100 - percent} / {100 + percent}"
-    placed = materialize(placed.join(reach.select("pivot", "node", "n", "root", "out", *SKETCH), ["pivot", "node"]).where(f"at <= {most}"))
+    shared = parts.where("more").select("pivot", "node", (F.col("d") - F.size("common")).alias("last"), F.explode("rare").alias("g")).join(often, ["pivot", "g"])
+    own = Window.partitionBy("pivot", "node")
+    shared = shared.select("pivot", "node", "g", (F.col("last") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "g")) - 1).alias("at"))
+    kept = ["pivot", "node", "n", "root", "out", "d", *SKETCH]
+    early = shared.join(parts.select(*kept), ["pivot", "node"]).where(f"at <= {most}").select(*kept, "g", "at")
+    late = parts.select(*kept, F.size("common").alias("c"), F.posexplode(F.expr(f"slice(common, 1, greatest(0, cast(floor({most}) as int) + 1 - d + size(common)))")).alias("i", "g"))
+    placed = materialize(early.union(late.select(*kept, "g", (F.col("d") - F.col("c") + F.col("i")).alias("at"))))
     names = ["node", "n", "root", "out", "d", "at", *SKETCH]
     fewer = placed.where(f"2 * at <= {most}")
     more = placed.select("pivot", "g", *[F.col(c).alias(f"{c}2") for c in names])
@@ -182,7 +195,7 @@ def _changed_alike(reach: DataFrame, sets: DataFrame, percent: int, method: Meth
     meet = f"root != root2 and (d < d2 or d = d2 and node < node2) and 2 * at <= d - d2 + {t} and 2 * at2 <= d2 - d + {t}"
     found = [fewer.where("out").join(more, ["pivot", "g"]), fewer.where("not out").join(more.where("out2"), ["pivot", "g"])]
     out = materialize(found[0].union(found[1]).where(meet).where(_fits(percent, method, "", "2")).select("node", "node2").distinct())
-    discard(apart, often, placed)
+    discard(apart, often, listed, parts, placed)
     return out
 
 
@@ -198,22 +211,23 @@ def _family(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return up
 
 
-def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, method: Method = MINHASH) -> DataFrame:
-    """Pairs (a, b) of nodes with the similarity, enough of them to connect all that such pairs connect.
+def _met(entries: DataFrame) -> DataFrame:
+    """The rows of ``entries`` (id, family, t, k) whose key others have too, with m, their number, and ``to``, the least family
+    among them, and ``one``, a set that has one.  Of over BUCKET sets one is enough to stand for those of the least family, and sets that
+    are all of one family are left out."""
+    # tables, so that Spark's skew join can divide a bucket that very many share; one plan at every size
+    known = [F.min("family").alias("to"), F.max("family").alias("last"), F.count("family").alias("in"), F.min(F.expr("if(family is null, null, id)")).alias("one")]
+    shared = materialize(entries.groupBy("t", "k").agg(F.count("*").alias("m"), *known).where("m > 1 and (`in` < m or to < last)").drop("last", "in"))
+    other = shared.withColumnsRenamed({"t": "t_", "k": "k_"}).hint("merge")
+    met = materialize(entries.join(other, F.expr(f"t = t_ and k = k_ and (m <= {BUCKET} or family is null or family != to or id = one)")).drop("t_", "k_"))
+    discard(shared)
+    return met
 
-    ``nodes`` has a row for each set: node, n, bands, sketch, and the doc_id and part of a row with that set, from which
-    ``sets_of`` makes (node, grams).  In a bucket of up to BUCKET sets each meets all.  In others they are compared with the one
-    that meets most others, which copies with changes have in their midst, and what is in different groups then meets where
-    changes agree (``_changed_alike``).  Pairs pass by sizes and sketches inside the joins, so few rows leave them, and then
-    by their whole sets, which are made for these only.
-    """
-    entries = nodes.select("node", F.posexplode(method.keys(F.col("bands"))).alias("t", "k"))
-    # tables, so that Spark's skew join can divide a bucket that very many share
-    shared = materialize(entries.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1"))
-    met = materialize(entries.join(shared, ["t", "k"]))
-    info = materialize(nodes.select("node", "n", *SKETCH).join(met.groupBy("node").agg(F.sum("m").alias("weight")), "node"))
-    held = materialize(met.join(info, "node"))
-    discard(shared, met)
+
+def _compared(met: DataFrame, nodes: DataFrame, percent: int, method: Method) -> tuple[DataFrame, DataFrame]:
+    """Of sets that met: pairs (node, node2) that pass, from buckets of up to BUCKET sets, and (lead, weight, node, fits) from others."""
+    info = nodes.select("id", "node", "n", *SKETCH).join(met.groupBy("id").agg(F.sum("m").alias("weight")), "id")
+    held = materialize(met.select("t", "k", "id", "m").join(materialize(info), "id").drop("id"))
     few, crowded = held.where(F.col("m") <= BUCKET), held.where(F.col("m") > BUCKET)
     both = ["node", "n", *SKETCH]
     other = few.select("t", "k", *[F.col(c).alias(f"{c}2") for c in both])
@@ -221,7 +235,65 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     lead = materialize(crowded.groupBy("t", "k").agg(F.max_by(F.struct(*both, "weight"), F.struct("weight", "node")).alias("f")).select("t", "k", "f.weight", *[F.col(f"f.{c}").alias(f"{c}2") for c in both]))
     edges = materialize(crowded.drop("weight").join(lead, ["t", "k"]).select(F.col("node2").alias("lead"), "weight", "node", _fits(percent, method, "", "2").alias("fits")).distinct())
     discard(held, lead)
-    wanted = materialize(near.select("node").union(near.select("node2")).union(edges.select("node")).distinct())
+    return near, edges
+
+
+def _members(edges: DataFrame) -> DataFrame:
+    family = _family(edges)
+    out = materialize(edges.join(family, "lead").select("pivot", "node").distinct())
+    discard(family)
+    return out
+
+
+def _second_round(nodes: DataFrame, members: DataFrame, percent: int, method: Method) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``_compared`` gives of the tables after the first ones, and all members (pivot, node), those of the first round among them.
+
+    All sets of a family are compared with each other (``_changed_alike``), so buckets of these alone have nothing new, and in
+    a crowded bucket one of them stands for all: others in it join its family, and families that meet there are one from then on.
+    """
+    own = members.groupBy("node").agg(F.min("pivot").alias("pivot")).select("node", F.xxhash64("pivot").alias("family"))
+    held = materialize(nodes.select("id", "node", "bands").join(own, "node", "left").drop("node"))
+    met = _met(held.select("id", "family", F.posexplode(F.slice(method.keys(F.col("bands")), method.first + 1, 1 << 20)).alias("t", "k")))
+    near, edges = _compared(met.where(f"m <= {BUCKET} or to is null"), nodes, percent, method)
+    crowded = met.where(f"m > {BUCKET} and to is not null")
+    joined = materialize(crowded.where("family is null").select("id", "to", "one").distinct())
+    led = members.select(F.xxhash64("pivot").alias("to"), "pivot").distinct()
+    more = nodes.select("id", "node").join(joined.select("id", "to").distinct(), "id").join(led, "to").select("pivot", "node")
+    both = ["node", "n", *SKETCH]
+    ones = joined.join(nodes.select("id", *both), "id").join(nodes.select(F.col("id").alias("one"), *[F.col(c).alias(f"{c}2") for c in both]), "one")
+    ones = materialize(ones.where(_fits(percent, method, "", "2")).select("node2", "node", F.lit(True).alias("fits")).distinct())
+    meet = materialize(crowded.where("family != to").select(F.col("family").alias("a"), F.col("to").alias("b")).distinct())
+    every = materialize(members.unionByName(more).unionByName(_members(edges)).distinct())
+    if not meet.isEmpty():
+        roots = connected_components(meet).select(F.col("node").alias("from"), F.col("root").alias("to")).join(led, "to").select("from", F.col("pivot").alias("first"))
+        past, every = every, materialize(every.withColumn("from", F.xxhash64("pivot")).join(materialize(roots), "from", "left").select(F.coalesce("first", "pivot").alias("pivot"), "node").distinct())
+        discard(past)
+    discard(held, met, joined, meet)
+    return near, edges.drop("weight").union(ones), every
+
+
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, method: Method = MINHASH) -> DataFrame:
+    """Pairs (a, b) of nodes with the similarity, enough of them to connect all that such pairs connect.
+
+    ``nodes`` has a row for each set: node, n, bands, sketch, and the doc_id and part of a row with that set, from which
+    ``sets_of`` makes (node, grams).  In a bucket of up to BUCKET sets each meets all.  In others they are compared with the one
+    that meets most others, which copies with changes have in their midst, and what is in different groups then meets where
+    changes agree (``_changed_alike``).  The families found so in the first tables save entries in the others
+    (``_second_round``).  Pairs pass by sizes and sketches inside the joins, so few rows leave them, and then by their whole
+    sets, which are made for these only.
+    """
+    # 64 bits of a node keep entries short; sets that have them in common would only meet more sets
+    short = nodes.withColumn("id", F.xxhash64("node"))
+    firsts = short.select("id", F.lit(None).cast("long").alias("family"), F.posexplode(F.slice(method.keys(F.col("bands")), 1, method.first)).alias("t", "k"))
+    met = _met(firsts)
+    near, edges = _compared(met, short, percent, method)
+    members = _members(edges)
+    if method.more:
+        near2, edges2, members = _second_round(short, members, percent, method)
+        near, edges = materialize(near.union(near2).distinct()), materialize(edges.drop("weight").union(edges2).distinct())
+    discard(met)
+    wanted = materialize(near.select("node").union(near.select("node2")).union(edges.select("node")).union(members.select("node")).distinct())
+    info = materialize(nodes.select("node", "n", *SKETCH).join(wanted, "node"))
     sets = materialize(sets_of(nodes.select("node", "doc_id", "part").join(wanted, "node")))
     discard(wanted)
 
@@ -235,22 +307,23 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
 
     if edges.isEmpty():
         found = confirmed(near)
-        discard(edges, near, info, sets)
+        discard(edges, near, info, sets, members)
         return found
-    first = confirmed(edges.where("fits and lead != node").select("node", F.col("lead").alias("node2")))
+    # with the pivot, too: of two that are alike and share no change from it, each is alike with it
+    pivots = info.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"{c}2") for c in ("n", *SKETCH)])
+    central = members.where("pivot != node").join(info, "node").join(pivots, "pivot").where(_fits(percent, method, "", "2")).select("node", F.col("pivot").alias("node2"))
+    first = confirmed(edges.where("fits and lead != node").select("node", F.col("lead").alias("node2")).union(central))
     roots = connected_components(first)
     # a star of each group says as much as its links, is smaller and settles sooner
     made = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    rooted = materialize(info.drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    family = _family(edges)
-    members = materialize(edges.select("lead", "node").join(family, "lead").select("pivot", "node").distinct())
+    rooted = materialize(info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     reach = materialize(members.join(rooted, "node"))
     most = reach.groupBy("pivot", "root").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     reach = materialize(reach.join(materialize(most), "pivot").withColumn("out", F.col("root") != F.col("main")).drop("main", "roots"))
     pairs = near.union(_changed_alike(reach, sets, percent, method))
     root = [rooted.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("node", "root"), ("node2", "root2"))]
     rest = confirmed(pairs.join(root[0], "node").join(root[1], "node2").where("root != root2"))
-    discard(edges, near, info, sets, first, rooted, family, members, reach)
+    discard(edges, near, info, sets, first, rooted, members, reach)
     return made.union(rest)
 
 

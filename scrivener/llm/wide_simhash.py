@@ -12,9 +12,12 @@ from scrivener.llm import minhash
 from scrivener.llm.common import mix
 
 #: Blocks of votes, and votes in each.  In a block two sets of similarity .8 have the same strongest vote in 4 of 9 cases.
-BLOCKS, VOTES = 64, 64
-#: A table is keyed by the strongest votes of blocks i, i + a and i + b; no two tables share two blocks.
-OFFSETS = ((1, 3), (4, 9))
+BLOCKS, VOTES = 144, 64
+#: A table is keyed by the strongest votes of blocks i, i + a, i + b and i + c, with (a, b) from OFFSETS and c from FOURTH; no
+#: two tables share two blocks.  Keys have 28 bits: with 21, a set in ten met others by chance in each table at 200,000 sets.
+OFFSETS, FOURTH = ((1, 3), (4, 9)), (11, 16)
+#: So many tables are met in first; by the families that they show, the others have fewer rows.
+FIRST = 48
 _STREAMS = mix(np.arange(1, BLOCKS * VOTES // 64 + 1, dtype=np.uint64))
 
 
@@ -43,10 +46,10 @@ def of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def keys(strong: Column) -> Column:
     """A key for each table."""
 
-    def table(a: int, b: int) -> Column:
-        return F.transform(strong, lambda x, i: x + 2 * VOTES * strong[(i + a) % BLOCKS] + (2 * VOTES) ** 2 * strong[(i + b) % BLOCKS])
+    def table(*others: int) -> Column:
+        return F.transform(strong, lambda x, i: sum(((2 * VOTES) ** (n + 1) * strong[(i + at) % BLOCKS] for n, at in enumerate(others)), x))
 
-    return F.flatten(F.array(*[table(a, b) for a, b in OFFSETS]))
+    return F.flatten(F.array(*[table(a, b, c) for (a, b), c in zip(OFFSETS, FOURTH)]))
 
 
 def most_differing(percent: int) -> int:
@@ -59,7 +62,7 @@ def most_differing(percent: int) -> int:
     return math.floor(minhash.BITS * p + minhash.DEVIATIONS * math.sqrt(minhash.BITS * p * (1 - p)))
 
 
-SIMHASH = minhash.Method(of, keys, most_differing)
+SIMHASH = minhash.Method(of, keys, most_differing, first=FIRST, more=True)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -130,3 +131,72 @@ def test_a_family_is_compared_once(spark, monkeypatch):
         data.append((i, " ".join(words)))
     assert got(wide_simhash.groups(documents(spark, data))) == brute(data)
     assert seen[0][1] > 50 and seen[0][0] <= 1.2 * seen[0][1]
+
+
+def test_keys_are_hardly_shared_by_chance_and_alike_sets_share_some(spark):
+    """Of unlike sets a few in a thousand meet in some table: rows that meet by chance grow with the square of the corpus."""
+    rng = np.random.default_rng(6)
+    unlike = [wide_simhash.of(rng.integers(0, 2**63, 60, dtype=np.uint64))[0].tolist() for _ in range(1500)]
+    held = spark.createDataFrame([(x,) for x in unlike], "s array<long>").select(F.posexplode(wide_simhash.keys(F.col("s"))).alias("t", "k"))
+    assert held.groupBy("t", "k").count().where("count > 1").count() <= 15
+    alike = [[x[0].tolist() for x in map(wide_simhash.of, pair(rng, 80, 10, 10))] for _ in range(200)]
+    shared = F.exists(F.zip_with(wide_simhash.keys(F.col("a")), wide_simhash.keys(F.col("b")), lambda x, y: x == y), lambda x: x)
+    assert spark.createDataFrame(alike, "a array<long>, b array<long>").where(~shared).count() <= 2
+
+
+@pytest.mark.parametrize("first", [2, 30, 200])
+def test_rounds_find_the_same_groups(spark, monkeypatch, first):
+    """However many tables come first, families that meet later, sets that join one later and sets in none are compared."""
+    monkeypatch.setattr(minhash, "BUCKET", 3)
+    monkeypatch.setattr(wide_simhash, "SIMHASH", minhash.Method(wide_simhash.of, wide_simhash.keys, wide_simhash.most_differing, first=first, more=True))
+    rng = random.Random(first)
+    data = []
+    for name in "abc":
+        base = [f"{name}{i}" for i in range(150)]
+        for i in range(40):
+            words = list(base)
+            for at in rng.sample(range(150), rng.randrange(1, 12)):
+                words[at] = f"x{i % 5}.{at}" if rng.random() < 0.5 else f"y{i}.{at}"
+            data.append((len(data), " ".join(words)))
+    assert got(wide_simhash.groups(documents(spark, data))) == brute(data)
+
+
+def rows_joined(spark, on):
+    """Rows that inner joins on these columns have made in this session."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, total = store.executionsList(), 0
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        nodes, counts = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            if "Join" in node.name() and re.sub(r"#\d+L?", "", node.desc()).split(" ", 1)[1].startswith(f"[{on}], [{on}], Inner"):
+                for n in range(node.metrics().size()):
+                    metric = node.metrics().apply(n)
+                    if metric.name() == "number of output rows" and counts.contains(metric.accumulatorId()):
+                        total += int(counts.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_changes_that_many_share_make_few_rows(spark):
+    """A pivot with changes of its own, from which all others differ in the same shingles."""
+    rng = random.Random(3)
+    base, data = [f"b{i}" for i in range(150)], []
+    for i in range(150):
+        words = list(base)
+        for at in range(0, 150, 15) if i == 0 else rng.sample(range(150), 1 + i % 3):
+            words[at] = f"y{i}.{at}"
+        data.append((i, " ".join(words)))
+    found = minhash.signatures(documents(spark, data), width=5, method=wide_simhash.SIMHASH)
+    pivot = found.where("doc_id = 0").select(F.col("node").alias("pivot"))
+    reach = found.crossJoin(pivot).withColumn("out", F.col("doc_id") % 50 == 1).withColumn("root", F.when(F.col("out"), F.col("node")).otherwise(F.col("pivot")))
+    sets = minhash._sets(documents(spark, data), found, "doc_id", "text", 5)
+    before = rows_joined(spark, "pivot, g")
+    pairs = {(bytes(r.node), bytes(r.node2)) for r in minhash._changed_alike(reach, sets, 80, wide_simhash.SIMHASH).collect()}
+    made = rows_joined(spark, "pivot, g") - before
+    names = {bytes(r.node): r.doc_id for r in found.select("node", "doc_id").collect()}
+    want = [shingles(t) for _, t in data]
+    need = {(a, b) for a, b in combinations(range(1, 150), 2) if (a % 50 == 1 or b % 50 == 1) and 100 * len(want[a] & want[b]) >= 80 * len(want[a] | want[b])}
+    alone = {i for i in range(1, 150) if 100 * len(want[i] & want[0]) >= 80 * len(want[i] | want[0])}
+    assert {x for x in need if not set(x) <= alone} <= {tuple(sorted((names[a], names[b]))) for a, b in pairs}
+    assert need and made <= 5000
