@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -19,6 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from scrivener.functions import text as t
 
 
+#: How often an aborted job tries to delete its folder while tasks still write into it.
+ABORTS = 50
+
+
 def _place(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return fs.FileSystem.from_uri(path) if re.match(r"^\w+:/", path) else (fs.LocalFileSystem(), path)
@@ -32,15 +37,17 @@ class _Written(WriterCommitMessage):
 class _FileWriter(DataSourceWriter):
     """Tasks write into a folder beside the target, which takes the target's place in one step once all are done.
 
-    A task that runs again writes the same names with the same bytes, so nothing is left of a lost attempt.
+    A task that runs again writes the same names with the same bytes, so nothing is left of a lost attempt.  Tasks don't make
+    the folder: one that still runs when the job is aborted finds none and can't bring it back.
     """
 
     def __init__(self, path: str):
         self.path, self.staging = path.rstrip("/"), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        there, folder = _place(self.staging)
+        there.create_dir(folder, recursive=True)
 
     def write(self, rows: Iterator[Row]) -> _Written:
         there, folder = _place(self.staging)
-        there.create_dir(folder, recursive=True)
         n = 0
         for row in rows:
             with there.open_output_stream(f"{folder}/{row.name}") as out:
@@ -56,8 +63,15 @@ class _FileWriter(DataSourceWriter):
 
     def abort(self, messages: list[_Written | None]) -> None:
         there, folder = _place(self.staging)
-        if there.get_file_info(folder).type == fs.FileType.Directory:
-            there.delete_dir(folder)
+        for attempt in range(ABORTS):
+            if there.get_file_info(folder).type != fs.FileType.Directory:
+                return
+            try:
+                there.delete_dir(folder)
+            except OSError:  # a task that still runs has written into it meanwhile
+                if attempt == ABORTS - 1:
+                    raise
+                time.sleep(0.1)
 
 
 class NamedFiles(DataSource):

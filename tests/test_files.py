@@ -3,6 +3,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scrivener.operators import segment
@@ -32,6 +33,14 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
+    writer = files._FileWriter(f"{tmp_path}/out")
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([Row(name="late", content=b"x")]))
+    assert os.listdir(tmp_path) == []
+
+
 def test_docx_there_and_back(spark, tmp_path):
     rows = [("one", 0, "1. Title\nbody of it that is not short", "Normal"), ("one", 1, "a <b> & \x07 c", None), ("one", 2, "", "Heading 1"), ("two", 0, " kept blanks  ", "Heading 1")]
     files.write_files(files.docx_files(spark.createDataFrame(rows, "doc_id string, pos int, line string, style string")), f"{tmp_path}/in")
