@@ -39,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents one stays: that with the smallest doc_id, then text hash; null ids come last.
 
     Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  At 0.8 about
-    ten of a SimHash's 64 bits differ, too many for masks, so the SimHash has 4,096 votes: candidates meet by the strongest of
+    ten of a SimHash's 64 bits differ, too many for masks, so the SimHash has 9,216 votes: candidates meet by the strongest of
     them, pass by differing bits, and are confirmed on their whole sets.
     Texts without words, null ones among them, form one group.  Rows that share doc_id and text count as one document, of
     which one stays; they are put together before the shuffle.  No rows give none.  Columns of any name are carried along;
