@@ -24,7 +24,7 @@ from scrivener.functions import text as t
 ABORTS = 50
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
+def place(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return fs.FileSystem.from_uri(path) if re.match(r"^\w+:/", path) else (fs.LocalFileSystem(), path)
 
@@ -43,11 +43,11 @@ class _FileWriter(DataSourceWriter):
 
     def __init__(self, path: str):
         self.path, self.staging = path.rstrip("/"), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-        there, folder = _place(self.staging)
+        there, folder = place(self.staging)
         there.create_dir(folder, recursive=True)
 
     def write(self, rows: Iterator[Row]) -> _Written:
-        there, folder = _place(self.staging)
+        there, folder = place(self.staging)
         n = 0
         for row in rows:
             with there.open_output_stream(f"{folder}/{row.name}") as out:
@@ -56,13 +56,13 @@ class _FileWriter(DataSourceWriter):
         return _Written(n)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        there, folder = _place(self.staging)
-        _, target = _place(self.path)
+        there, folder = place(self.staging)
+        _, target = place(self.path)
         there.create_dir(folder, recursive=True)  # also if there was no row
         there.move(folder, target)
 
     def abort(self, messages: list[_Written | None]) -> None:
-        there, folder = _place(self.staging)
+        there, folder = place(self.staging)
         for attempt in range(ABORTS):
             if there.get_file_info(folder).type != fs.FileType.Directory:
                 return
@@ -103,7 +103,7 @@ def write_files(df: DataFrame, path: str) -> None:
 
     The folder may be anywhere that executors and driver both reach by one path or URI.
     """
-    there, target = _place(path)
+    there, target = place(path)
     if there.get_file_info(target).type != fs.FileType.NotFound:
         raise FileExistsError(path)
     df.sparkSession.dataSource.register(NamedFiles)

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import io
+import itertools
+import os
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as t
+from scrivener.operators.tables import written
+from scrivener.sources.files import place
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BLOCKS = "path string, pos int, kind string, line string, style string, bold_ratio double, error string"
@@ -54,21 +60,97 @@ def docx_blocks(content: bytes) -> list[tuple[str, str, str, float]]:
         return list(_walk(body, "p", styles))
 
 
+#: Files that one task reads, at most about.
+FILES = 2_000
+
+
+def _own_folder(path: str) -> bool:
+    """Whether tasks can list and open the files of a folder themselves; what else Spark reads goes through its reader."""
+    if re.search(r"[*?\[\]{}\\]", path):
+        return False
+    try:
+        there, folder = place(path)
+        return there.get_file_info(folder).type == fs.FileType.Directory
+    except Exception:  # a store that only Spark knows
+        return False
+
+
+def _names(path: str, suffix: str) -> Iterator[str]:
+    """The files of a folder and of those in it, as Spark lists them: names that begin with a dot or underscore are hidden."""
+    there, folder = place(path)
+    local, waiting = isinstance(there, fs.LocalFileSystem), [folder]
+    root = "file:" if local else path.rstrip("/")[: -len(folder.rstrip("/"))]
+    hidden = lambda name: name.startswith(".") or name.startswith("_") and "=" not in name
+    while waiting:
+        at = waiting.pop()
+        if local:  # one name after another, however many there are
+            with os.scandir(at) as found:
+                each = ((x.name, f"{at.rstrip('/')}/{x.name}", x.is_dir()) for x in found)
+                for name, full, is_dir in each:
+                    if not hidden(name):
+                        if is_dir:
+                            waiting.append(full)
+                        elif name.endswith(suffix):
+                            yield root + full
+        else:
+            for x in there.get_file_info(fs.FileSelector(at)):
+                if not hidden(x.base_name):
+                    if x.type == fs.FileType.Directory:
+                        waiting.append(x.path)
+                    elif x.base_name.endswith(suffix):
+                        yield root + x.path
+
+
+def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(path) of a folder's files, dealt over tasks; a task lists them, so the driver holds none however many they are."""
+    path = path if re.match(r"^\w+:/", path) else os.path.abspath(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            names = _names(path, suffix)
+            while part := list(itertools.islice(names, 10_000)):
+                yield pd.DataFrame({"path": part})
+
+    listed = written(spark.range(0, 1, 1, 1).mapInPandas(run, "path string"))
+    n, tasks = listed.count(), 4 * spark.sparkContext.defaultParallelism
+    return listed.repartition(max(-(-n // FILES), min(tasks, -(-n // 16)), 1), "path")
+
+
 def read_docx(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Blocks of all DOCX files of a folder: path, pos, kind (p, or t in tables), line, style, bold_ratio, error.
 
     Word's lock files (~$...) are left out.  A file that can't be read gives one row with its error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    own = recursive and _own_folder(path)
+    if own:
+        files = _files(spark, path, ".docx").withColumn("content", F.lit(None).cast("binary"))
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", str(recursive).lower()).load(path)
+
+    def content_of(file: str, content: bytes | None) -> bytes:
+        if not own:
+            return content
+        if file.startswith("file:/"):
+            with open(file[5:], "rb") as f:
+                return f.read()
+        there, name = place(file)
+        with there.open_input_file(name) as f:
+            return f.read()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, rows = [c.split()[0] for c in BLOCKS.split(", ")], []
         for b in batches:
             for file, content in zip(b.path, b.content):
+                content = content_of(file, content)
                 try:
-                    found = [(file, i, k, x, s, r, None) for i, (k, x, s, r) in enumerate(docx_blocks(content))]
+                    rows += [(file, i, k, x, s, r, None) for i, (k, x, s, r) in enumerate(docx_blocks(content))]
                 except Exception as e:  # any broken file is reported, not raised
-                    found = [(file, 0, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(found, columns=[c.split()[0] for c in BLOCKS.split(", ")])
+                    rows.append((file, 0, None, None, None, None, f"{type(e).__name__}: {e}"))
+                if len(rows) >= 2_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.where(~F.element_at(F.split("path", "/"), -1).startswith("~$")).select("path", "content").mapInPandas(run, BLOCKS)
 

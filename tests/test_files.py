@@ -85,3 +85,19 @@ def test_lines_of_files_in_several_splits(spark, tmp_path):
     for name in ("a.txt", "b.txt"):
         assert [r.value for r in sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.n)] == lines
         assert sorted(r.n for r in rows if r.path.endswith(name)) == list(range(1, 2_001))
+
+
+def test_folders_are_listed_by_a_task_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    """A file for each name; hidden files and folders, lock files and other kinds are left out; the driver lists nothing."""
+    one = files.docx_bytes([("text", None)])
+    for name in ("a.docx", "sub/b c.docx", "sub/deep/%20d.docx", ".h.docx", "_h.docx", "_x=1/e.docx", "_h/f.docx", ".h/g.docx", "~$a.docx", "a.txt", "bad.docx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"no zip" if name == "bad.docx" else one)
+    listed = {r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path").collect()}
+    monkeypatch.setattr(type(spark.read), "load", None)
+    got = readers.read_docx(spark, str(tmp_path)).collect()
+    assert {r.path for r in got} == {x for x in listed if "~$" not in x} and len(got) == 5
+    assert [r.path.rsplit("/", 1)[-1] for r in got if r.error] == ["bad.docx"]
+    assert len(readers.read_docx(spark, f"file://{tmp_path}").collect()) == 5
+    report, healed = pipelines.heal_folder(spark, str(tmp_path))[::-1]
+    assert sorted(r.status[:5] for r in report.collect()) == ["error", *["no_ca"] * 4] and "error" not in healed.columns
