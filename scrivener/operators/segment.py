@@ -109,20 +109,22 @@ def heal_blocks(blocks: DataFrame, longest: int = 160) -> DataFrame:
     becomes two blocks.  A whole paragraph that is a heading of at most ``longest`` characters gets the form and
     style of one.
     """
-    parts = t.lines(F.col("line"))
-    first, rest = F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "\n")
-    splits = (F.size(parts) >= 2) & F.col("line").contains("\n") & p.heading_level(first).isNotNull() & ~((F.length(rest) < 20) & p.heading_level(rest).isNotNull())
-    level = p.heading_level(t.canonical_heading(F.col("line")))
-    canonical = t.canonical_heading(F.col("line"))
-    headed = level.isNotNull() & (F.length(canonical) <= longest)
+    carried = ["doc_id", "pos", *(c for c in ("error",) if c in blocks.columns)]
+    # each form of a line and each level is a column of its own, worked out once
+    b = blocks.select(*carried, "line", "style", t.lines(F.col("line")).alias("_parts"), t.canonical_heading(F.col("line")).alias("_canonical"))
+    b = b.withColumn("_first", F.get("_parts", F.lit(0))).withColumn("_rest", F.array_join(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), "\n"))
+    several, filled = (F.size("_parts") >= 2) & F.col("line").contains("\n"), F.size("_parts") > 0
+    b = b.withColumn("_upper", F.when(several, p.heading_level(F.col("_first"))))
+    b = b.withColumn("_splits", F.when(F.col("_upper").isNotNull(), ~((F.length("_rest") < 20) & p.heading_level(F.col("_rest")).isNotNull())).otherwise(False))
+    b = b.withColumn("_level", F.when(filled & ~F.col("_splits") & (F.length("_canonical") <= longest), p.heading_level(F.col("_canonical"))))
+    canonical, level = F.col("_canonical"), F.col("_level")
     was_styled = F.coalesce(F.col("style").startswith("Heading"), F.lit(False))
     row = lambda sub, line, style, changed, set_, split: F.struct(F.lit(sub).alias("sub"), line.alias("line"), style.alias("style"), changed.alias("changed"), F.lit(set_).alias("heading_set"), F.lit(split).alias("split"))
     name = lambda n: F.concat(F.lit("Heading "), n.cast("string"))
-    two = F.array(row(0, t.canonical_heading(first), name(F.coalesce(p.heading_level(first), F.lit(1))), F.lit(True), True, True), row(1, t.unify_dashes(rest), F.col("style"), F.lit(False), False, False))
+    two = F.array(row(0, t.canonical_heading(F.col("_first")), name(F.coalesce("_upper", F.lit(1))), F.lit(True), True, True), row(1, t.unify_dashes(F.col("_rest")), F.col("style"), F.lit(False), False, False))
     whole = F.array(row(0, canonical, F.when(was_styled, F.col("style")).otherwise(name(level)), (F.col("line") != canonical) | ~was_styled, True, False))
     same = F.array(row(0, F.col("line"), F.col("style"), F.lit(False), False, False))
-    chosen = F.when(t.strip(t.filled(F.col("line"))) == "", same).when(splits, two).when(headed, whole).otherwise(same)
-    return blocks.select("doc_id", "pos", F.explode(chosen).alias("x")).select("doc_id", "pos", "x.*")
+    return b.select(*carried, F.explode(F.when(F.col("_splits"), two).when(level.isNotNull(), whole).otherwise(same)).alias("x")).select(*carried, "x.*")
 
 
 def heal_report(healed: DataFrame) -> DataFrame:

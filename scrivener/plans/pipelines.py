@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scrivener.functions import prompts, validate
 from scrivener.functions import text as t
 from scrivener.operators import cleaning, generate, joins, retrieval, segment, stats
+from scrivener.operators.tables import written
 from scrivener.sources import files, readers, writers
 
 #: Per section: what retrieves, documents at most, length limits of the cleaner, and words of snippets.
@@ -87,9 +88,10 @@ def split_folder(spark: SparkSession, source: str) -> DataFrame:
 
 def heal_folder(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
     """Healed blocks and a report of the DOCX files of a folder; files that can't be read are reported as errors."""
-    blocks = readers.read_docx(spark, source)
-    healed = segment.heal_blocks(blocks.where("error is null").select(F.col("path").alias("doc_id"), "pos", "line", "style"))
-    broken = blocks.where("error is not null").select(F.col("path").alias("doc_id"), F.concat(F.lit("error: "), "error").alias("status"), F.lit(False).alias("changed"), F.lit(0).cast("long").alias("headings_set"), F.lit(0).cast("long").alias("splits_done"))
+    # a table, so that files are read and healed once for the blocks, the report and the errors
+    every = written(segment.heal_blocks(readers.read_docx(spark, source).select(F.col("path").alias("doc_id"), "pos", "line", "style", "error")))
+    healed = every.where("error is null").drop("error")
+    broken = every.where("error is not null").select("doc_id", F.concat(F.lit("error: "), "error").alias("status"), F.lit(False).alias("changed"), F.lit(0).cast("long").alias("headings_set"), F.lit(0).cast("long").alias("splits_done"))
     return healed, segment.heal_report(healed).unionByName(broken)
 
 

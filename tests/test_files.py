@@ -101,3 +101,10 @@ def test_folders_are_listed_by_a_task_as_spark_lists_them(spark, tmp_path, monke
     assert len(readers.read_docx(spark, f"file://{tmp_path}").collect()) == 5
     report, healed = pipelines.heal_folder(spark, str(tmp_path))[::-1]
     assert sorted(r.status[:5] for r in report.collect()) == ["error", *["no_ca"] * 4] and "error" not in healed.columns
+
+
+def test_files_are_read_once_for_report_and_blocks(spark, tmp_path):
+    files.write_files(files.docx_files(spark.createDataFrame([("one", 0, "1. Title\nbody of it that is not short", None)], "doc_id string, pos int, line string, style string")), f"{tmp_path}/in")
+    healed, report = pipelines.heal_folder(spark, f"{tmp_path}/in")
+    os.remove(f"{tmp_path}/in/one.docx")
+    assert report.first().splits_done == 1 and [r.line for r in healed.orderBy("sub").collect()] == ["1. Title", "body of it that is not short"]
