@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as t
+from scrivener.operators.tables import spread, written
 
 #: Number words, and what each rule puts in place of what, in order.
 NUMBER_WORDS = "одного|один|двух|два|трех|трёх|три|четырех|четырёх|четыре|пяти|пять|шести|шесть|семи|семь|восьми|восемь|девяти|девять|десяти|десять|тридцати|тридцать|сорока|сорок"
@@ -69,13 +70,14 @@ def clean_precedents(texts: DataFrame, min_chars: int = 120, max_chars: int = 15
     """
     lean = t.strip(F.array_join(t.dedupe_lines(t.lines(t.drop_heading_echo(t.tidy(F.col("text")))), 30), "\n"))
     # through a generator the filter on length isn't pushed, which would work all of this out twice
-    normal = texts.select("seq", F.explode(F.array(lean)).alias("text"))
+    normal = spread(texts, "seq").select("seq", F.explode(F.array(lean)).alias("text"))
     long = normal.where(F.length("text") >= min_chars)
-    cut = anonymise(long, "text").withColumn("text", t.truncate_at_sentence(F.col("text"), max_chars))
+    # a table: texts are cleaned once for the result and all counts of the report
+    cut = written(anonymise(long, "text").withColumn("text", t.truncate_at_sentence(F.col("text"), max_chars)))
     filled = cut.where(t.strip(F.col("text")) != "")
     unique = keep_first(filled, t.fold_case(F.col("text")), ["seq"]).select("seq", "text", "replacements")
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    report = count(texts, "input_count").crossJoin(count(unique, "output_count")).crossJoin(count(long, "long")).crossJoin(cut.agg(F.coalesce(F.sum("replacements"), F.lit(0)).alias("total_replacements")))
+    report = count(texts, "input_count").crossJoin(count(unique, "output_count")).crossJoin(cut.agg(F.count("*").alias("long"), F.coalesce(F.sum("replacements"), F.lit(0)).alias("total_replacements")))
     return unique, report.select("input_count", "output_count", (F.col("input_count") - F.col("long")).alias("dropped_empty"), (F.col("long") - F.col("output_count")).alias("dropped_duplicates"), "total_replacements")
 
 
