@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import predicates as p
 from scrivener.functions import text as t
+from scrivener.operators.tables import spread, written
 
 
 def fill_titles(segments: DataFrame, titles: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def title_candidates(title: Column) -> Column:
 
 
 #: Known titles and asked ones that are compared in one task, at most.
-KNOWN_BLOCK, ASKED_BLOCK = 2_000, 4_000
+KNOWN_BLOCK, ASKED_BLOCK = 2_000, 2_000
 
 
 def _letter_counts(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
@@ -54,11 +56,86 @@ def _letter_counts(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
     return out
 
 
+#: Known titles that are first compared with a form, those with the highest bounds; pairs that are compared at once.
+FIRST, PAIRS = 6, 512
+
+
+_SHIFT = np.uint16(8)
+
+
+def _matched(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """For each pair of texts (rows of codes, padded with zeros) the characters that SequenceMatcher matches, without junk.
+
+    The longest common run, of equal ones the first in ``a``, then in ``b``; then the same to its left and to its right.  All runs
+    of a level are found together, of all pairs.  Texts have at most 255 characters.
+    """
+    total = np.zeros(len(a), np.int64)
+    row, a_from, a_to, b_from, b_to = np.arange(len(a)), np.zeros(len(a), np.int64), a_sizes.astype(np.int64), np.zeros(len(a), np.int64), b_sizes.astype(np.int64)
+    while len(row):
+        high, wide = int((a_to - a_from).max()), int((b_to - b_from).max())
+        at_a, at_b = a_from + np.arange(high)[:, None], b_from + np.arange(wide)[:, None]
+        # places beyond a part's end equal nothing
+        x = np.where(at_a < a_to, a[row, np.minimum(at_a, a.shape[1] - 1)], a.dtype.type(0))
+        y = np.where(at_b < b_to, b[row, np.minimum(at_b, b.shape[1] - 1)], b.dtype.type(1))
+        place = (255 - np.arange(wide, dtype=np.uint16))[:, None]
+        run, best, ends = np.zeros((wide + 1, len(row)), np.uint16), np.zeros(len(row), np.uint16), np.zeros(len(row), np.int64)
+        for i in range(high):
+            # how long the run that ends at each place is; the greatest, and of equal ones the first place
+            run[1:] = (run[:-1] + 1) * (y == x[i])
+            top = (run[1:] << _SHIFT | place).max(0)
+            better = top | 255 > best | 255
+            best, ends = np.where(better, top, best), np.where(better, i, ends)
+        size = (best >> 8).astype(np.int64)
+        np.add.at(total, row, size)
+        i, j = a_from + ends + 1 - size, b_from + 255 - (best & 255) + 1 - size
+        parts = [(row, a_from, i, b_from, j), (row, i + size, a_to, j + size, b_to)]
+        keep = [(size > 0) & (p[2] > p[1]) & (p[4] > p[3]) for p in parts]
+        row, a_from, a_to, b_from, b_to = (np.concatenate([p[k][fit] for p, fit in zip(parts, keep)]) for k in range(5))
+    return total
+
+
+def _codes(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Rows of numbers of characters, from 2 on, so that 0 and 1 are free."""
+    found, numbers = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    out = np.zeros((len(texts), int(sizes.max())), np.uint8 if len(found) < 250 else np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = numbers + 2
+    return out
+
+
+def _ratios(forms: list[str], texts: list[str]) -> np.ndarray:
+    """SequenceMatcher's ratio of each pair.  From 200 characters on it leaves out frequent ones: those pairs are its own."""
+    out = np.zeros(len(forms))
+    sizes = np.array([(len(x), len(y)) for x, y in zip(forms, texts)], np.int64).reshape(-1, 2)
+    short = sizes.max(1, initial=0) < 200
+    for i in np.flatnonzero(~short):
+        out[i] = SequenceMatcher(None, forms[i], texts[i]).ratio()
+    at = np.flatnonzero(short & (sizes.min(1, initial=200) > 0))
+    at = at[np.argsort(sizes[at, 0], kind="stable")]  # texts of like lengths together
+    for i in range(0, len(at), PAIRS):
+        part = at[i : i + PAIRS]
+        n, m = sizes[part, 0], sizes[part, 1]
+        codes = _codes([forms[k] for k in part] + [texts[k] for k in part], np.concatenate([n, m]))
+        common = _matched(codes[: len(part)], n, codes[len(part) :], m)
+        out[part] = 2.0 * common / (n + m)
+    return out
+
+
+def _in_order(masks: dict[str, np.ndarray], sizes: np.ndarray, form: str) -> np.ndarray:
+    """Lengths of the longest common subsequences with known titles of at most 64 characters, whose places are bits."""
+    left = np.full(len(sizes), ~np.uint64(0))
+    for c in form:
+        mask = masks.get(c)
+        if mask is not None:
+            used = left & mask
+            left = (left + used) | (left - used)
+    return np.bitwise_count(~left).astype(np.int64)
+
+
 def _most_similar(longest: float):
     """Of a block of asked forms, the most similar known title of a block: first the ones with the highest bound.
 
-    The Ratcliff-Obershelp ratio is at most twice the letters in common over both lengths, so known titles are
-    tried in order of that bound until it falls below the best ratio found.
+    The Ratcliff-Obershelp ratio is at most twice the letters in common, and twice the longest common subsequence, over both
+    lengths.  The known titles with the highest bounds give each form a ratio; those whose bound reaches it are compared, too.
     """
 
     def run(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -66,31 +143,42 @@ def _most_similar(longest: float):
         texts, ids, ords = known["known"].tolist(), known["known_id"].tolist(), known["ord"].tolist()
         alphabet = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
         letters, sizes = _letter_counts(texts, alphabet), np.array([len(x) for x in texts])
-        matchers = [SequenceMatcher(None, "", x) for x in texts]
+        narrow = sizes <= 64
+        masks = {c: np.zeros(len(texts), np.uint64) for c in alphabet}
+        for i in np.flatnonzero(narrow):
+            for j, c in enumerate(texts[i]):
+                masks[c][i] |= np.uint64(1 << j)
         firsts = np.array([x[:1] for x in texts])
-        found = []
-        for form, near in zip(asked["key"], asked["near"]):
+        forms, reach = asked["key"].tolist(), []
+        for form, near in zip(forms, asked["near"]):
             fit = (sizes >= int(len(form) * 0.6)) & (sizes <= int(len(form) * longest))
             if near:
                 fit &= firsts == form[:1]
             at = np.flatnonzero(fit)
             if not len(at):
+                reach.append((at, np.zeros(0)))
                 continue
             mine = _letter_counts([form], alphabet)[0]
             used = np.flatnonzero(mine)
-            bound = 2.0 * np.minimum(letters[np.ix_(at, used)], mine[used]).sum(1) / (sizes[at] + len(form))
-            best, score = None, 0.0
-            for i in np.argsort(-bound, kind="stable"):
-                if bound[i] + 1e-9 < score or bound[i] == 0:
-                    break
-                matcher = matchers[at[i]]
-                matcher.set_seq1(form)
-                ratio = matcher.ratio()
-                if ratio > score or (ratio == score and best is not None and at[i] < best):
-                    best, score = at[i], ratio
-            if best is not None:
-                found.append((form, ids[best], score, ords[best]))
-        return pd.DataFrame(found, columns=["key", "known_id", "score", "ord"])
+            common = np.minimum(letters[np.ix_(at, used)], mine[used]).sum(1)
+            if narrow[at].any():
+                common = np.where(narrow[at], np.minimum(common, _in_order(masks, sizes, form)[at]), common)
+            bound = 2.0 * common / (sizes[at] + len(form))
+            order = np.argsort(-bound, kind="stable")
+            order = order[bound[order] > 0]
+            reach.append((at[order], bound[order]))
+        best = {}  # of a form's place: (ratio, - place of the known title)
+
+        def compare(pairs: list[tuple[int, int]]) -> None:
+            for (f, k), ratio in zip(pairs, _ratios([forms[f] for f, _ in pairs], [texts[k] for _, k in pairs]).tolist()):
+                if ratio > 0:
+                    best[f] = max(best.get(f, (0.0, 0)), (ratio, -k))
+
+        compare([(f, int(k)) for f, (at, _) in enumerate(reach) for k in at[:FIRST]])
+        rest = ((f, int(k)) for f, (at, bound) in enumerate(reach) for k in at[FIRST : np.searchsorted(-bound, -(best.get(f, (0.0, 0))[0] - 1e-9), side="right")])
+        while part := list(itertools.islice(rest, 8 * PAIRS)):
+            compare(part)
+        return pd.DataFrame([(forms[f], ids[-k], score, ords[-k]) for f, (score, k) in best.items()], columns=["key", "known_id", "score", "ord"])
 
     return run
 
@@ -121,9 +209,11 @@ def _best_of_blocks(rest: DataFrame, held: DataFrame, longest: float, few: int)
         forms = rest.withColumn("letter", F.substring("key", 1, 1)).join(near, ["n", "letter"], "left").select("key", "n", F.coalesce("near", F.lit(False)).alias("near"))
     sent = forms.join(reach, "n").withColumn("deal", F.pmod(F.xxhash64("key"), F.col("deals")).cast("int")).select("key", "near", "band", "deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     deals = sent.groupBy(F.col("band").alias("b"), F.col("part").alias("p"), F.col("deal").alias("d")).agg(F.count("*").alias("_"))
-    spread = known.join(deals, (F.col("band") == F.col("b")) & (F.col("part") == F.col("p"))).select("known", "known_id", "ord", F.col("b").alias("band"), F.col("p").alias("part"), F.col("d").alias("deal"))
-    by = ["band", "part", "deal"]
-    return sent.groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(_most_similar(longest), "key string, known_id string, score double, ord long")
+    dealt = known.join(deals, (F.col("band") == F.col("b")) & (F.col("part") == F.col("p"))).select("known", "known_id", "ord", F.col("b").alias("band"), F.col("p").alias("part"), F.col("d").alias("deal"))
+    # by number, since these few bytes are much work, and small partitions would be joined to one task
+    by, tasks = ["band", "part", "deal"], max(4 * rest.sparkSession.sparkContext.defaultParallelism, -(-rest.count() // ASKED_BLOCK))
+    sent, dealt = sent.repartition(tasks, *by), dealt.repartition(tasks, *by)
+    return sent.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(_most_similar(longest), "key string, known_id string, score double, ord long")
 
 
 def match_titles(titles: DataFrame, to_id: DataFrame, least: float = 0.78, longest: float = 1.6, by_first_letter: bool = False, few: int = 20) -> DataFrame:
@@ -137,16 +227,19 @@ def match_titles(titles: DataFrame, to_id: DataFrame, least: float = 0.78, longe
     Only distinct forms that have no exact match are compared, and only within their range of lengths: the map is
     a set of known titles in blocks, and each block of forms meets the blocks that its lengths can reach.
     """
-    every = titles.select("title").distinct()
+    every = spread(titles.select("title").distinct(), "title")
     if by_first_letter:
         key = F.lower(t.numberless_title(F.col("title")))
         cands = every.select("title", F.lit(0).alias("n"), key.alias("key")).where("key != ''")
     else:
         cands = every.select("title", F.posexplode(title_candidates(F.col("title"))).alias("n", "c")).select("title", "n", "c.key")
-    known = to_id.select(F.col("key").alias("known"), F.col("section_id").alias("known_id"), "ord")
+    # tables: what several joins read is worked out once
+    cands = written(cands)
+    known = written(to_id.select(F.col("key").alias("known"), F.col("section_id").alias("known_id"), "ord"))
     keys = cands.select("key").distinct()
     exact = keys.join(known, F.col("key") == F.col("known")).select("key", F.col("known_id").alias("id"), F.lit(1.0).alias("score"))
     rest = keys.join(known, F.col("key") == F.col("known"), "left_anti").select("key", F.length("key").alias("n"))
+    rest = written(rest)
     fuzzy_best = _best_of_blocks(rest, known.withColumn("len", F.length("known")), longest, few if by_first_letter else 0)
     best = fuzzy_best.groupBy("key").agg(F.max_by(F.struct("known_id", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     fuzzy = best.select("key", F.when(F.col("b.score") >= least, F.col("b.known_id")).alias("id"), F.col("b.score").alias("score"))
