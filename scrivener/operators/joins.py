@@ -250,9 +250,11 @@ def match_titles(titles: DataFrame, to_id: DataFrame, least: float = 0.78, longe
 
 def route_or_match(segments: DataFrame, to_id: DataFrame, title_col: str = "section_title") -> DataFrame:
     """Add section_id and confidence: the keyword router's id with .90, else the title map's."""
-    routed = segments.withColumn("_route", p.keyword_route(F.col(title_col)))
-    matched = match_titles(routed.where("_route is null").select(F.col(title_col).alias("title")), to_id).select(F.col("title").alias("_title"), F.col("section_id").alias("_id"), F.col("confidence").alias("_score"))
-    joined = routed.join(matched, F.col(title_col) == F.col("_title"), "left")
+    # each distinct title is routed and matched once
+    titles = written(spread(segments.select(F.col(title_col).alias("title")).distinct(), "title").withColumn("_route", p.keyword_route(F.col("title"))))
+    matched = match_titles(titles.where("_route is null").select("title"), to_id).select("title", F.col("section_id").alias("_id"), F.col("confidence").alias("_score"))
+    answers = titles.join(matched, "title", "left").withColumnRenamed("title", "_title")
+    joined = segments.join(answers, F.col(title_col).eqNullSafe(F.col("_title")), "left")
     by_route = F.col("_route").isNotNull()
     return joined.select(*segments.columns, F.coalesce("_route", "_id", F.lit("")).alias("section_id"), F.when(by_route, 0.9).otherwise(F.coalesce("_score", F.lit(0.0))).alias("confidence"))
 
